@@ -1,0 +1 @@
+"""Nothing here: every screen is a batch job over whole tables."""
