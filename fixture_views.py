@@ -65,9 +65,9 @@ SELECT bioproject, sra_study, acc, biosample, CAST(NULL AS STRING) AS sample_acc
   ) AS attributes
 """
 
-#: One record per document, 45 accessions; the columns of a raw study record.
+#: One record per document over 30 accessions, so ten studies have no record.
 RECORD_VIEW = """
-SELECT 'PRJ' || (doc_id % 45) AS project_acc,
+SELECT 'PRJ' || (doc_id % 30) AS project_acc,
        '  Study ' || doc_id || ' ' || source || ' ' AS project_title,
        text AS project_description,
        source AS submitter_organization,
@@ -77,6 +77,15 @@ SELECT 'PRJ' || (doc_id % 45) AS project_acc,
 FROM documents
 """
 
+RAW_COLUMNS = (
+    "project_acc",
+    "project_title",
+    "project_description",
+    "submitter_organization",
+    "registration_date",
+    "project_data_type",
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,7 +1,8 @@
 """Run classifiers: column expressions over the columns of a study-run table.
 
-Each classifier is an ordered chain, the first matching branch wins. Defaults
-name the columns of :data:`runsieve.sources.schemas.STUDY_RUNS`.
+Each classifier is an ordered chain, the first matching branch wins. They read
+the columns of :data:`runsieve.sources.schemas.STUDY_RUNS` and
+:func:`match_texts`.
 """
 
 from __future__ import annotations
@@ -16,13 +17,6 @@ from runsieve.functions.text import lower_or_empty
 from runsieve.functions.vocabulary import DEFAULT, Vocabulary
 
 
-def _words(*parts: Column) -> Column:
-    spaced = [parts[0]]
-    for part in parts[1:]:
-        spaced += [F.lit(" "), part]
-    return F.concat(*spaced)
-
-
 def case_term(text: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
     return first_term(text, vocabulary.case_terms)
 
@@ -31,21 +25,32 @@ def control_term(text: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
     return first_term(text, vocabulary.control_terms)
 
 
-def control_or_strain_term(
-    text: Column, case: Column, vocabulary: Vocabulary = DEFAULT
-) -> Column:
-    """Control term, or a background-strain name where no case term stands.
+def strain_term(text: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
+    return first_term(text, vocabulary.strain_terms)
+
+
+def words(*parts: Column) -> Column:
+    """The parts of a text to match, with blanks between them."""
+    return F.concat_ws(" ", *parts)
 
-    Disease models are kept on the same strains, so a case term vetoes the
-    strain; without one the strain alone marks a control animal.
+
+def match_texts() -> dict[str, Column]:
+    """The texts that patterns are tried on, over the columns of a run.
+
+    Project them before classifying, else every pattern builds its text anew.
     """
-    strain = F.when(case.isNull(), first_term(text, vocabulary.strain_terms))
-    return F.coalesce(control_term(text, vocabulary), strain)
+    library, selection = F.col("lib_lc"), F.col("libsel_lc")
+    attributes, instrument = F.col("attr_blob"), lower_or_empty(F.col("instrument"))
+    return {
+        "_run_text": words(attributes, library, selection),
+        "_declared_text": words(library, selection),
+        "_library_text": words(library, attributes),
+        "_instrument_text": words(instrument, library, attributes),
+    }
 
 
 def single_cell_by_text(vocabulary: Vocabulary = DEFAULT) -> Column:
-    text = _words(F.col("attr_blob"), F.col("lib_lc"), F.col("libsel_lc"))
-    return matches(text, vocabulary.single_cell_terms)
+    return matches(F.col("_run_text"), vocabulary.single_cell_terms)
 
 
 def single_cell(vocabulary: Vocabulary = DEFAULT) -> Column:
@@ -55,9 +60,7 @@ def single_cell(vocabulary: Vocabulary = DEFAULT) -> Column:
 
 
 def _library_says_small_rna(vocabulary: Vocabulary) -> Column:
-    return matches(
-        _words(F.col("lib_lc"), F.col("libsel_lc")), vocabulary.small_rna_terms
-    )
+    return matches(F.col("_declared_text"), vocabulary.small_rna_terms)
 
 
 def small_rna_evidence(
@@ -94,7 +97,7 @@ def tissue_class(
 def priming_class(vocabulary: Vocabulary = DEFAULT) -> Column:
     """How the library was primed: declared selection first, then free text."""
     selection = F.col("libsel_lc")
-    text = _words(F.col("lib_lc"), F.col("attr_blob"))
+    text = F.col("_library_text")
     return (
         F.when(selection.isin(*vocabulary.random_selections), "random_declared")
         .when(
@@ -111,9 +114,7 @@ def priming_class(vocabulary: Vocabulary = DEFAULT) -> Column:
 
 def read_class(vocabulary: Vocabulary = DEFAULT, inferred_from: int = 600) -> Column:
     """Long read by platform, by text, by mean length; else short read."""
-    text = _words(
-        lower_or_empty(F.col("instrument")), F.col("lib_lc"), F.col("attr_blob")
-    )
+    text = F.col("_instrument_text")
     return (
         F.when(
             F.upper(F.col("platform")).isin(*vocabulary.long_read_platforms),

@@ -5,45 +5,58 @@ counts letters of every script as word characters, ``\\s`` includes the
 vertical tab, ``.`` stops at more line ends and ``$`` also matches before a
 final line end. :func:`java_regex` rewrites those, so that a pattern picks the
 same text in both dialects.
+
+Trying dozens of alternatives at every position of a text is what the screens
+spend their time on. So a match is attempted only on texts that contain one of
+the :func:`required_literals` of the pattern, a plain byte search. In a scan for
+rare terms nearly all texts end there.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", re.DOTALL)
+_TOKEN = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\{[^}]*\}|.", re.DOTALL)
 _WORD = re.compile(r"[A-Za-z0-9_]")
-_WORD_START = r"(?<![A-Za-z0-9_])"
-_WORD_END = r"(?![A-Za-z0-9_])"
+_NOT_WORD_BEHIND = "(?<![A-Za-z0-9_]{})"
+_WORD_END = "(?![A-Za-z0-9_])"
 _ANY_BOUNDARY = (
-    r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 )
 _RE2_SPACES = r"\t\n\f\r "
+_MIN_LITERAL = 2
 
 
-def _boundary(before: str, after: str, after_next: str) -> str:
-    # One look-around is enough where a plain word character stands on one
-    # side; a quantifier right behind it would make that side uncertain.
-    if _WORD.fullmatch(after) and after_next not in ("?", "*", "{"):
-        return _WORD_START
-    if _WORD.fullmatch(before):
-        return _WORD_END
-    return _ANY_BOUNDARY
+def _optional(token: str) -> bool:
+    return token[:1] in ("?", "*", "{")
 
 
 @lru_cache(maxsize=None)
 def java_regex(pattern: str) -> str:
     """The Java pattern that matches what ``pattern`` matches under RE2."""
-    tokens = _TOKEN.findall(pattern)
-    padded = ["", *tokens, "", ""]
-    out = []
-    for i, token in enumerate(tokens, start=1):
+    tokens = ["", *_TOKEN.findall(pattern), "", ""]
+    out = ["(?d)"]
+    i = 1
+    while i < len(tokens) - 2:
+        token, after = tokens[i], tokens[i + 1]
         if token == r"\b":
-            out.append(_boundary(padded[i - 1], padded[i + 1], padded[i + 2]))
+            # One look-around is enough where a plain word character stands on
+            # one side. At a word start it comes after that character, so that
+            # it is tried at few positions only.
+            if _WORD.fullmatch(after) and not _optional(tokens[i + 2]):
+                out.append(after + _NOT_WORD_BEHIND.format(after))
+                i += 1
+                if tokens[i + 1] == "+":
+                    out.append(f"{after}*")
+                    i += 1
+            elif _WORD.fullmatch(tokens[i - 1]):
+                out.append(_WORD_END)
+            else:
+                out.append(_ANY_BOUNDARY)
         elif token == r"\s":
             out.append(f"[{_RE2_SPACES}]")
         elif token == "$":
@@ -52,12 +65,69 @@ def java_regex(pattern: str) -> str:
             out.append(token.replace(r"\s", _RE2_SPACES))
         else:
             out.append(token)
-    return "(?d)" + "".join(out)
+        i += 1
+    return "".join(out)
+
+
+def _alternatives(pattern: str) -> list[list[str]]:
+    """Tokens of each top-level alternative; a group becomes an empty token."""
+    found: list[list[str]] = [[]]
+    depth = 0
+    for token in _TOKEN.findall(pattern):
+        if token == ")":
+            depth -= 1
+            token = ""
+        elif token == "(":
+            depth += 1
+        if depth == 0 and token == "|":
+            found.append([])
+        elif depth == 0:
+            found[-1].append(token)
+    return found
+
+
+def _longest_literal(tokens: list[str]) -> str:
+    runs, run = [], ""
+    for token, after in zip(tokens, [*tokens[1:], ""]):
+        plain = token[1:] if re.fullmatch(r"\\[^A-Za-z0-9]", token) else token
+        literal = len(plain) == 1 and (plain != token or plain not in ".^$*+?{}[]\\")
+        if literal and not _optional(after):
+            run += plain
+        else:
+            runs.append(run)
+            run = ""
+    return max([*runs, run], key=len)
+
+
+@lru_cache(maxsize=None)
+def required_literals(pattern: str) -> tuple[str, ...]:
+    """Texts one of which occurs wherever ``pattern`` matches.
+
+    Empty if some alternative has no plain part of two characters or more, or
+    if the pattern sets flags: then every text has to be matched.
+    """
+    if re.search(r"\(\?[^:]", pattern):
+        return ()
+    literals = [_longest_literal(tokens) for tokens in _alternatives(pattern)]
+    if min(map(len, literals)) < _MIN_LITERAL:
+        return ()
+    return tuple(
+        sorted(a for a in set(literals) if not any(b in a and b != a for b in literals))
+    )
+
+
+def _may_match(text: Column, pattern: str) -> Column | None:
+    literals = required_literals(pattern)
+    if not literals:
+        return None
+    return reduce(Column.__or__, (text.contains(literal) for literal in literals))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Whether ``pattern`` occurs anywhere in ``text`` (NULL for NULL text)."""
-    return text.rlike(java_regex(pattern))
+    matched = text.rlike(java_regex(pattern))
+    candidate = _may_match(text, pattern)
+    return matched if candidate is None else candidate & matched
 
 
 def first_term(text: Column, pattern: str) -> Column:
@@ -65,9 +135,12 @@ def first_term(text: Column, pattern: str) -> Column:
 
     For patterns that cannot match the empty string,
     ``first_term(t, p).isNotNull()`` equals ``matches(t, p)``, so one pass over
-    the text yields both the term and the flag.
+    the text yields both the term and the flag. Use it as a projected column of
+    its own: inside a conditional the optimizer would match twice.
     """
-    return F.regexp_substr(text, F.lit(java_regex(pattern)))
+    term = F.regexp_extract(text, java_regex(pattern), 0)
+    candidate = _may_match(text, pattern)
+    return F.nullif(term if candidate is None else F.when(candidate, term), F.lit(""))
 
 
 def replace_all(text: Column, pattern: str, replacement: str) -> Column:

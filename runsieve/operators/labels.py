@@ -14,6 +14,14 @@ def with_tissue_text(runs: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataF
     return runs.withColumn("tissue_blob", tissue_text(F.col("attr_blob"), vocabulary))
 
 
+def with_match_texts(runs: DataFrame) -> DataFrame:
+    return runs.withColumns(classify.match_texts())
+
+
+def without_match_texts(runs: DataFrame) -> DataFrame:
+    return runs.drop(*classify.match_texts())
+
+
 def _with_hits(runs: DataFrame) -> DataFrame:
     return runs.withColumns(
         {
@@ -26,17 +34,16 @@ def _with_hits(runs: DataFrame) -> DataFrame:
 def label_small_rna(runs: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Study runs with the labels of the small-RNA screen."""
     label = F.col("label_blob")
-    return _with_hits(
-        with_tissue_text(runs, vocabulary).withColumns(
-            {
-                "ad_term": classify.case_term(label, vocabulary),
-                "ctrl_term": classify.control_term(label, vocabulary),
-                "single_cell": classify.single_cell_by_text(vocabulary),
-                "srna_evidence": classify.small_rna_evidence(vocabulary),
-                "tissue_class": classify.tissue_class(vocabulary=vocabulary),
-            }
-        )
+    labelled = with_match_texts(with_tissue_text(runs, vocabulary)).withColumns(
+        {
+            "ad_term": classify.case_term(label, vocabulary),
+            "ctrl_term": classify.control_term(label, vocabulary),
+            "single_cell": classify.single_cell_by_text(vocabulary),
+            "srna_evidence": classify.small_rna_evidence(vocabulary),
+            "tissue_class": classify.tissue_class(vocabulary=vocabulary),
+        }
     )
+    return _with_hits(without_match_texts(labelled))
 
 
 def with_effective_label(
@@ -55,42 +62,58 @@ def with_effective_label(
             "_own_control": classify.control_term(label, vocabulary),
         }
     )
-    told = F.col("_own_case").isNotNull() | F.col("_own_control").isNotNull()
-    effective = own.withColumns(
+    silent = F.col("_own_case").isNull() & F.col("_own_control").isNull()
+    named = own.withColumn(
+        "_with_name", F.when(silent, F.concat(label, F.lit(" "), F.col("lib_lc")))
+    )
+    # Texts that need no further matching are NULL, which no pattern is tried on.
+    matched = named.withColumns(
         {
-            "_told": told,
-            "label_eff": F.when(told, label).otherwise(
-                F.concat(label, F.lit(" "), F.col("lib_lc"))
-            ),
+            "label_eff": F.coalesce("_with_name", label),
+            "_name_case": classify.case_term(F.col("_with_name"), vocabulary),
+            "_name_control": classify.control_term(F.col("_with_name"), vocabulary),
         }
     )
-    case = F.when(F.col("_told"), F.col("_own_case")).otherwise(
-        classify.case_term(F.col("label_eff"), vocabulary)
+    termed = matched.withColumns(
+        {
+            "ad_term": F.coalesce("_own_case", "_name_case"),
+            "ctrl_term": F.coalesce("_own_control", "_name_control"),
+        }
     )
-    with_case = effective.withColumn("ad_term", case)
-    # Where the labels speak without a control term they hold a case term,
-    # which vetoes the strain: nothing is left to match.
-    control = F.when(F.col("_told"), F.col("_own_control")).otherwise(
-        classify.control_or_strain_term(
-            F.col("label_eff"), F.col("ad_term"), vocabulary
+    # Disease models are kept on the same strains, so a case term vetoes the
+    # strain; without one the strain alone marks a control animal.
+    unmarked = F.col("ad_term").isNull() & F.col("ctrl_term").isNull()
+    strain = classify.strain_term(F.col("_unmarked"), vocabulary)
+    return (
+        termed.withColumn("_unmarked", F.when(unmarked, F.col("label_eff")))
+        .withColumn("_strain", strain)
+        .withColumn("ctrl_term", F.coalesce("ctrl_term", "_strain"))
+        .drop(
+            "_own_case",
+            "_own_control",
+            "_with_name",
+            "_name_case",
+            "_name_control",
+            "_unmarked",
+            "_strain",
         )
     )
-    return with_case.withColumn("ctrl_term", control).drop(
-        "_own_case", "_own_control", "_told"
-    )
 
 
 def with_library_classes(
     runs: DataFrame, vocabulary: Vocabulary = DEFAULT
 ) -> DataFrame:
     """Adds ``priming_class``, ``read_class``, ``single_cell`` and ``rna_class``."""
-    return runs.withColumns(
+    classed = with_match_texts(runs).withColumns(
         {
             "priming_class": classify.priming_class(vocabulary),
             "read_class": classify.read_class(vocabulary),
             "single_cell": classify.single_cell(vocabulary),
         }
-    ).withColumn("rna_class", classify.rna_class(vocabulary))
+    )
+    return without_match_texts(
+        classed.withColumn("rna_class", classify.rna_class(vocabulary))
+    )
 
 
 def label_target(

@@ -180,14 +180,14 @@ def report_target(kept: DataFrame, tissues: DataFrame) -> DataFrame:
     )
 
 
-def _restricted(
-    runs: DataFrame,
-    organisms: Sequence[str] | None,
-    among: Sequence[str] | DataFrame | None,
-) -> DataFrame:
-    if organisms is not None:
-        runs = runs.filter(F.col("organism").isin(*organisms))
-    return runs if among is None else restrict_to_studies(runs, among)
+def in_organisms(runs: DataFrame, organisms: Sequence[str] | None) -> DataFrame:
+    if organisms is None:
+        return runs
+    return runs.filter(F.col("organism").isin(*organisms))
+
+
+def _among(runs: DataFrame, listed: Sequence[str] | DataFrame | None) -> DataFrame:
+    return runs if listed is None else restrict_to_studies(runs, listed)
 
 
 def screen_small_rna(
@@ -203,7 +203,7 @@ def screen_small_rna(
     The kept studies are staged: they are few, and their known size lets the
     optimizer broadcast them into the second, narrow scan for tissue details.
     """
-    runs = _restricted(runs, organisms, among)
+    runs = _among(in_organisms(runs, organisms), among)
     labelled = labels.label_small_rna(runs, vocabulary)
     kept = stage(
         studies.keep_small_rna(studies.aggregate_small_rna(labelled), thresholds),
@@ -238,7 +238,7 @@ def labelled_target_runs(
     runs: DataFrame, rules: TargetRules = TARGET, vocabulary: Vocabulary = DEFAULT
 ) -> DataFrame:
     """Labelled runs without their long texts, ready for the study aggregates."""
-    runs = _restricted(runs, rules.organisms, None)
+    runs = in_organisms(runs, rules.organisms)
     return labels.label_target(
         runs, vocabulary, rules.long_inferred, rules.unspecified_rna
     ).select(*_LABELLED_TARGET_COLUMNS)
@@ -255,7 +255,7 @@ def screen_total_long(
     The labelled runs are staged without their texts: matching the patterns is
     the costly part, and four aggregates read its outcome.
     """
-    runs = _restricted(runs, None, among)
+    runs = _among(runs, among)
     flagged = stage(labelled_target_runs(runs, rules, vocabulary), "labelled-runs")
     kept = studies.keep_with_target(studies.aggregate_target(flagged))
     tissues = studies.tissue_detail(flagged.filter("is_target"))
