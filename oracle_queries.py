@@ -1,504 +1,570 @@
-"""DuckDB SQL that computes the registered queries on the same tables."""
+"""DuckDB SQL that computes the registered queries on the same tables.
+
+Written apart from the operators: a run is labelled by ordered rules that
+``_first`` turns into one expression, and each study figure is one filtered
+aggregate over the labelled runs.
+"""
 
 from __future__ import annotations
 
-from fixture_views import RECORD_VIEW, RUN_VIEW
+from fixture_views import RAW_COLUMNS, RECORD_VIEW, RUN_VIEW
 from runsieve.functions import vocabulary as v
 
 
-def _q(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
 
 
 def _has(text: str, pattern: str) -> str:
-    return f"regexp_matches({text}, {_q(pattern)})"
+    return f"regexp_matches({text}, {_text(pattern)})"
 
 
 def _term(text: str, pattern: str) -> str:
-    return f"nullif(regexp_extract({text}, {_q(pattern)}), '')"
-
-
-def _in(values: tuple[str, ...]) -> str:
-    return "(" + ", ".join(_q(x) for x in values) + ")"
-
-
-_META = f"""
-run_view AS ({RUN_VIEW}),
-meta AS (
-  SELECT *, [{{'k': 'disease_state', 'v': a_disease}}, {{'k': 'strain', 'v': a_strain}},
-             {{'k': 'tissue', 'v': a_tissue}}, {{'k': 'growth_media', 'v': a_media}}] AS attributes
-  FROM run_view
-)"""
-
-_SCOPED = f"""lower(coalesce(array_to_string(list_filter(
-  list_transform(list_filter(m.attributes, lambda a: {_has("lower(a.k)", v.LABEL_KEYS)}),
-                 lambda a: a.k || '=' || a.v),
-  lambda kv: kv IS NOT NULL), ' | '), ''))"""
-_BLANKED = f"regexp_replace(scoped_blob, {_q(v.DIET_PHRASE)}, ' ', 'g')"
-_NEGATION = _q(rf"non[-_ ]?({v.NEGATED_TERMS})\b")
-
-_TEXTS = f"""{_META},
-scoped AS (
-  SELECT m.*, {_SCOPED} AS scoped_blob,
-    lower(coalesce((SELECT string_agg(a.k || '=' || a.v, ' | ' ORDER BY a.k)
-                    FROM (SELECT unnest(m.attributes) AS a)), '')) AS attr_blob
-  FROM meta m
-),
-texts AS (
-  SELECT *, lower(coalesce(library_name, '')) AS lib_lc,
+    return f"nullif(regexp_extract({text}, {_text(pattern)}), '')"
+
+
+def _one_of(column: str, values: tuple[str, ...]) -> str:
+    return f"coalesce({column} IN ({', '.join(map(_text, values))}), false)"
+
+
+def _first(rules: list[tuple[str, str]], default: str = "NULL") -> str:
+    """The label of the first rule that holds."""
+    whens = " ".join(f"WHEN {condition} THEN {_text(label)}" for label, condition in rules)
+    return f"CASE {whens} ELSE {default} END"
+
+
+def _spaced(*columns: str) -> str:
+    return " || ' ' || ".join(columns)
+
+
+def _with(*ctes: str, select: str) -> str:
+    return f"WITH {', '.join(ctes)} {select}"
+
+
+# --- runs and their texts -------------------------------------------------
+
+_KEYED = {
+    "disease_state": "a_disease",
+    "strain": "a_strain",
+    "tissue": "a_tissue",
+    "growth_media": "a_media",
+}
+_PAIRS = ", ".join(f"{{'k': '{k}', 'v': {c}}}" for k, c in _KEYED.items())
+_METADATA = f"metadata AS (SELECT *, [{_PAIRS}] AS attributes FROM ({RUN_VIEW}))"
+
+
+def _blob(attributes: str) -> str:
+    pairs = f"list_transform({attributes}, lambda a: a.k || '=' || a.v)"
+    told = f"list_filter({pairs}, lambda pair: pair IS NOT NULL)"
+    return f"lower(array_to_string({told}, ' | '))"
+
+
+_SCOPED = f"list_filter(attributes, lambda a: {_has('lower(a.k)', v.LABEL_KEYS)})"
+_NEGATED = rf"non[-_ ]?({v.NEGATED_TERMS})\b"
+_TISSUE_KEY = rf"^[^=]*({v.TISSUE_KEYS})[^=]*="
+_TISSUE_PARTS = (
+    "list_filter(string_split(attr_blob, ' | '), lambda part: "
+    f"{_has('part', _TISSUE_KEY)})"
+)
+_TEXTS = f"""texts AS (
+  SELECT *,
+    lower(coalesce(library_name, '')) AS lib_lc,
     lower(coalesce(libraryselection, '')) AS libsel_lc,
-    {_BLANKED} AS blanked_blob,
-    regexp_replace({_BLANKED}, {_NEGATION}, ' negctrl ', 'g') AS label_blob
-  FROM scoped
-),
-anchors AS (
-  SELECT DISTINCT bioproject FROM texts
-  WHERE consent = 'public' AND organism IN {_in(v.ORGANISMS)}
+    {_blob("list_sort(attributes)")} AS attr_blob,
+    {_blob(_SCOPED)} AS scoped_blob,
+    regexp_replace(scoped_blob, {_text(v.DIET_PHRASE)}, ' ', 'g') AS blanked_blob,
+    regexp_replace(blanked_blob, {_text(_NEGATED)}, '{v.NEGATION_TOKEN}', 'g') AS label_blob,
+    array_to_string(list_sort({_TISSUE_PARTS}), ' | ') AS tissue_blob
+  FROM metadata)"""
+_ANCHORS = f"""anchors AS (
+  SELECT bioproject FROM texts
+  WHERE consent = 'public' AND {_one_of("organism", v.ORGANISMS)}
     AND {_has("label_blob", v.CASE_TERMS)}
-),
-runs AS (
-  SELECT * FROM texts
-  WHERE consent = 'public' AND bioproject IN (SELECT bioproject FROM anchors)
-)"""
-
-_TISSUE_KEY = _q(rf"^[^=]*({v.TISSUE_KEYS})[^=]*=")
-_BASE = f"""{_TEXTS},
-base AS (
-  SELECT *, array_to_string(list_sort(list_filter(string_split(attr_blob, ' | '),
-    lambda kv: regexp_matches(kv, {_TISSUE_KEY}))), ' | ') AS tissue_blob
-  FROM runs
-)"""
-
-_TISSUE_CLASS = (
-    "CASE "
-    + " ".join(f"WHEN {_has('tissue_blob', p)} THEN '{n}'" for n, p in v.TISSUE_CLASSES)
-    + " WHEN tissue_blob = '' THEN 'unannotated' ELSE 'other' END AS tissue_class"
-)
-_SINGLE_CELL_TEXT = _has(
-    "attr_blob || ' ' || lib_lc || ' ' || libsel_lc", v.SINGLE_CELL_TERMS
+  GROUP BY bioproject)"""
+_RUNS = """runs AS (
+  SELECT texts.* FROM texts SEMI JOIN anchors USING (bioproject) WHERE consent = 'public')"""
+_UP_TO_RUNS = (_METADATA, _TEXTS, _ANCHORS, _RUNS)
+
+# --- run labels -----------------------------------------------------------
+
+_ASSAY, _SOURCE = "lower(coalesce(assay_type, ''))", "lower(coalesce(librarysource, ''))"
+_CELL_WORDS = _has(_spaced("attr_blob", "lib_lc", "libsel_lc"), v.SINGLE_CELL_TERMS)
+_CELL_SOURCE = f"{_SOURCE} = '{v.SINGLE_CELL_SOURCE}'"
+_SMALL_LIBRARY = _has(_spaced("lib_lc", "libsel_lc"), v.SMALL_RNA_TERMS)
+_SMALL_ASSAY = _one_of(_ASSAY, v.SMALL_RNA_ASSAYS)
+_GENERAL_ASSAY = _one_of(_ASSAY, v.GENERAL_RNA_ASSAYS)
+
+_TISSUE = _first(
+    [
+        *((name, _has("tissue_blob", pattern)) for name, pattern in v.TISSUE_CLASSES),
+        ("unannotated", "tissue_blob = ''"),
+    ],
+    "'other'",
 )
-_SINGLE_CELL = (
-    f"({_SINGLE_CELL_TEXT} OR "
-    f"lower(coalesce(librarysource, '')) = '{v.SINGLE_CELL_SOURCE}')"
+_EVIDENCE = _first(
+    [
+        ("assay_declared", _SMALL_ASSAY),
+        ("library_declared", _SMALL_LIBRARY),
+        ("attribute_mentioned", _has("attr_blob", v.SMALL_RNA_TERMS)),
+        ("readlen_inferred", f"{_GENERAL_ASSAY} AND 15 <= avgspotlen AND avgspotlen <= 51"),
+    ]
 )
-_DECLARED = _has("lib_lc || ' ' || libsel_lc", v.SMALL_RNA_TERMS)
-
-_LABELED = f"""{_BASE},
-labeled AS (
-  SELECT *, {_has("label_blob", v.CASE_TERMS)} AS ad_hit,
-    {_has("label_blob", v.CONTROL_TERMS)} AS ctrl_hit,
+_LABELLED = f"""labelled AS (
+  SELECT *,
     {_term("label_blob", v.CASE_TERMS)} AS ad_term,
     {_term("label_blob", v.CONTROL_TERMS)} AS ctrl_term,
-    {_SINGLE_CELL_TEXT} AS single_cell,
-    CASE WHEN lower(assay_type) IN {_in(v.SMALL_RNA_ASSAYS)} THEN 'assay_declared'
-         WHEN {_DECLARED} THEN 'library_declared'
-         WHEN {_has("attr_blob", v.SMALL_RNA_TERMS)} THEN 'attribute_mentioned'
-         WHEN lower(assay_type) IN {_in(v.GENERAL_RNA_ASSAYS)}
-              AND avgspotlen BETWEEN 15 AND 51 THEN 'readlen_inferred'
-    END AS srna_evidence,
-    {_TISSUE_CLASS}
-  FROM base
-)"""
-
-
-def _list(value: str) -> str:
-    """Sorted distinct non-NULL values as a text cell."""
-    return (
-        f"'[' || coalesce(array_to_string(list_sort(list(DISTINCT {value}) "
-        f"FILTER ({value} IS NOT NULL)), ','), '') || ']'"
-    )
+    {_has("label_blob", v.CASE_TERMS)} AS ad_hit,
+    {_has("label_blob", v.CONTROL_TERMS)} AS ctrl_hit,
+    {_CELL_WORDS} AS single_cell, {_EVIDENCE} AS srna_evidence, {_TISSUE} AS tissue_class
+  FROM runs)"""
+
+_LIBRARY = _spaced("lib_lc", "attr_blob")
+_PRIMING = _first(
+    [
+        ("random_declared", _one_of("libsel_lc", v.RANDOM_SELECTIONS)),
+        (
+            "ribodep_declared",
+            f"starts_with(libsel_lc, '{v.DEPLETION_SELECTION_PREFIX}')",
+        ),
+        ("polya_declared", _one_of("libsel_lc", v.POLYA_SELECTIONS)),
+        ("random_or_ribodep_text", _has(_LIBRARY, v.DEPLETION_TERMS)),
+        ("polya_text", _has(_LIBRARY, v.POLYA_TERMS)),
+        ("unspecified", _one_of("libsel_lc", v.OPEN_SELECTIONS)),
+    ],
+    "'other_selection'",
+)
+_READ = _first(
+    [
+        ("long_declared", _one_of("upper(platform)", v.LONG_READ_PLATFORMS)),
+        (
+            "long_text",
+            _has(f"lower(coalesce(instrument, '')) || ' ' || {_LIBRARY}", v.LONG_READ_TERMS),
+        ),
+        ("long_inferred", "avgspotlen > 599"),
+    ],
+    "'short_read'",
+)
+_RNA = _first(
+    [
+        ("small_rna", f"{_SMALL_ASSAY} OR {_SMALL_LIBRARY}"),
+        (
+            "not_rna",
+            f"NOT ({_GENERAL_ASSAY} OR starts_with({_SOURCE}, '{v.RNA_SOURCE_PREFIX}'))",
+        ),
+        ("total_rna_random", "priming_class[:6] IN ('random', 'ribode')"),
+        ("polya_mrna", "priming_class[:5] = 'polya'"),
+    ],
+    "'rna_unspecified'",
+)
 
 
-def _count(name: str, condition: str) -> str:
-    return f"count(*) FILTER (WHERE {condition}) AS {name}"
+def _target_runs(
+    any_organism: bool = False, long_inferred: bool = False, unspecified: bool = False
+) -> str:
+    long = ("long_declared", "long_text") + (("long_inferred",) if long_inferred else ())
+    wanted = [
+        "rna_class = 'total_rna_random'",
+        f"({_one_of('read_class', long)} AND rna_class NOT IN ('small_rna', 'not_rna'))",
+    ]
+    if unspecified:
+        wanted.append(
+            "coalesce(rna_class = 'rna_unspecified' AND "
+            "librarysource = 'TRANSCRIPTOMIC' AND assay_type = 'RNA-Seq', false)"
+        )
+    where = "true" if any_organism else _one_of("organism", v.ORGANISMS)
+    silent = (
+        f"NOT {_has('label_blob', v.CASE_TERMS)} AND NOT {_has('label_blob', v.CONTROL_TERMS)}"
+    )
+    return f"""target_runs AS (
+  SELECT *,
+    label_blob || CASE WHEN {silent} THEN ' ' || lib_lc ELSE '' END AS label_eff,
+    {_term("label_eff", v.CASE_TERMS)} AS ad_term,
+    {_term("label_eff", v.CONTROL_TERMS)} AS vocabulary_control,
+    {_term("label_eff", v.STRAIN_TERMS)} AS strain_control,
+    coalesce(vocabulary_control, CASE WHEN ad_term IS NULL THEN strain_control END) AS ctrl_term,
+    ad_term IS NOT NULL AS ad_hit, ctrl_term IS NOT NULL AS ctrl_hit,
+    {_CELL_WORDS} OR {_CELL_SOURCE} AS single_cell,
+    {_PRIMING} AS priming_class, {_READ} AS read_class, {_RNA} AS rna_class,
+    {_TISSUE} AS tissue_class,
+    ({" OR ".join(wanted)}) AND NOT single_cell AS is_target
+  FROM runs WHERE {where})"""
 
 
-_TISSUES = {
-    "n_prefrontal": "tissue_class = 'brain_prefrontal'",
-    "n_hippocampal": "tissue_class = 'brain_hippocampal'",
-    "n_brain_other": "tissue_class = 'brain_other'",
-    "n_brain_any": "tissue_class LIKE 'brain%'",
-    "n_csf": "tissue_class = 'csf'",
-    "n_biofluid": "tissue_class = 'biofluid'",
-    "n_cell_model": "tissue_class = 'cell_model'",
-    "n_tissue_unannotated": "tissue_class = 'unannotated'",
-    "n_tissue_other": "tissue_class = 'other'",
-}
-_ARMS = {
-    "case_only": "ad_hit AND NOT ctrl_hit",
-    "control_only": "ctrl_hit AND NOT ad_hit",
-    "ambiguous": "ad_hit AND ctrl_hit",
-    "unlabeled": "NOT ad_hit AND NOT ctrl_hit",
-}
+# --- study figures --------------------------------------------------------
+
 _KEYS = "bioproject, sra_study, organism"
-_STAMP = "strftime(max(releasedate), '%Y-%m-%d %H:%M:%S.%f UTC') AS latest_release"
+_LATEST = "strftime(max(releasedate), '%Y-%m-%d %H:%M:%S.%f UTC') AS latest_release"
 
 
-def _counts(conditions: dict[str, str], within: str = "") -> str:
-    return ",\n    ".join(_count(n, f"{within}{c}") for n, c in conditions.items())
+def _cell(name: str, value: str, within: str = "true", slice_: str = "") -> str:
+    values = f"list(DISTINCT {value}) FILTER ({within} AND {value} IS NOT NULL)"
+    joined = f"array_to_string(list_sort({values}){slice_}, ',')"
+    return f"'[' || coalesce({joined}, '') || ']' AS {name}"
 
 
-_AGG = f"""{_LABELED},
-agg AS (
-  SELECT {_KEYS}, count(*) AS n_runs, count(DISTINCT biosample) AS n_biosamples,
-    {_counts(_ARMS)},
-    {_counts({
-        "n_assay_declared": "srna_evidence = 'assay_declared'",
-        "n_library_declared": "srna_evidence = 'library_declared'",
-        "n_attr_mentioned": "srna_evidence = 'attribute_mentioned'",
-        "n_readlen_inferred": "srna_evidence = 'readlen_inferred'",
-        "n_single_cell": "single_cell",
-    })},
-    {_counts(_TISSUES)},
-    {_list("ad_term")} AS ad_terms, {_list("ctrl_term")} AS ctrl_terms,
-    {_list("tissue_class")} AS tissue_classes, {_list("assay_type")} AS assay_types,
-    quantile_disc(avgspotlen, 0.5) AS median_readlen,
-    round(sum(mbytes)::DOUBLE / count(*) / 1024, 3) AS gb_per_run,
-    round(sum(mbytes)::DOUBLE / 1024, 1) AS total_gb,
-    {_STAMP}
-  FROM labeled GROUP BY {_KEYS}
-)"""
+def _figures(conditions: dict[str, str], within: str = "true") -> str:
+    return ", ".join(
+        f"count(*) FILTER ({within} AND {condition}) AS {name}"
+        for name, condition in conditions.items()
+    )
+
 
+def _equals(column: str, names: dict[str, str]) -> dict[str, str]:
+    return {name: f"{column} = '{value}'" for name, value in names.items()}
 
-def _keep(arm: int = 3, longest: int = 120, size: bool = True, attr: bool = False) -> str:
-    evidence = "n_assay_declared + n_library_declared"
-    if attr:
-        evidence += " + n_attr_mentioned"
-    sized = " AND gb_per_run > 0.015" if size else ""
-    return f"""SELECT * FROM agg WHERE case_only >= {arm} AND control_only >= {arm}
-    AND ({evidence}) > 0 AND median_readlen BETWEEN 15 AND {longest}
-    AND n_single_cell = 0{sized}"""
 
+_ARMS = {
+    "case_only": "(ad_hit, ctrl_hit) = (true, false)",
+    "control_only": "(ad_hit, ctrl_hit) = (false, true)",
+    "ambiguous": "(ad_hit, ctrl_hit) = (true, true)",
+    "unlabeled": "(ad_hit, ctrl_hit) = (false, false)",
+}
+_TARGET_TISSUES = {
+    **_equals(
+        "tissue_class",
+        {
+            "n_prefrontal": "brain_prefrontal",
+            "n_hippocampal": "brain_hippocampal",
+            "n_brain_other": "brain_other",
+            "n_csf": "csf",
+            "n_biofluid": "biofluid",
+            "n_cell_model": "cell_model",
+            "n_tissue_unannotated": "unannotated",
+        },
+    ),
+    "n_brain_any": "starts_with(tissue_class, 'brain')",
+}
+_TISSUES = {**_TARGET_TISSUES, "n_tissue_other": "tissue_class = 'other'"}
+_TIERS = {
+    **_equals(
+        "srna_evidence",
+        {
+            "n_assay_declared": "assay_declared",
+            "n_library_declared": "library_declared",
+            "n_attr_mentioned": "attribute_mentioned",
+            "n_readlen_inferred": "readlen_inferred",
+        },
+    ),
+    "n_single_cell": "single_cell",
+}
+_INVENTORY = {
+    **_equals(
+        "rna_class",
+        {
+            "n_total_rna_random": "total_rna_random",
+            "n_polya_mrna": "polya_mrna",
+            "n_small_rna": "small_rna",
+            "n_rna_unspecified": "rna_unspecified",
+            "n_not_rna": "not_rna",
+        },
+    ),
+    "n_long_read": "read_class IN ('long_declared', 'long_text')",
+    "n_long_inferred": "read_class = 'long_inferred'",
+    "n_single_cell": "single_cell",
+}
+_PRIMED = _equals(
+    "priming_class",
+    {
+        "n_random_declared": "random_declared",
+        "n_ribodep_declared": "ribodep_declared",
+        "n_random_text": "random_or_ribodep_text",
+        "n_priming_unspecified": "unspecified",
+    },
+)
 
-def _detail(source: str, where: str) -> str:
-    return f"""SELECT bioproject, sra_study,
-    array_to_string(list_sort(list(DISTINCT kv))[1:6], ', ') AS tissue_attrs
-  FROM (SELECT bioproject, sra_study, unnest(string_split(tissue_blob, ' | ')) AS kv
-        FROM {source} WHERE {where})
-  WHERE kv != '' AND length(kv) < 70 GROUP BY 1, 2"""
+_STUDIES = f"""studies AS (
+  SELECT {_KEYS}, count(*) AS n_runs, count(DISTINCT biosample) AS n_biosamples,
+    {_figures(_ARMS)}, {_figures(_TIERS)}, {_figures(_TISSUES)},
+    {_cell("ad_terms", "ad_term")}, {_cell("ctrl_terms", "ctrl_term")},
+    {_cell("tissue_classes", "tissue_class")}, {_cell("assay_types", "assay_type")},
+    quantile_disc(avgspotlen, 0.5) AS median_readlen,
+    round(sum(mbytes)::DOUBLE / count(*) / 1024, 3) AS gb_per_run,
+    round(sum(mbytes)::DOUBLE / 1024, 1) AS total_gb, {_LATEST}
+  FROM labelled GROUP BY ALL)"""
+_TARGET_STUDIES = f"""studies AS (
+  SELECT {_KEYS}, count(*) AS n_runs_total, {_figures({"n_target_runs": "is_target"})},
+    count(DISTINCT biosample) FILTER (is_target) AS n_target_biosamples,
+    {_figures(_ARMS, "is_target")}, {_figures(_INVENTORY)},
+    {_figures(_PRIMED, "is_target")}, {_figures(_TARGET_TISSUES, "is_target")},
+    {_cell("target_librarysources", "librarysource", "is_target")},
+    {_cell("target_selections", "libraryselection", "is_target")},
+    {_cell("target_assay_types", "assay_type", "is_target")},
+    {_cell("target_platforms", "platform", "is_target")},
+    {_cell("target_instruments", "instrument", "is_target")},
+    {_cell("target_library_names", "library_name", "is_target", "[1:8]")},
+    {_cell("ad_terms", "ad_term")}, {_cell("ctrl_terms", "ctrl_term")},
+    quantile_disc(avgspotlen, 0.5) FILTER (is_target) AS median_target_readlen,
+    round(coalesce(sum(mbytes) FILTER (is_target), 0)::DOUBLE / 1024, 1) AS target_gb, {_LATEST}
+  FROM target_runs GROUP BY ALL HAVING bool_or(is_target))"""
+
+
+def _kept(
+    arm: int = 3, longest: int = 120, min_size: float = 0.015, attributes: bool = False
+) -> str:
+    declared = "n_assay_declared + n_library_declared"
+    if attributes:
+        declared += " + n_attr_mentioned"
+    return f"""kept AS (SELECT * FROM studies
+  WHERE least(case_only, control_only) >= {arm} AND {declared} > 0 AND n_single_cell = 0
+    AND median_readlen >= 15 AND median_readlen <= {longest} AND gb_per_run > {min_size})"""
 
 
-_KEPT = f"""{_AGG},
-keep AS ({_keep()}),
-tis_detail AS ({_detail("labeled", "bioproject IN (SELECT bioproject FROM keep)")})"""
+def _tissue_details(source: str) -> str:
+    return f"""tissues AS (
+  SELECT bioproject, sra_study,
+    array_to_string(list_sort(list(DISTINCT part))[1:6], ', ') AS tissue_attrs
+  FROM (SELECT bioproject, sra_study, unnest(string_split(tissue_blob, ' | ')) AS part FROM {source})
+  WHERE length(part) BETWEEN 1 AND 69 GROUP BY bioproject, sra_study)"""
 
 
 def _cohort(samples: str, noun: str) -> str:
     return (
-        f"k.{samples} || ' {noun}: ' || k.case_only || ' AD-like / ' || k.control_only "
-        "|| ' control' || CASE WHEN k.unlabeled > 0 THEN ' / ' || k.unlabeled || ' other' "
-        "ELSE '' END AS cohort_line"
+        f"format('{{}} {noun}: {{}} AD-like / {{}} control', {samples}, case_only, control_only)"
+        " || CASE unlabeled WHEN 0 THEN '' ELSE format(' / {} other', unlabeled) END AS cohort_line"
     )
 
 
-def _verdict_of_tissue(total: str) -> str:
-    return f"""CASE WHEN k.n_prefrontal > 0 THEN 'PREFRONTAL'
-    WHEN k.n_brain_any > 0 THEN 'brain (other region)'
-    WHEN k.n_tissue_unannotated = k.{total} THEN 'unannotated - CHECK STUDY'
-    WHEN k.n_csf > 0 OR k.n_biofluid > 0 THEN 'biofluid/CSF only'
-    ELSE 'other' END AS tissue_verdict"""
-
-
-_LINKS = """'https://www.ncbi.nlm.nih.gov/bioproject/' || k.bioproject AS bioproject_url,
-  'https://www.ncbi.nlm.nih.gov/Traces/study/?acc=' || k.sra_study AS run_selector_url"""
-
-_SCREEN_SMALL = f"""
-SELECT k.bioproject, k.sra_study, k.organism, {_cohort("n_biosamples", "samples")},
-  {_verdict_of_tissue("n_runs")},
-  k.n_prefrontal, k.n_hippocampal, k.n_brain_other, k.n_brain_any, k.n_csf, k.n_biofluid,
-  k.n_cell_model, k.n_tissue_unannotated, k.n_tissue_other, t.tissue_attrs,
-  least(k.case_only, k.control_only) AS smaller_arm,
-  k.case_only, k.control_only, k.ambiguous, k.unlabeled, k.n_runs, k.n_biosamples,
-  k.n_assay_declared, k.n_library_declared, k.ad_terms, k.ctrl_terms, k.assay_types,
-  k.median_readlen, k.gb_per_run, k.total_gb, k.latest_release, {_LINKS}
-FROM keep k LEFT JOIN tis_detail t
-  ON k.bioproject = t.bioproject AND k.sra_study = t.sra_study
-ORDER BY k.n_prefrontal DESC, k.n_brain_any DESC, smaller_arm DESC"""
-
+def _tissue_verdict(total: str) -> str:
+    rules = [
+        ("PREFRONTAL", "n_prefrontal > 0"),
+        ("brain (other region)", "n_brain_any > 0"),
+        ("unannotated - CHECK STUDY", f"n_tissue_unannotated = {total}"),
+        ("biofluid/CSF only", "n_csf + n_biofluid > 0"),
+    ]
+    return f"{_first(rules, _text('other'))} AS tissue_verdict"
+
+
+_ARM = "least(case_only, control_only) AS smaller_arm"
+_LINKS = """'https://www.ncbi.nlm.nih.gov/bioproject/' || bioproject AS bioproject_url,
+  'https://www.ncbi.nlm.nih.gov/Traces/study/?acc=' || sra_study AS run_selector_url"""
+_SMALL_REPORT = f"""report AS (
+  SELECT * EXCLUDE (n_attr_mentioned, n_readlen_inferred, n_single_cell, tissue_classes),
+    {_cohort("n_biosamples", "samples")}, {_tissue_verdict("n_runs")}, {_ARM}, {_LINKS}
+  FROM kept LEFT JOIN tissues USING (bioproject, sra_study))"""
+_VERDICT = _first(
+    [
+        ("PASSES - real contrast", "smaller_arm >= 3"),
+        ("thin - 2v2, underpowered", "smaller_arm = 2"),
+        ("target arm unlabeled - CHECK BY HAND", "unlabeled = n_target_runs"),
+    ],
+    "'single-arm or too small'",
+)
+_BEST_EVIDENCE = _first(
+    [
+        ("libraryselection = RANDOM", "n_random_declared > 0"),
+        ("libraryselection = Inverse rRNA", "n_ribodep_declared > 0"),
+        ("long-read platform", "n_long_read > 0"),
+        ("free text only - VERIFY", "n_random_text > 0"),
+    ],
+    "'weak'",
+)
+_TARGET_REPORT = f"""report AS (
+  SELECT *, {_ARM}, {_VERDICT} AS verdict, {_BEST_EVIDENCE} AS evidence,
+    {_cohort("n_target_biosamples", "target samples")}, {_tissue_verdict("n_target_runs")}, {_LINKS}
+  FROM studies LEFT JOIN tissues USING (bioproject, sra_study))"""
+_SMALL_RANK = "ORDER BY n_prefrontal DESC, n_brain_any DESC, smaller_arm DESC"
+_TARGET_RANK = f"ORDER BY smaller_arm < 3, {_SMALL_RANK[9:]}, n_target_runs DESC"
 
-def _flagged(
-    organisms: bool = True, long_inferred: bool = False, unspecified: bool = False
-) -> str:
-    told = f"({_has('label_blob', v.CASE_TERMS)} OR {_has('label_blob', v.CONTROL_TERMS)})"
-    library = "lib_lc || ' ' || attr_blob"
-    instrument = f"lower(coalesce(instrument, '')) || ' ' || {library}"
-    case = _has("label_eff", v.CASE_TERMS)
-    long = "'long_declared', 'long_text'" + (", 'long_inferred'" if long_inferred else "")
-    extra = (
-        " OR (rna_class = 'rna_unspecified' AND "
-        "coalesce(librarysource = 'TRANSCRIPTOMIC' AND assay_type = 'RNA-Seq', false))"
-        if unspecified
-        else ""
-    )
-    where = f"WHERE organism IN {_in(v.ORGANISMS)}" if organisms else ""
-    return f"""{_BASE},
-primed AS (
-  SELECT *, CASE WHEN {told} THEN label_blob ELSE label_blob || ' ' || lib_lc END AS label_eff,
-    CASE WHEN libsel_lc IN {_in(v.RANDOM_SELECTIONS)} THEN 'random_declared'
-         WHEN libsel_lc LIKE 'inverse rrna%' THEN 'ribodep_declared'
-         WHEN libsel_lc IN {_in(v.POLYA_SELECTIONS)} THEN 'polya_declared'
-         WHEN {_has(library, v.DEPLETION_TERMS)} THEN 'random_or_ribodep_text'
-         WHEN {_has(library, v.POLYA_TERMS)} THEN 'polya_text'
-         WHEN libsel_lc IN {_in(v.OPEN_SELECTIONS)} THEN 'unspecified'
-         ELSE 'other_selection' END AS priming_class,
-    CASE WHEN upper(coalesce(platform, '')) IN {_in(v.LONG_READ_PLATFORMS)} THEN 'long_declared'
-         WHEN {_has(instrument, v.LONG_READ_TERMS)} THEN 'long_text'
-         WHEN avgspotlen >= 600 THEN 'long_inferred'
-         ELSE 'short_read' END AS read_class
-  FROM base {where}
-),
-classed AS (
-  SELECT *, {case} AS ad_hit,
-    ({_has("label_eff", v.CONTROL_TERMS)}
-     OR (NOT {case} AND {_has("label_eff", v.STRAIN_TERMS)})) AS ctrl_hit,
-    {_term("label_eff", v.CASE_TERMS)} AS ad_term,
-    coalesce({_term("label_eff", v.CONTROL_TERMS)},
-             CASE WHEN NOT {case} THEN {_term("label_eff", v.STRAIN_TERMS)} END) AS ctrl_term,
-    {_SINGLE_CELL} AS single_cell,
-    CASE WHEN lower(assay_type) IN {_in(v.SMALL_RNA_ASSAYS)} OR {_DECLARED} THEN 'small_rna'
-         WHEN lower(coalesce(librarysource, '')) NOT LIKE 'transcriptomic%'
-              AND lower(coalesce(assay_type, '')) NOT IN {_in(v.GENERAL_RNA_ASSAYS)} THEN 'not_rna'
-         WHEN priming_class IN ('random_declared', 'ribodep_declared', 'random_or_ribodep_text')
-           THEN 'total_rna_random'
-         WHEN priming_class IN ('polya_declared', 'polya_text') THEN 'polya_mrna'
-         ELSE 'rna_unspecified' END AS rna_class,
-    {_TISSUE_CLASS}
-  FROM primed
-),
-flagged AS (
-  SELECT *, (rna_class = 'total_rna_random'
-    OR (read_class IN ({long}) AND rna_class NOT IN ('small_rna', 'not_rna')){extra})
-    AND NOT single_cell AS is_target
-  FROM classed
-)"""
-
-
-def _in_arm(column: str) -> str:
-    return _list(f"CASE WHEN is_target THEN {column} END")
-
-
-_TARGET_TISSUES = {n: c for n, c in _TISSUES.items() if n != "n_tissue_other"}
-_AGG_TARGET = f"""
-agg AS (
-  SELECT {_KEYS}, count(*) AS n_runs_total, {_count("n_target_runs", "is_target")},
-    count(DISTINCT CASE WHEN is_target THEN biosample END) AS n_target_biosamples,
-    {_counts(_ARMS, "is_target AND ")},
-    {_counts({
-        "n_total_rna_random": "rna_class = 'total_rna_random'",
-        "n_polya_mrna": "rna_class = 'polya_mrna'",
-        "n_small_rna": "rna_class = 'small_rna'",
-        "n_rna_unspecified": "rna_class = 'rna_unspecified'",
-        "n_not_rna": "rna_class = 'not_rna'",
-        "n_long_read": "read_class IN ('long_declared', 'long_text')",
-        "n_long_inferred": "read_class = 'long_inferred'",
-        "n_single_cell": "single_cell",
-        "n_random_declared": "is_target AND priming_class = 'random_declared'",
-        "n_ribodep_declared": "is_target AND priming_class = 'ribodep_declared'",
-        "n_random_text": "is_target AND priming_class = 'random_or_ribodep_text'",
-        "n_priming_unspecified": "is_target AND priming_class = 'unspecified'",
-    })},
-    {_counts(_TARGET_TISSUES, "is_target AND ")},
-    {_in_arm("librarysource")} AS target_librarysources,
-    {_in_arm("libraryselection")} AS target_selections,
-    {_in_arm("assay_type")} AS target_assay_types,
-    {_in_arm("platform")} AS target_platforms,
-    {_in_arm("instrument")} AS target_instruments,
-    '[' || coalesce(array_to_string(list_sort(list(DISTINCT library_name)
-      FILTER (is_target AND library_name IS NOT NULL))[1:8], ','), '') || ']' AS target_library_names,
-    {_list("ad_term")} AS ad_terms, {_list("ctrl_term")} AS ctrl_terms,
-    quantile_disc(CASE WHEN is_target THEN avgspotlen END, 0.5) AS median_target_readlen,
-    round(sum(CASE WHEN is_target THEN mbytes ELSE 0 END)::DOUBLE / 1024, 1) AS target_gb,
-    {_STAMP}
-  FROM flagged GROUP BY {_KEYS}
-)"""
-
-_DETAIL_TARGET = _detail("flagged", "is_target")
-_REPORT_TARGET = f"""{_AGG_TARGET},
-keep AS (SELECT * FROM agg WHERE n_target_runs > 0),
-tis_detail AS ({_DETAIL_TARGET}),
-report AS (
-  SELECT CASE WHEN k.case_only >= 3 AND k.control_only >= 3 THEN 'PASSES - real contrast'
-       WHEN k.case_only >= 2 AND k.control_only >= 2 THEN 'thin - 2v2, underpowered'
-       WHEN k.unlabeled = k.n_target_runs THEN 'target arm unlabeled - CHECK BY HAND'
-       ELSE 'single-arm or too small' END AS verdict,
-    k.bioproject, k.sra_study, k.organism,
-    {_cohort("n_target_biosamples", "target samples")},
-    CASE WHEN k.n_random_declared > 0 THEN 'libraryselection = RANDOM'
-         WHEN k.n_ribodep_declared > 0 THEN 'libraryselection = Inverse rRNA'
-         WHEN k.n_long_read > 0 THEN 'long-read platform'
-         WHEN k.n_random_text > 0 THEN 'free text only - VERIFY'
-         ELSE 'weak' END AS evidence,
-    {_verdict_of_tissue("n_target_runs")},
-    least(k.case_only, k.control_only) AS smaller_arm,
-    k.n_target_runs, k.n_target_biosamples, k.n_runs_total, k.n_total_rna_random,
-    k.n_long_read, k.n_long_inferred, k.n_polya_mrna, k.n_small_rna, k.n_rna_unspecified,
-    k.n_not_rna, k.n_random_declared, k.n_ribodep_declared, k.n_random_text,
-    k.n_priming_unspecified, k.n_prefrontal, k.n_hippocampal, k.n_brain_other, k.n_brain_any,
-    k.n_csf, k.n_biofluid, k.n_cell_model, k.n_tissue_unannotated, t.tissue_attrs,
-    k.case_only, k.control_only, k.ambiguous, k.unlabeled, k.n_single_cell,
-    k.target_librarysources, k.target_selections, k.target_assay_types, k.target_platforms,
-    k.target_instruments, k.target_library_names, k.ad_terms, k.ctrl_terms,
-    k.median_target_readlen, k.target_gb, k.latest_release, {_LINKS}
-  FROM keep k LEFT JOIN tis_detail t
-    ON k.bioproject = t.bioproject AND k.sra_study = t.sra_study
-)"""
-_RANK_TARGET = """ORDER BY CASE WHEN case_only >= 3 AND control_only >= 3 THEN 0 ELSE 1 END,
-  n_prefrontal DESC, n_brain_any DESC, smaller_arm DESC, n_target_runs DESC"""
+# --- study records --------------------------------------------------------
 
 # White space as the record cleaner sees it.
 _SPACE = (
     r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
-    r"\x{202f}\x{205f}\x{3000}]"
+    r"\x{202f}\x{205f}\x{3000}]+"
 )
 
 
-def _strip(value: str) -> str:
-    return f"regexp_replace(coalesce({value}, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+def _squeezed(column: str) -> str:
+    return f"trim(regexp_replace(coalesce({column}, ''), '{_SPACE}', ' ', 'g'))"
 
 
-_RECORDS = f"""
-raw AS ({RECORD_VIEW}),
+def _stripped(column: str) -> str:
+    return f"regexp_replace(coalesce({column}, ''), '^{_SPACE}|{_SPACE}$', '', 'g')"
+
+
+_RECORDS = f"""raw AS ({RECORD_VIEW}),
 records AS (
-  SELECT project_acc, {_strip("project_title")} AS study_title,
-    substring(trim(regexp_replace(coalesce(project_description, ''), '{_SPACE}+', ' ', 'g')), 1, 1200)
-      AS study_description,
-    {_strip("submitter_organization")} AS submitter,
-    {_strip("registration_date")} AS registration_date,
-    {_strip("project_data_type")} AS project_data_type
-  FROM raw WHERE seq IN (SELECT max(seq) FROM raw GROUP BY project_acc)
-)"""
+  SELECT project_acc, {_stripped("project_title")} AS study_title,
+    {_squeezed("project_description")}[:1200] AS study_description,
+    {_stripped("submitter_organization")} AS submitter,
+    {_stripped("registration_date")} AS registration_date,
+    {_stripped("project_data_type")} AS project_data_type
+  FROM raw QUALIFY row_number() OVER (PARTITION BY project_acc ORDER BY seq DESC) = 1)"""
+
+
+def _flag(name: str, words: tuple[str, ...]) -> str:
+    alternation = "|".join(words)
+    return f"CASE WHEN {_has('told', alternation)} THEN 'True' ELSE 'False' END AS {name}"
+
+
+_FILLED = ", ".join(
+    f"coalesce({c}, '') AS {c}"
+    for c in (
+        "study_title",
+        "study_description",
+        "submitter",
+        "registration_date",
+        "project_data_type",
+    )
+)
 
+# --- the queries ----------------------------------------------------------
 
-def _flag(words: tuple[str, ...]) -> str:
-    found = " OR ".join(f"contains(blob, {_q(w)})" for w in words)
-    return f"CASE WHEN {found} THEN 'True' ELSE 'False' END"
 
+def _over_texts(select: str) -> str:
+    return _with(_METADATA, _TEXTS, select=select)
 
-def _with(ctes: str, select: str) -> str:
-    return f"WITH {ctes}\n{select}"
 
+def _over_runs(select: str) -> str:
+    return _with(*_UP_TO_RUNS, select=select)
+
+
+def _over_labelled(select: str) -> str:
+    return _with(*_UP_TO_RUNS, _LABELLED, select=select)
+
+
+def _over_target(select: str) -> str:
+    return _with(*_UP_TO_RUNS, _target_runs(), select=select)
+
+
+def _kept_studies(**bounds: float) -> str:
+    return _with(
+        *_UP_TO_RUNS, _LABELLED, _STUDIES, _kept(**bounds), select="SELECT * FROM kept"
+    )
+
+
+def _small_screen(select: str) -> str:
+    of_kept = "labelled SEMI JOIN kept USING (bioproject)"
+    return _with(
+        *_UP_TO_RUNS,
+        _LABELLED,
+        _STUDIES,
+        _kept(),
+        _tissue_details(of_kept),
+        _SMALL_REPORT,
+        select=select,
+    )
 
-_RUN_ID = "SELECT acc, "
-_LISTED = "bioproject IN (SELECT 'PRJ' || (doc_id % 45) FROM labels WHERE toxic = 1)"
-_RUN_COLUMNS = """bioproject, sra_study, acc, biosample, organism, assay_type, librarysource,
-  libraryselection, library_name, platform, instrument, avgspotlen, mbytes,
-  strftime(releasedate, '%Y-%m-%d %H:%M:%S.%f UTC') AS releasedate,
-  lib_lc, libsel_lc, attr_blob, label_blob"""
 
+def _target_screen(where: str = "true", **rules: bool) -> str:
+    return _with(
+        *_UP_TO_RUNS,
+        _target_runs(**rules),
+        _TARGET_STUDIES,
+        _tissue_details("target_runs WHERE is_target"),
+        _TARGET_REPORT,
+        select=f"SELECT * FROM report WHERE {where} {_TARGET_RANK}",
+    )
+
+
+_NO_SIZE = -1
 ORACLES = {
-    "attr_blob": _with(_TEXTS, _RUN_ID + "attr_blob FROM texts"),
-    "scoped_blob": _with(_TEXTS, _RUN_ID + "scoped_blob FROM texts"),
-    "negation_rewrite": _with(_TEXTS, _RUN_ID + "blanked_blob, label_blob FROM texts"),
-    "anchor_scan": _with(_TEXTS, "SELECT bioproject FROM anchors"),
-    "study_runs": _with(_TEXTS, f"SELECT {_RUN_COLUMNS} FROM runs"),
-    "stage_audit": _with(
-        _TEXTS,
-        """SELECT (SELECT count(DISTINCT bioproject) FROM anchors) AS anchored_bioprojects,
-  (SELECT count(DISTINCT bioproject) FROM runs) AS with_runs_pulled,
-  (SELECT count(*) FROM runs) AS total_runs""",
+    "attr_blob": _over_texts("SELECT acc, attr_blob FROM texts"),
+    "scoped_blob": _over_texts("SELECT acc, scoped_blob FROM texts"),
+    "negation_rewrite": _over_texts("SELECT acc, blanked_blob, label_blob FROM texts"),
+    "anchor_scan": _with(_METADATA, _TEXTS, _ANCHORS, select="FROM anchors"),
+    "study_runs": _over_runs(
+        """SELECT bioproject, sra_study, acc, biosample, organism, assay_type, librarysource,
+  libraryselection, library_name, platform, instrument, avgspotlen, mbytes,
+  strftime(releasedate, '%Y-%m-%d %H:%M:%S.%f UTC') AS releasedate,
+  lib_lc, libsel_lc, attr_blob, label_blob FROM runs"""
     ),
-    "tissue_blob": _with(_BASE, _RUN_ID + "tissue_blob FROM base"),
-    "case_control_tag": _with(_LABELED, _RUN_ID + "ad_hit, ctrl_hit FROM labeled"),
-    "first_term": _with(_LABELED, _RUN_ID + "ad_term, ctrl_term FROM labeled"),
-    "single_cell_flags": _with(
-        _BASE,
-        f"{_RUN_ID}{_SINGLE_CELL_TEXT} AS by_text, {_SINGLE_CELL} AS by_source_or_text FROM base",
+    "stage_audit": _over_runs(
+        """SELECT count(DISTINCT anchors.bioproject) AS anchored_bioprojects,
+  count(DISTINCT runs.bioproject) AS with_runs_pulled, count(acc) AS total_runs
+FROM anchors LEFT JOIN runs USING (bioproject)"""
     ),
-    "srna_evidence": _with(_LABELED, _RUN_ID + "srna_evidence FROM labeled"),
-    "tissue_class": _with(_LABELED, _RUN_ID + "tissue_class FROM labeled"),
-    "disjoint_arms": _with(
-        _LABELED, f"SELECT {_KEYS}, {_counts(_ARMS)} FROM labeled GROUP BY {_KEYS}"
+    "tissue_blob": _over_runs("SELECT acc, tissue_blob FROM runs"),
+    "case_control_tag": _over_labelled("SELECT acc, ad_hit, ctrl_hit FROM labelled"),
+    "first_term": _over_labelled("SELECT acc, ad_term, ctrl_term FROM labelled"),
+    "single_cell_flags": _over_runs(
+        f"""SELECT acc, {_CELL_WORDS} AS by_text,
+  {_CELL_WORDS} OR {_CELL_SOURCE} AS by_source_or_text FROM runs"""
     ),
-    "study_aggregate_small_rna": _with(_AGG, "SELECT * FROM agg"),
-    "evidence_kinds": _with(
-        _LABELED,
-        f"""SELECT {_KEYS}, {_count("n_smallrna", "srna_evidence IS NOT NULL")},
-  {_count("n_tissue_relevant", "tissue_class LIKE 'brain%' OR tissue_class IN ('csf', 'biofluid')")},
-  {_list("srna_evidence")} AS srna_evidence_kinds FROM labeled GROUP BY {_KEYS}""",
+    "srna_evidence": _over_labelled("SELECT acc, srna_evidence FROM labelled"),
+    "tissue_class": _over_labelled("SELECT acc, tissue_class FROM labelled"),
+    "disjoint_arms": _over_labelled(
+        f"SELECT {_KEYS}, {_figures(_ARMS)} FROM labelled GROUP BY ALL"
     ),
-    "keep_small_rna": _with(_AGG, _keep()),
-    "keep_relaxed_1": _with(_AGG, _keep(size=False)),
-    "keep_relaxed_2": _with(_AGG, _keep(size=False, longest=150)),
-    "keep_relaxed_3": _with(_AGG, _keep(size=False, longest=150, attr=True)),
-    "keep_relaxed_4": _with(_AGG, _keep(arm=2, size=False, longest=150, attr=True)),
-    "tissue_detail": _with(_KEPT, "SELECT * FROM tis_detail"),
-    "screen_small_rna": _with(_KEPT, _SCREEN_SMALL),
-    "label_eff": _with(_flagged(), _RUN_ID + "label_eff FROM flagged"),
-    "priming_class": _with(_flagged(), _RUN_ID + "priming_class FROM flagged"),
-    "read_class": _with(_flagged(), _RUN_ID + "read_class FROM flagged"),
-    "rna_class": _with(_flagged(), _RUN_ID + "rna_class FROM flagged"),
-    "strain_control": _with(
-        _flagged(), _RUN_ID + "ad_hit, ctrl_hit, ad_term, ctrl_term FROM flagged"
+    "study_aggregate_small_rna": _with(
+        *_UP_TO_RUNS, _LABELLED, _STUDIES, select="FROM studies"
     ),
-    "is_target": _with(_flagged(), _RUN_ID + "single_cell, is_target FROM flagged"),
-    "study_aggregate_target": _with(
-        f"{_flagged()}, {_AGG_TARGET}", "SELECT * FROM agg WHERE n_target_runs > 0"
+    "evidence_kinds": _over_labelled(
+        f"""SELECT {_KEYS}, count(srna_evidence) AS n_smallrna,
+  {_figures({"n_tissue_relevant": "regexp_matches(tissue_class, '^(brain|csf$|biofluid$)')"})},
+  {_cell("srna_evidence_kinds", "srna_evidence")} FROM labelled GROUP BY ALL"""
     ),
-    "tissue_detail_target": _with(_flagged(), _DETAIL_TARGET),
-    "screen_total_long": _with(
-        f"{_flagged()}, {_REPORT_TARGET}", f"SELECT * FROM report {_RANK_TARGET}"
+    "keep_small_rna": _kept_studies(),
+    "keep_relaxed_1": _kept_studies(min_size=_NO_SIZE),
+    "keep_relaxed_2": _kept_studies(min_size=_NO_SIZE, longest=150),
+    "keep_relaxed_3": _kept_studies(min_size=_NO_SIZE, longest=150, attributes=True),
+    "keep_relaxed_4": _kept_studies(
+        min_size=_NO_SIZE, longest=150, attributes=True, arm=2
     ),
-    "matched_design": _with(
-        f"{_flagged()}, {_REPORT_TARGET}",
-        f"SELECT * FROM report WHERE n_small_rna > 0 AND n_target_runs > 0 {_RANK_TARGET}",
+    "tissue_detail": _small_screen("FROM tissues"),
+    "screen_small_rna": _small_screen(f"FROM report {_SMALL_RANK}"),
+    "label_eff": _over_target("SELECT acc, label_eff FROM target_runs"),
+    "priming_class": _over_target("SELECT acc, priming_class FROM target_runs"),
+    "read_class": _over_target("SELECT acc, read_class FROM target_runs"),
+    "rna_class": _over_target("SELECT acc, rna_class FROM target_runs"),
+    "strain_control": _over_target(
+        "SELECT acc, ad_hit, ctrl_hit, ad_term, ctrl_term FROM target_runs"
     ),
-    "target_relaxed_1": _with(
-        f"{_flagged(long_inferred=True)}, {_REPORT_TARGET}",
-        f"SELECT * FROM report {_RANK_TARGET}",
+    "is_target": _over_target("SELECT acc, single_cell, is_target FROM target_runs"),
+    "study_aggregate_target": _with(
+        *_UP_TO_RUNS, _target_runs(), _TARGET_STUDIES, select="FROM studies"
     ),
-    "target_relaxed_2": _with(
-        f"{_flagged(long_inferred=True, unspecified=True)}, {_REPORT_TARGET}",
-        f"SELECT * FROM report {_RANK_TARGET}",
+    "tissue_detail_target": _with(
+        *_UP_TO_RUNS,
+        _target_runs(),
+        _tissue_details("target_runs WHERE is_target"),
+        select="FROM tissues",
     ),
-    "target_relaxed_3": _with(
-        f"{_flagged(organisms=False, long_inferred=True, unspecified=True)}, {_REPORT_TARGET}",
-        f"SELECT * FROM report {_RANK_TARGET}",
+    "screen_total_long": _target_screen(),
+    "matched_design": _target_screen("least(n_small_rna, n_target_runs) > 0"),
+    "target_relaxed_1": _target_screen(long_inferred=True),
+    "target_relaxed_2": _target_screen(long_inferred=True, unspecified=True),
+    "target_relaxed_3": _target_screen(
+        long_inferred=True, unspecified=True, any_organism=True
     ),
-    "inspect_studies": _with(
-        _TEXTS,
+    "inspect_studies": _over_runs(
         """SELECT bioproject, sra_study, acc, biosample, assay_type, libraryselection,
   library_name, avgspotlen, round(mbytes::DOUBLE / 1024, 3) AS gb, label_blob, attr_blob
-FROM runs WHERE bioproject IN ('PRJ3', 'PRJ10', 'PRJ39') ORDER BY bioproject, acc""",
+FROM runs WHERE bioproject IN ('PRJ3', 'PRJ10', 'PRJ39') ORDER BY bioproject, acc"""
     ),
-    "list_screen": _with(
-        f"{_flagged()}, {_REPORT_TARGET}",
-        f"SELECT * FROM report WHERE {_LISTED} {_RANK_TARGET}",
+    "list_screen": _target_screen(
+        "bioproject IN (SELECT 'PRJ' || (doc_id % 45) FROM labels WHERE toxic = 1)"
     ),
-    "accession_list": _with(_TEXTS, "SELECT acc FROM runs WHERE bioproject = 'PRJ3'"),
+    "accession_list": _over_runs("SELECT acc FROM runs WHERE bioproject = 'PRJ3'"),
     "preview": _with(
-        _META,
-        """SELECT acc, organism, assay_type FROM meta
+        _METADATA,
+        select="""SELECT acc, organism, assay_type FROM metadata
 WHERE organism = 'Homo sapiens' AND consent = 'public' ORDER BY acc LIMIT 10""",
     ),
-    "array_cells": _with(
-        _LABELED,
-        f"""SELECT bioproject, {_list("ad_term")} AS ad_terms, {_list("ctrl_term")} AS ctrl_terms,
-  {_list("assay_type")} AS assay_types, {_STAMP} FROM labeled GROUP BY bioproject""",
-    ),
-    "normalise_records": _with(_RECORDS, "SELECT * FROM records"),
-    "json_records": _with(
-        _RECORDS,
-        """SELECT project_acc, project_title, project_description, submitter_organization,
-  registration_date, project_data_type FROM raw""",
+    "array_cells": _over_labelled(
+        f"""SELECT bioproject, {_cell("ad_terms", "ad_term")}, {_cell("ctrl_terms", "ctrl_term")},
+  {_cell("assay_types", "assay_type")}, {_LATEST} FROM labelled GROUP BY ALL"""
     ),
+    "normalise_records": _with(_RECORDS, select="FROM records"),
+    "json_records": _with(_RECORDS, select=f"SELECT {', '.join(RAW_COLUMNS)} FROM raw"),
     "enrich": _with(
-        f"{_TEXTS}, {_RECORDS}",
-        f"""SELECT bioproject, sra_study, organism, n_runs, coalesce(study_title, '') AS study_title,
-  coalesce(study_description, '') AS study_description, coalesce(submitter, '') AS submitter,
-  coalesce(registration_date, '') AS registration_date,
-  coalesce(project_data_type, '') AS project_data_type,
-  {_flag(v.TITLE_DISEASE_WORDS)} AS title_mentions_alzheimer,
-  {_flag(v.TITLE_ASSAY_WORDS)} AS title_mentions_mirna
-FROM (SELECT *, lower(coalesce(study_title, '') || ' ' || coalesce(study_description, '')) AS blob
-      FROM (SELECT {_KEYS}, count(*) AS n_runs FROM runs GROUP BY {_KEYS})
-      LEFT JOIN records ON bioproject = project_acc)""",
+        *_UP_TO_RUNS,
+        _RECORDS,
+        f"sheet AS (SELECT {_KEYS}, count(*) AS n_runs FROM runs GROUP BY ALL)",
+        select=f"""SELECT * EXCLUDE (told) FROM (SELECT {_KEYS}, n_runs, {_FILLED},
+  lower(concat_ws(' ', study_title, study_description)) AS told,
+  {_flag("title_mentions_alzheimer", v.TITLE_DISEASE_WORDS)},
+  {_flag("title_mentions_mirna", v.TITLE_ASSAY_WORDS)}
+FROM sheet LEFT JOIN records ON bioproject = project_acc)""",
     ),
     "missing_records": _with(
-        f"{_TEXTS}, {_RECORDS}",
-        """SELECT DISTINCT bioproject FROM runs
-WHERE bioproject NOT IN (SELECT project_acc FROM records)""",
+        *_UP_TO_RUNS,
+        _RECORDS,
+        select="""SELECT bioproject FROM runs
+ANTI JOIN records ON bioproject = project_acc GROUP BY bioproject""",
     ),
-    "ascii_boundary_match": """SELECT doc_id, regexp_matches(text, '\\bla\\b') AS has_la,
-  regexp_matches(text, '\\bde\\s\\w') AS has_de, nullif(regexp_extract(text, '\\b(?:el|le|un)\\b'), '') AS article
+    "ascii_boundary_match": r"""SELECT doc_id, regexp_matches(text, '\bla\b') AS has_la,
+  regexp_matches(text, '\bde\s\w') AS has_de,
+  nullif(regexp_extract(text, '\b(?:el|le|un)\b'), '') AS article
 FROM documents""",
 }

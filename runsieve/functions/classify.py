@@ -17,15 +17,15 @@ from runsieve.functions.text import lower_or_empty
 from runsieve.functions.vocabulary import DEFAULT, Vocabulary
 
 
-def case_term(text: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
+def case_term(text: str, vocabulary: Vocabulary = DEFAULT) -> Column:
     return first_term(text, vocabulary.case_terms)
 
 
-def control_term(text: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
+def control_term(text: str, vocabulary: Vocabulary = DEFAULT) -> Column:
     return first_term(text, vocabulary.control_terms)
 
 
-def strain_term(text: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
+def strain_term(text: str, vocabulary: Vocabulary = DEFAULT) -> Column:
     return first_term(text, vocabulary.strain_terms)
 
 
@@ -50,7 +50,7 @@ def match_texts() -> dict[str, Column]:
 
 
 def single_cell_by_text(vocabulary: Vocabulary = DEFAULT) -> Column:
-    return matches(F.col("_run_text"), vocabulary.single_cell_terms)
+    return matches("_run_text", vocabulary.single_cell_terms)
 
 
 def single_cell(vocabulary: Vocabulary = DEFAULT) -> Column:
@@ -60,7 +60,7 @@ def single_cell(vocabulary: Vocabulary = DEFAULT) -> Column:
 
 
 def _library_says_small_rna(vocabulary: Vocabulary) -> Column:
-    return matches(F.col("_declared_text"), vocabulary.small_rna_terms)
+    return matches("_declared_text", vocabulary.small_rna_terms)
 
 
 def small_rna_evidence(
@@ -73,23 +73,20 @@ def small_rna_evidence(
         F.when(assay.isin(*vocabulary.small_rna_assays), "assay_declared")
         .when(_library_says_small_rna(vocabulary), "library_declared")
         .when(
-            matches(F.col("attr_blob"), vocabulary.small_rna_terms),
-            "attribute_mentioned",
+            matches("attr_blob", vocabulary.small_rna_terms), "attribute_mentioned"
         )
         .when(assay.isin(*vocabulary.general_rna_assays) & short, "readlen_inferred")
     )
 
 
-def tissue_class(
-    text: Column | None = None, vocabulary: Vocabulary = DEFAULT
-) -> Column:
+def tissue_class(vocabulary: Vocabulary = DEFAULT) -> Column:
     """First tissue class whose pattern occurs in the tissue text."""
-    text = F.col("tissue_blob") if text is None else text
+    text = "tissue_blob"
     # An empty text matches no class; testing it first saves all the patterns.
     chain = reduce(
         lambda branch, item: branch.when(matches(text, item[1]), item[0]),
         vocabulary.tissue_classes,
-        F.when(text == "", "unannotated"),
+        F.when(F.col(text) == "", "unannotated"),
     )
     return chain.otherwise("other")
 
@@ -97,7 +94,7 @@ def tissue_class(
 def priming_class(vocabulary: Vocabulary = DEFAULT) -> Column:
     """How the library was primed: declared selection first, then free text."""
     selection = F.col("libsel_lc")
-    text = F.col("_library_text")
+    text = "_library_text"
     return (
         F.when(selection.isin(*vocabulary.random_selections), "random_declared")
         .when(
@@ -114,7 +111,7 @@ def priming_class(vocabulary: Vocabulary = DEFAULT) -> Column:
 
 def read_class(vocabulary: Vocabulary = DEFAULT, inferred_from: int = 600) -> Column:
     """Long read by platform, by text, by mean length; else short read."""
-    text = F.col("_instrument_text")
+    text = "_instrument_text"
     return (
         F.when(
             F.upper(F.col("platform")).isin(*vocabulary.long_read_platforms),

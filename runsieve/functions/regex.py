@@ -15,13 +15,14 @@ rare terms nearly all texts end there.
 from __future__ import annotations
 
 import re
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\{[^}]*\}|.", re.DOTALL)
 _WORD = re.compile(r"[A-Za-z0-9_]")
+_PLAIN = re.compile(r"[A-Za-z0-9_ /:;,=@#&<>-]")
 _NOT_WORD_BEHIND = "(?<![A-Za-z0-9_]{})"
 _WORD_END = "(?![A-Za-z0-9_])"
 _ANY_BOUNDARY = (
@@ -89,10 +90,8 @@ def _alternatives(pattern: str) -> list[list[str]]:
 def _longest_literal(tokens: list[str]) -> str:
     runs, run = [], ""
     for token, after in zip(tokens, [*tokens[1:], ""]):
-        plain = token[1:] if re.fullmatch(r"\\[^A-Za-z0-9]", token) else token
-        literal = len(plain) == 1 and (plain != token or plain not in ".^$*+?{}[]\\")
-        if literal and not _optional(after):
-            run += plain
+        if _PLAIN.fullmatch(token) and not _optional(after):
+            run += token
         else:
             runs.append(run)
             run = ""
@@ -116,30 +115,32 @@ def required_literals(pattern: str) -> tuple[str, ...]:
     )
 
 
-def _may_match(text: Column, pattern: str) -> Column | None:
+def _may_match(column: str, pattern: str) -> Column | None:
+    # One SQL text, since building dozens of column objects takes longer than
+    # planning the query. The literals hold no character that needs escaping.
     literals = required_literals(pattern)
     if not literals:
         return None
-    return reduce(Column.__or__, (text.contains(literal) for literal in literals))
+    return F.expr(" OR ".join(f"contains(`{column}`, '{text}')" for text in literals))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Whether ``pattern`` occurs anywhere in ``text`` (NULL for NULL text)."""
-    matched = text.rlike(java_regex(pattern))
-    candidate = _may_match(text, pattern)
+def matches(column: str, pattern: str) -> Column:
+    """Whether ``pattern`` occurs anywhere in a text column (NULL for NULL)."""
+    matched = F.col(column).rlike(java_regex(pattern))
+    candidate = _may_match(column, pattern)
     return matched if candidate is None else candidate & matched
 
 
-def first_term(text: Column, pattern: str) -> Column:
-    """Leftmost occurrence of ``pattern`` in ``text``, NULL if there is none.
+def first_term(column: str, pattern: str) -> Column:
+    """Leftmost occurrence of ``pattern`` in a text column, NULL if there is none.
 
-    For patterns that cannot match the empty string,
-    ``first_term(t, p).isNotNull()`` equals ``matches(t, p)``, so one pass over
-    the text yields both the term and the flag. Use it as a projected column of
-    its own: inside a conditional the optimizer would match twice.
+    For patterns that cannot match the empty string, ``first_term`` is not NULL
+    exactly where ``matches`` holds, so one pass over the text yields both the
+    term and the flag. Project it as a column of its own: inside a conditional
+    the optimizer would match twice.
     """
-    term = F.regexp_extract(text, java_regex(pattern), 0)
-    candidate = _may_match(text, pattern)
+    term = F.regexp_extract(column, java_regex(pattern), 0)
+    candidate = _may_match(column, pattern)
     return F.nullif(term if candidate is None else F.when(candidate, term), F.lit(""))
 
 

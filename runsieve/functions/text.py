@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from runsieve.functions.regex import java_regex, matches, replace_all
+from runsieve.functions.regex import java_regex, replace_all
 from runsieve.functions.vocabulary import DEFAULT, Vocabulary
 
 SEPARATOR = " | "
@@ -41,7 +41,8 @@ def attribute_text(attributes: Column) -> Column:
 
 def scoped_text(attributes: Column, key_pattern: str) -> Column:
     """The pairs whose lower-cased key matches ``key_pattern``, in array order."""
-    kept = F.filter(attributes, lambda a: matches(F.lower(a["k"]), key_pattern))
+    key = java_regex(key_pattern)
+    kept = F.filter(attributes, lambda a: F.lower(a["k"]).rlike(key))
     return _joined(kept)
 
 

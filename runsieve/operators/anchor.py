@@ -32,7 +32,7 @@ def anchor_scan(
     label = label_text(F.col("attributes"), vocabulary)
     return (
         runs.select("bioproject", label.alias("label_blob"))
-        .filter(matches(F.col("label_blob"), vocabulary.case_terms))
+        .filter(matches("label_blob", vocabulary.case_terms))
         .select("bioproject")
         .distinct()
     )

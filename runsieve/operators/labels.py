@@ -33,14 +33,14 @@ def _with_hits(runs: DataFrame) -> DataFrame:
 
 def label_small_rna(runs: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Study runs with the labels of the small-RNA screen."""
-    label = F.col("label_blob")
+    label = "label_blob"
     labelled = with_match_texts(with_tissue_text(runs, vocabulary)).withColumns(
         {
             "ad_term": classify.case_term(label, vocabulary),
             "ctrl_term": classify.control_term(label, vocabulary),
             "single_cell": classify.single_cell_by_text(vocabulary),
             "srna_evidence": classify.small_rna_evidence(vocabulary),
-            "tissue_class": classify.tissue_class(vocabulary=vocabulary),
+            "tissue_class": classify.tissue_class(vocabulary),
         }
     )
     return _with_hits(without_match_texts(labelled))
@@ -55,7 +55,7 @@ def with_effective_label(
     labels carry neither a case nor a control term. A run whose own labels
     speak is matched once only.
     """
-    label = F.col("label_blob")
+    label = "label_blob"
     own = runs.withColumns(
         {
             "_own_case": classify.case_term(label, vocabulary),
@@ -64,14 +64,14 @@ def with_effective_label(
     )
     silent = F.col("_own_case").isNull() & F.col("_own_control").isNull()
     named = own.withColumn(
-        "_with_name", F.when(silent, F.concat(label, F.lit(" "), F.col("lib_lc")))
+        "_with_name", F.when(silent, classify.words(label, "lib_lc"))
     )
     # Texts that need no further matching are NULL, which no pattern is tried on.
     matched = named.withColumns(
         {
             "label_eff": F.coalesce("_with_name", label),
-            "_name_case": classify.case_term(F.col("_with_name"), vocabulary),
-            "_name_control": classify.control_term(F.col("_with_name"), vocabulary),
+            "_name_case": classify.case_term("_with_name", vocabulary),
+            "_name_control": classify.control_term("_with_name", vocabulary),
         }
     )
     termed = matched.withColumns(
@@ -83,7 +83,7 @@ def with_effective_label(
     # Disease models are kept on the same strains, so a case term vetoes the
     # strain; without one the strain alone marks a control animal.
     unmarked = F.col("ad_term").isNull() & F.col("ctrl_term").isNull()
-    strain = classify.strain_term(F.col("_unmarked"), vocabulary)
+    strain = classify.strain_term("_unmarked", vocabulary)
     return (
         termed.withColumn("_unmarked", F.when(unmarked, F.col("label_eff")))
         .withColumn("_strain", strain)
@@ -129,7 +129,7 @@ def label_target(
     )
     return _with_hits(labelled).withColumns(
         {
-            "tissue_class": classify.tissue_class(vocabulary=vocabulary),
+            "tissue_class": classify.tissue_class(vocabulary),
             "is_target": classify.is_target(
                 vocabulary, long_inferred, unspecified_rna
             ),
