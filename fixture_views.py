@@ -107,6 +107,12 @@ def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"{_NESTED} FROM ({flat})", orders=_spread(orders))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(
+        table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    )
+
+
 def study_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = RECORD_VIEW.replace("FROM documents", "FROM {documents}")
-    return spark.sql(view, documents=table(spark, sf_dir, "documents"))
+    return spark.sql(view, documents=documents(spark, sf_dir))

@@ -30,12 +30,13 @@ def anchor_scan(
     if organisms is not None:
         runs = runs.filter(F.col("organism").isin(*organisms))
     label = label_text(F.col("attributes"), vocabulary)
-    return (
-        runs.select("bioproject", label.alias("label_blob"))
-        .filter(matches("label_blob", vocabulary.case_terms))
-        .select("bioproject")
-        .distinct()
-    )
+    labelled = runs.select("bioproject", label.alias("label_blob"))
+    # A filter would move below the projection and make the label text anew for
+    # each literal of the pattern; a generator stays above it.
+    hit = matches("label_blob", vocabulary.case_terms)
+    return labelled.select(
+        F.explode(F.when(hit, F.array("bioproject"))).alias("bioproject")
+    ).distinct()
 
 
 def with_text_columns(

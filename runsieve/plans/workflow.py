@@ -19,13 +19,16 @@ def anchored_runs(
     metadata: DataFrame,
     vocabulary: Vocabulary = DEFAULT,
     organisms: Sequence[str] | None = ORGANISMS,
+    stage_runs: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Anchors and study runs for use within one job.
+    """Anchors and study runs for use within one session.
 
-    Only the anchors are staged; the runs are planned on top of them.
+    Both are staged, so that a screen may read the runs several times. Without
+    ``stage_runs`` the runs are planned on top of the anchors, for a single read.
     """
     anchors = stage(anchor_scan(metadata, vocabulary, organisms), "anchors")
-    return anchors, extract_study_runs(metadata, anchors, vocabulary)
+    runs = extract_study_runs(metadata, anchors, vocabulary)
+    return anchors, stage(runs, "study-runs") if stage_runs else runs
 
 
 def build_study_tables(
