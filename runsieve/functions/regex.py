@@ -116,12 +116,13 @@ def required_literals(pattern: str) -> tuple[str, ...]:
 
 
 def _may_match(column: str, pattern: str) -> Column | None:
-    # One SQL text, since building dozens of column objects takes longer than
-    # planning the query. The literals hold no character that needs escaping.
+    # Looping over the literals keeps the generated code small. A chain of OR
+    # grows past the size that the JVM compiles, and then runs interpreted.
     literals = required_literals(pattern)
     if not literals:
         return None
-    return F.expr(" OR ".join(f"contains(`{column}`, '{text}')" for text in literals))
+    texts = ", ".join(f"'{text}'" for text in literals)
+    return F.expr(f"exists(array({texts}), text -> contains(`{column}`, text))")
 
 
 def matches(column: str, pattern: str) -> Column:
