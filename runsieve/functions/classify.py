@@ -12,23 +12,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from runsieve.functions.regex import first_term, matches
+from runsieve.functions.regex import matches
 from runsieve.functions.text import lower_or_empty
 from runsieve.functions.vocabulary import DEFAULT, Vocabulary
 
 
-def case_term(text: str, vocabulary: Vocabulary = DEFAULT) -> Column:
-    return first_term(text, vocabulary.case_terms)
-
-
-def control_term(text: str, vocabulary: Vocabulary = DEFAULT) -> Column:
-    return first_term(text, vocabulary.control_terms)
-
-
-def strain_term(text: str, vocabulary: Vocabulary = DEFAULT) -> Column:
-    return first_term(text, vocabulary.strain_terms)
-
-
 def words(*parts: Column) -> Column:
     """The parts of a text to match, with blanks between them."""
     return F.concat_ws(" ", *parts)
@@ -59,7 +47,8 @@ def single_cell(vocabulary: Vocabulary = DEFAULT) -> Column:
     return declared | single_cell_by_text(vocabulary)
 
 
-def _library_says_small_rna(vocabulary: Vocabulary) -> Column:
+def small_rna_library(vocabulary: Vocabulary = DEFAULT) -> Column:
+    """Whether the library name or selection speaks of small RNA."""
     return matches("_declared_text", vocabulary.small_rna_terms)
 
 
@@ -71,7 +60,7 @@ def small_rna_evidence(
     short = F.col("avgspotlen").between(*inferred_length)
     return (
         F.when(assay.isin(*vocabulary.small_rna_assays), "assay_declared")
-        .when(_library_says_small_rna(vocabulary), "library_declared")
+        .when(small_rna_library(vocabulary), "library_declared")
         .when(
             matches("attr_blob", vocabulary.small_rna_terms), "attribute_mentioned"
         )
@@ -124,14 +113,16 @@ def read_class(vocabulary: Vocabulary = DEFAULT, inferred_from: int = 600) -> Co
 
 
 def rna_class(vocabulary: Vocabulary = DEFAULT) -> Column:
-    """Library class. Needs ``priming_class``; small RNA claims a run first."""
+    """Library class; small RNA claims a run first.
+
+    Needs ``priming_class``, and :func:`small_rna_library` as ``_small_library``.
+    """
     assay = lower_or_empty(F.col("assay_type"))
     source = lower_or_empty(F.col("librarysource"))
     priming = F.col("priming_class")
     return (
         F.when(
-            assay.isin(*vocabulary.small_rna_assays)
-            | _library_says_small_rna(vocabulary),
+            assay.isin(*vocabulary.small_rna_assays) | F.col("_small_library"),
             "small_rna",
         )
         .when(

@@ -132,17 +132,24 @@ def matches(column: str, pattern: str) -> Column:
     return matched if candidate is None else candidate & matched
 
 
-def first_term(column: str, pattern: str) -> Column:
-    """Leftmost occurrence of ``pattern`` in a text column, NULL if there is none.
+def found_term(column: str, pattern: str) -> Column:
+    """Leftmost occurrence of ``pattern`` in a text column; NULL or ``''`` if none.
 
-    For patterns that cannot match the empty string, ``first_term`` is not NULL
+    For patterns that cannot match the empty string it is a text of some length
     exactly where ``matches`` holds, so one pass over the text yields both the
-    term and the flag. Project it as a column of its own: inside a conditional
-    the optimizer would match twice.
+    term and the flag.
     """
     term = F.regexp_extract(column, java_regex(pattern), 0)
     candidate = _may_match(column, pattern)
-    return F.nullif(term if candidate is None else F.when(candidate, term), F.lit(""))
+    return term if candidate is None else F.when(candidate, term)
+
+
+def first_term(column: str, pattern: str) -> Column:
+    """Like :func:`found_term`, with NULL wherever there is none.
+
+    The optimizer projects the found term first, to use it twice.
+    """
+    return F.nullif(found_term(column, pattern), F.lit(""))
 
 
 def replace_all(text: Column, pattern: str, replacement: str) -> Column:

@@ -1,11 +1,18 @@
-"""Run-level labelling: every classifier a screen needs, as columns."""
+"""Run-level labelling: every classifier a screen needs, as columns.
+
+The labels come in few layers of columns. Each layer reads texts of the one
+before, so every text is built once, and every pattern is matched once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runsieve.functions import classify
+from runsieve.functions.regex import found_term
 from runsieve.functions.text import tissue_text
 from runsieve.functions.vocabulary import DEFAULT, Vocabulary
 
@@ -18,120 +25,96 @@ def with_match_texts(runs: DataFrame) -> DataFrame:
     return runs.withColumns(classify.match_texts())
 
 
-def without_match_texts(runs: DataFrame) -> DataFrame:
-    return runs.drop(*classify.match_texts())
-
-
-def _with_hits(runs: DataFrame) -> DataFrame:
-    return runs.withColumns(
-        {
-            "ad_hit": F.col("ad_term").isNotNull(),
-            "ctrl_hit": F.col("ctrl_term").isNotNull(),
-        }
-    )
+def _some(term: str) -> Column:
+    """Whether a found term is there; never NULL."""
+    return F.coalesce(F.col(term) != "", F.lit(False))
 
 
 def label_small_rna(runs: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Study runs with the labels of the small-RNA screen."""
     label = "label_blob"
-    labelled = with_match_texts(with_tissue_text(runs, vocabulary)).withColumns(
+    read = runs.withColumns(
         {
-            "ad_term": classify.case_term(label, vocabulary),
-            "ctrl_term": classify.control_term(label, vocabulary),
+            **classify.match_texts(),
+            "tissue_blob": tissue_text(F.col("attr_blob"), vocabulary),
+            "_case": found_term(label, vocabulary.case_terms),
+            "_control": found_term(label, vocabulary.control_terms),
+        }
+    )
+    return read.withColumns(
+        {
+            "ad_term": F.when(_some("_case"), F.col("_case")),
+            "ctrl_term": F.when(_some("_control"), F.col("_control")),
+            "ad_hit": _some("_case"),
+            "ctrl_hit": _some("_control"),
             "single_cell": classify.single_cell_by_text(vocabulary),
             "srna_evidence": classify.small_rna_evidence(vocabulary),
             "tissue_class": classify.tissue_class(vocabulary),
         }
-    )
-    return _with_hits(without_match_texts(labelled))
+    ).drop("_case", "_control", *classify.match_texts())
 
 
-def with_effective_label(
-    runs: DataFrame, vocabulary: Vocabulary = DEFAULT
+def label_target(
+    runs: DataFrame,
+    vocabulary: Vocabulary = DEFAULT,
+    long_inferred: bool = False,
+    unspecified_rna: bool = False,
 ) -> DataFrame:
-    """Adds ``label_eff``, ``ad_term`` and ``ctrl_term`` of the target screen.
+    """Study runs with the labels of the total / long-read screen.
 
     ``label_eff`` is the label text, with the library name added where the
-    labels carry neither a case nor a control term. A run whose own labels
-    speak is matched once only.
+    labels carry neither a case nor a control term. A text is matched only as
+    far as its outcome is open: NULL texts are not tried on any pattern.
     """
-    label = "label_blob"
-    own = runs.withColumns(
+    label, named = "label_blob", "_named_label"
+    case, control = vocabulary.case_terms, vocabulary.control_terms
+    read = runs.withColumns(
         {
-            "_own_case": classify.case_term(label, vocabulary),
-            "_own_control": classify.control_term(label, vocabulary),
+            **classify.match_texts(),
+            "tissue_blob": tissue_text(F.col("attr_blob"), vocabulary),
+            "_case": found_term(label, case),
+            "_control": found_term(label, control),
         }
     )
-    silent = F.col("_own_case").isNull() & F.col("_own_control").isNull()
-    named = own.withColumn(
-        "_with_name", F.when(silent, classify.words(label, "lib_lc"))
-    )
-    # Texts that need no further matching are NULL, which no pattern is tried on.
-    matched = named.withColumns(
+    classed = read.withColumns(
         {
-            "label_eff": F.coalesce("_with_name", label),
-            "_name_case": classify.case_term("_with_name", vocabulary),
-            "_name_control": classify.control_term("_with_name", vocabulary),
+            named: F.when(
+                ~_some("_case") & ~_some("_control"), classify.words(label, "lib_lc")
+            ),
+            "priming_class": classify.priming_class(vocabulary),
+            "read_class": classify.read_class(vocabulary),
+            "single_cell": classify.single_cell(vocabulary),
+            "tissue_class": classify.tissue_class(vocabulary),
+            "_small_library": classify.small_rna_library(vocabulary),
         }
     )
-    termed = matched.withColumns(
+    named_too = classed.withColumns(
         {
-            "ad_term": F.coalesce("_own_case", "_name_case"),
-            "ctrl_term": F.coalesce("_own_control", "_name_control"),
+            "label_eff": F.coalesce(named, label),
+            "rna_class": classify.rna_class(vocabulary),
+            "_named_case": found_term(named, case),
+            "_named_control": found_term(named, control),
         }
     )
     # Disease models are kept on the same strains, so a case term vetoes the
     # strain; without one the strain alone marks a control animal.
-    unmarked = F.col("ad_term").isNull() & F.col("ctrl_term").isNull()
-    strain = classify.strain_term("_unmarked", vocabulary)
-    return (
-        termed.withColumn("_unmarked", F.when(unmarked, F.col("label_eff")))
-        .withColumn("_strain", strain)
-        .withColumn("ctrl_term", F.coalesce("ctrl_term", "_strain"))
-        .drop(
-            "_own_case",
-            "_own_control",
-            "_with_name",
-            "_name_case",
-            "_name_control",
-            "_unmarked",
-            "_strain",
-        )
+    terms = ("_case", "_named_case", "_control", "_named_control")
+    unmarked = ~reduce(Column.__or__, map(_some, terms))
+    strained = named_too.withColumn(
+        "_strain", F.when(unmarked, found_term("label_eff", vocabulary.strain_terms))
     )
 
+    def first_of(*names: str) -> Column:
+        return F.coalesce(*(F.when(_some(n), F.col(n)) for n in names))
 
-def with_library_classes(
-    runs: DataFrame, vocabulary: Vocabulary = DEFAULT
-) -> DataFrame:
-    """Adds ``priming_class``, ``read_class``, ``single_cell`` and ``rna_class``."""
-    classed = with_match_texts(runs).withColumns(
+    return strained.withColumns(
         {
-            "priming_class": classify.priming_class(vocabulary),
-            "read_class": classify.read_class(vocabulary),
-            "single_cell": classify.single_cell(vocabulary),
-        }
-    )
-    return without_match_texts(
-        classed.withColumn("rna_class", classify.rna_class(vocabulary))
-    )
-
-
-def label_target(
-    runs: DataFrame,
-    vocabulary: Vocabulary = DEFAULT,
-    long_inferred: bool = False,
-    unspecified_rna: bool = False,
-) -> DataFrame:
-    """Study runs with the labels of the total / long-read screen."""
-    labelled = with_library_classes(
-        with_effective_label(with_tissue_text(runs, vocabulary), vocabulary),
-        vocabulary,
-    )
-    return _with_hits(labelled).withColumns(
-        {
-            "tissue_class": classify.tissue_class(vocabulary),
+            "ad_term": first_of("_case", "_named_case"),
+            "ctrl_term": first_of("_control", "_named_control", "_strain"),
+            "ad_hit": _some("_case") | _some("_named_case"),
+            "ctrl_hit": _some("_control") | _some("_named_control") | _some("_strain"),
             "is_target": classify.is_target(
                 vocabulary, long_inferred, unspecified_rna
             ),
         }
-    )
+    ).drop(*terms, named, "_strain", "_small_library", *classify.match_texts())
