@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runsieve.llm import merkle, packing, simhash, winnow
+from runsieve.llm import merkle, packing, perspectives, simhash, topk, winnow
 from runsieve.llm.common import table
 
 
@@ -24,6 +25,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -32,7 +41,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_audit": op1_merkle_audit,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op6_perspective_rotation": op6_perspective_rotation,
+    "op7_threshold_topk": op7_threshold_topk,
     "op9_winnowing": op9_winnowing,
 }
 
-ORACLES: dict[str, str] = {"op1_merkle_audit": merkle.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_merkle_audit": merkle.ORACLE_SQL,
+    "op6_perspective_rotation": perspectives.ORACLE_SQL,
+    "op7_threshold_topk": topk.ORACLE_SQL,
+}
