@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsieve.llm import merkle, packing, perspectives, simhash, topk, winnow
+from runsieve.llm import merkle, packing, perspectives, quality, simhash, topk, winnow
 from runsieve.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_audit": op1_merkle_audit,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op5_quality": op5_quality,
     "op6_perspective_rotation": op6_perspective_rotation,
     "op7_threshold_topk": op7_threshold_topk,
     "op9_winnowing": op9_winnowing,
