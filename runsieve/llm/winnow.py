@@ -143,18 +143,15 @@ def compare_edited(
     """Fingerprints of documents, of their edited texts, and their likenesses.
 
     The edited text has its second half replaced by the beginning of the next
-    document. Texts meet through one shuffle on their own key; what travels on
-    is the beginning that is needed and the hash set of the next document.
+    document. Both joins read texts through one shuffle on key and text hash,
+    which Spark reuses as both sides ask for the same columns; what travels on
+    is the beginning that is needed and the hash set of the next document. The
+    key must be an integer; the smallest long stands for null.
     """
     source = docs.select(
-        F.col(key).alias("own"),
+        F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)).alias("k"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"),
-    ).select(
-        "own",
-        "t",
-        F.coalesce(F.col("own").cast("long"), F.lit(_NO_KEY)).alias("k"),
-        F.xxhash64("t").alias("g"),
-    )
+    ).select("k", F.xxhash64("t").alias("g"), "t")
     after = successors(source.select("k", "g", F.length("t").alias("n")))
     sent = (
         after.select(F.col("k").alias("ck"), F.col("g").alias("cg"), "n", F.col("next_k").alias("k"), F.col("next_g").alias("g"))
@@ -169,7 +166,7 @@ def compare_edited(
         .agg(F.any_value("begin").alias("begin"), F.any_value("next_set").alias("next_set"))
     )
     texts = source.join(sent, ["k", "g"]).select(
-        "own",
+        F.when(F.col("k") != _NO_KEY, F.col("k")).alias("own"),
         "t",
         F.length("t").cast("long").alias("n_chars"),
         F.expr("concat(substring(t, 1, length(t) - length(t) div 2), begin)").alias("edited"),
@@ -193,7 +190,7 @@ def compare_edited(
     )
     n_own, n_edited, n_next = (F.size(f"{name}_set") for name in ("own", "edited", "next"))
     return sizes.select(
-        F.col("own").alias(key),
+        F.col("own").cast(docs.schema[key].dataType).alias(key),
         "n_chars",
         "edited_sha256",
         digest(F.col("c")).alias("fingerprint"),
