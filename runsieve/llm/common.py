@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsieve.sources.staging import stage
 
-__all__ = ["held_out", "map_batches", "stage", "table", "text_bytes"]
+__all__ = [
+    "held_out", "labels_of", "map_batches", "score_column", "stage", "table", "text_bytes", "text_slices",
+]
+
+#: Characters that a task works on at once.
+SLICE_CHARS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +36,39 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
 
 
+def text_slices(column: pa.Array) -> Iterator[list[str]]:
+    """Texts in order, in slices of bounded size; null counts as empty."""
+    texts, size = [], 0
+    for value in column:
+        texts.append(value.as_py() or "")
+        size += len(texts[-1])
+        if size > SLICE_CHARS:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
+
+def labels_of(labels: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
+    """One ``label`` 0 or 1 per key, ``labelled``; of several the mean, half up."""
+    return (
+        labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
+        .groupBy(F.col(key).alias("labelled"))
+        .agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("label"))
+    )
+
+
+def score_column(score: Callable[[list[str]], np.ndarray]):
+    """A column function that scores texts, whatever other columns a row has."""
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        parts = [score(part) for part in text_slices(pa.array(texts, type=pa.string()))]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return scored
+
+
 def map_batches(
     frame: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],

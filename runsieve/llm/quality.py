@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsieve.llm.common import held_out, map_batches, stage, text_bytes
+from runsieve.llm.common import held_out, labels_of, map_batches, score_column, stage, text_bytes
 
 THRESHOLD = 0.3
 #: Shares of the common covariance and of the identity in a class covariance.
@@ -116,15 +116,6 @@ def described(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return map_batches(lean, make, f"key {kind}, stats array<double>")
 
 
-def labels_of(labels: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
-    """One label 0 or 1 per key."""
-    return (
-        labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("labelled"))
-        .agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("label"))
-    )
-
-
 def moments(learned: DataFrame) -> dict[int, np.ndarray]:
     """Per label the sums of ``(1, x)`` times ``(1, x)``, over all rows."""
     width = len(FEATURES) + 1
@@ -232,19 +223,14 @@ def classify(
 
 
 def keep_good(
-    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", threshold: float = THRESHOLD
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
+    threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """The documents predicted as label 1, all columns kept.
-
-    The model is applied to each row's own text, so no key is needed to join.
-    """
-    model = fit(stage(described(docs, "doc_id", text), "statistics"), labels, label)
+    """The documents predicted as label 1, all columns kept; scored by their own text."""
+    model = fit(stage(described(docs, key, text), "statistics"), labels, label)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        rows = np.array([statistics((t or "").encode()) for t in texts]).reshape(len(texts), -1)
-        import pandas as pd
 
-        return pd.Series(model.score(rows))
+    def score(texts: list[str]) -> np.ndarray:
+        return model.score(np.array([statistics(one.encode()) for one in texts]))
 
-    return docs.filter(score(F.col(text).cast("string")) >= threshold)
+    return docs.filter(score_column(score)(F.col(text).cast("string")) >= threshold)

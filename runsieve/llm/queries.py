@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsieve.llm import merkle, packing, perspectives, quality, simhash, topk, winnow
+from runsieve.llm import merkle, packing, perspectives, quality, simhash, topk, toxicity, winnow
 from runsieve.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_audit": op1_merkle_audit,
     "op2_packing": op2_packing,
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_perspective_rotation": op6_perspective_rotation,
     "op7_threshold_topk": op7_threshold_topk,
     "op9_winnowing": op9_winnowing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
