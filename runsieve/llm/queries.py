@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsieve.llm import merkle, packing, perspectives, quality, simhash, topk, toxicity, winnow
+from runsieve.llm import hmm, merkle, packing, perspectives, quality, simhash, topk, toxicity, winnow
 from runsieve.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_perspective_rotation": op6_perspective_rotation,
     "op7_threshold_topk": op7_threshold_topk,
+    "op8_hidden_markov": op8_hidden_markov,
     "op9_winnowing": op9_winnowing,
     "op10_toxicity": op10_toxicity,
 }
