@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from runsieve.llm.common import stage
 
 K = 3
-WINDOW = 4
+WINDOW = 8
 _PLACES = (1 << 32) - 1
 _NO_KEY = -(1 << 63)
 
