@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsieve.llm import hmm, merkle, packing, perspectives, quality, simhash, topk, toxicity, winnow
+from runsieve.llm import hmm, merkle, packing, perspectives, quality, simhash, topk, toxicity, unigram, winnow
 from runsieve.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op4_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_audit": op1_merkle_audit,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_unigram": op4_unigram,
     "op5_quality": op5_quality,
     "op6_perspective_rotation": op6_perspective_rotation,
     "op7_threshold_topk": op7_threshold_topk,
