@@ -47,7 +47,7 @@ THRESHOLD = 0.5
 TRAIN_DOCUMENTS = 2500
 LANDMARKS_TOXIC, LANDMARKS_CLEAN = 128, 32
 #: Weight of all gapped forms of a landmark together, against its own.
-GAPPED_SHARE = 0.5
+GAPPED_SHARE = 2.0
 DECAY = 0.7
 #: (distance of the second, of the third character) of a subsequence.
 _GAPS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
@@ -323,10 +323,11 @@ def fit(
     ]
     # At most twice TRAIN_DOCUMENTS keys.
     few = F.broadcast(drawn[0].union(drawn[1]))
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     sample = (
-        docs.join(few, docs[key] == few["labelled"])
+        texts.join(few, texts["key"] == few["labelled"])
         .groupBy("labelled")
-        .agg(F.min(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("t"), F.min("label").alias("label"))
+        .agg(F.min("t").alias("t"), F.min("label").alias("label"))
         .select("t", "label")
     )
 

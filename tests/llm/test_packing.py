@@ -1,0 +1,95 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from runsieve.llm import packing
+
+from .samples import TEXTS, documents
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found.encode_special_tokens = True
+    return found
+
+
+def ids_of(tokenizer, text):
+    return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [1], dtype="<u4")
+
+
+def test_pieces_cover_documents_once_and_windows_are_full(spark, tokenizer):
+    rows = packing.pack(documents(spark)).collect()
+    wanted = sorted(
+        (ids_of(tokenizer, t).tobytes() for _, t in TEXTS), key=lambda ids: (len(ids), ids)
+    )
+    spans, sequences = {}, {}
+    for row in rows:
+        assert zlib.crc32(bytes(row.ids)) == row.ids_crc32
+        assert len(row.ids) == 4 * row.length
+        spans.setdefault((row.doc_id, row.doc_tokens), []).append(row)
+        sequences.setdefault(row.sequence_id, []).append((row.offset, row.length))
+    for parts in sequences.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end == 2048 or end & (end - 1) == 0
+    seen = []
+    for (_, tokens), parts in spans.items():
+        parts.sort(key=lambda row: row.start)
+        copies = sum(row.length for row in parts) // tokens
+        for _ in range(copies):  # repeated rows have equal spans
+            at, joined = 0, b""
+            while at < tokens:
+                part = next(row for row in parts if row.start == at)
+                parts.remove(part)
+                joined += bytes(part.ids)
+                at += part.length
+            seen.append(joined)
+        assert not parts
+    assert sorted(seen, key=lambda ids: (len(ids), ids)) == wanted
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 700), max_size=80))
+def test_lengths_are_cut_into_disjoint_spans(lengths):
+    covered = {}
+    for pieces in packing.pack_lengths(lengths, 64):
+        total = sum(length for _, _, length in pieces)
+        assert total == 64 or total & (total - 1) == 0 and total < 64
+        for doc, start, length in pieces:
+            assert length > 0
+            covered.setdefault(doc, []).append((start, length))
+    for doc, length in enumerate(lengths):
+        at = 0
+        for start, size in sorted(covered[doc]):
+            assert start == at
+            at += size
+        assert at == length
+
+
+def test_repeat_counts_are_least_squares():
+    histogram = np.zeros(17, dtype=np.int64)
+    histogram[[4, 12, 8, 5, 11]] = [6, 6, 4, 3, 1]
+    columns = packing.combinations(16)
+    assert (columns.sum(axis=1) == 16).all()
+    x = packing.repeat_counts(histogram, columns, 3000)
+    laid = np.zeros(17)
+    for weight, column in zip(x, columns):
+        for part in column[column > 0]:
+            laid[part] += weight
+    assert (x >= 0).all()
+    slope = np.array([sum((laid - histogram)[part] for part in c if part) for c in columns])
+    assert slope.min() > -1e-3 and abs((slope * x).sum()) < 1e-2
+
+
+def test_empty_table(spark):
+    assert packing.pack(documents(spark, []).limit(0)).count() == 0

@@ -1,0 +1,85 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from runsieve.llm import quality
+
+from .samples import TEXTS, documents
+
+
+def generated(n=400, seed=2):
+    draw = random.Random(seed)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 8))) for _ in range(300)]
+    rows, marks = [], []
+    for i in range(n):
+        chosen = draw.choices(words, k=draw.randint(40, 200))
+        good = i % 4 > 0
+        text = " ".join(chosen).capitalize() + "." if good else "!! ".join(chosen[:10] * 8).upper()
+        rows.append((i, text))
+        marks.append((i, int(good)))
+    return rows, marks
+
+
+def labels(spark, marks):
+    return spark.createDataFrame([(i, q, 0) for i, q in marks], "doc_id long, quality int, toxic int")
+
+
+def test_held_out_accuracy(spark):
+    rows, marks = generated()
+    found = quality.classify(documents(spark, rows + TEXTS), labels(spark, marks)).collect()
+    assert len(found) == len(rows) + len(TEXTS)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in found)
+    truth, by_id = dict(marks), dict(rows)
+    out = [r for r in found if r.held_out and r.doc_id in by_id and r.doc_id > 20]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
+    assert len(out) > 50 and all(r.predicted == truth[r.doc_id] for r in out)
+
+
+def test_labels_of_held_out_rows_are_not_used(spark):
+    rows, marks = generated(200)
+    turned = [(i, 1 - q if zlib.crc32(str(i).encode()) % 5 == 0 else q) for i, q in marks]
+    scores = [
+        [r.score for r in quality.classify(documents(spark, rows), labels(spark, m)).orderBy("doc_id").collect()]
+        for m in (marks, turned)
+    ]
+    assert scores[0] == pytest.approx(scores[1])
+
+
+def test_density_against_plain_formula():
+    draw = np.random.default_rng(3)
+    width = len(quality.FEATURES)
+    data = {0: draw.normal(0, 1, (300, width)), 1: draw.normal(0.5, 2, (700, width))}
+    sums = {k: (z := np.hstack([np.ones((len(x), 1)), x])).T @ z for k, x in data.items()}
+    model = quality.Discriminant(sums, to_common=0.0, to_identity=0.0)
+    x = draw.normal(0, 1, (20, width))
+    log = []
+    for label in (0, 1):
+        mean, cov = data[label].mean(axis=0), np.cov(data[label].T, bias=True)
+        gap = x - mean
+        log.append(
+            np.log(len(data[label]) / 1000) - 0.5 * np.linalg.slogdet(cov)[1]
+            - 0.5 * np.einsum("ij,jk,ik->i", gap, np.linalg.inv(cov), gap)
+        )
+    assert model.score(x) == pytest.approx(1 / (1 + np.exp(log[0] - log[1])), rel=1e-6)
+
+
+def test_one_label_no_label_and_empty(spark):
+    docs = documents(spark)
+    none = quality.classify(docs, labels(spark, [])).collect()
+    assert {r.score for r in none} == {0.5}
+    one = quality.classify(docs, labels(spark, [(1, 1), (2, 1), (2, 0), (None, 0)])).collect()
+    assert len({r.score for r in one}) == 1
+    assert quality.classify(docs.limit(0), labels(spark, [])).count() == 0
+
+
+def test_filter_keeps_columns_and_rows(spark):
+    rows, marks = generated(200)
+    docs = documents(spark, rows)
+    kept = quality.keep_good(docs, labels(spark, marks))
+    assert kept.columns == docs.columns
+    good = {i for i, q in marks if q}
+    assert {r.doc_id for r in kept.collect()} == good
