@@ -49,6 +49,8 @@ LANDMARKS_TOXIC, LANDMARKS_CLEAN = 128, 32
 #: Weight of all gapped forms of a landmark together, against its own.
 GAPPED_SHARE = 2.0
 DECAY = 0.7
+#: Kernel values below this towards every landmark count as zero in training.
+FAR = 0.02
 #: (distance of the second, of the third character) of a subsequence.
 _GAPS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 _WEIGHTS = tuple(DECAY ** (last - 2) for _, last in _GAPS)
@@ -147,7 +149,7 @@ def pieces(token: str) -> list[str]:
     plain = token.strip(_EDGES)
     letters = "".join(c for c in plain if c.isalpha())
     out = []
-    for text in {plain, letters}:
+    for text in dict.fromkeys((plain, letters)):
         out += [text[at : at + _SPAN] for at in range(0, max(1, len(text) - _SPAN // 2), _SPAN // 2)]
     return [text for text in out if text]
 
@@ -304,8 +306,13 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
     ]
     up = np.concatenate([up, shares])
     down = np.concatenate([down, np.zeros(len(shares))])
-    x = landmarks.kernel(shown) @ to_space
-    w, offset = support_vectors(x, up, 3 * balance * down)
+    down = 3 * balance * down
+    # Words unlike all landmarks lie next to the origin and count as one row there.
+    near = landmarks.kernel(shown)
+    apart = near.max(axis=1) < FAR
+    x = np.vstack([near[~apart] @ to_space, np.zeros((1, to_space.shape[1]))])
+    up, down = (np.append(part[~apart], part[apart].sum()) for part in (up, down))
+    w, offset = support_vectors(x, up, down)
     machine = Machine(landmarks, to_space @ w, offset, 1.0, 0.0)
     machine.slope, machine.shift = calibrated(machine.document_margins(texts), marks)
     return machine
