@@ -151,8 +151,11 @@ _RNA = _first(
             "not_rna",
             f"NOT ({_GENERAL_ASSAY} OR starts_with({_SOURCE}, '{v.RNA_SOURCE_PREFIX}'))",
         ),
-        ("total_rna_random", "priming_class[:6] IN ('random', 'ribode')"),
-        ("polya_mrna", "priming_class[:5] = 'polya'"),
+        (
+            "total_rna_random",
+            "priming_class IN ('random_declared', 'ribodep_declared', 'random_or_ribodep_text')",
+        ),
+        ("polya_mrna", "priming_class IN ('polya_declared', 'polya_text')"),
     ],
     "'rna_unspecified'",
 )
@@ -464,8 +467,8 @@ ORACLES = {
     "negation_rewrite": _over_texts("SELECT acc, blanked_blob, label_blob FROM texts"),
     "anchor_scan": _with(_METADATA, _TEXTS, _ANCHORS, select="FROM anchors"),
     "study_runs": _over_runs(
-        """SELECT bioproject, sra_study, acc, biosample, organism, assay_type, librarysource,
-  libraryselection, library_name, platform, instrument, avgspotlen, mbytes,
+        """SELECT bioproject, sra_study, acc, biosample, sample_acc, organism, assay_type, librarysource,
+  libraryselection, librarylayout, library_name, platform, instrument, avgspotlen, mbases, mbytes,
   strftime(releasedate, '%Y-%m-%d %H:%M:%S.%f UTC') AS releasedate,
   lib_lc, libsel_lc, attr_blob, label_blob FROM runs"""
     ),
@@ -538,7 +541,7 @@ FROM runs WHERE bioproject IN ('PRJ3', 'PRJ10', 'PRJ39') ORDER BY bioproject, ac
     "accession_list": _over_runs("SELECT acc FROM runs WHERE bioproject = 'PRJ3'"),
     "preview": _with(
         _METADATA,
-        select="""SELECT acc, organism, assay_type FROM metadata
+        select="""SELECT acc, organism, assay_type, mbases FROM metadata
 WHERE organism = 'Homo sapiens' AND consent = 'public' ORDER BY acc LIMIT 10""",
     ),
     "array_cells": _over_labelled(

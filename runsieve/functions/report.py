@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Addresses of the public study pages.
+# Addresses of the public study pages. The texts of verdicts,
+# tissues, evidence and cohort lines below are fixed values too.
 BIOPROJECT_URL = "https://www.ncbi.nlm.nih.gov/bioproject/"
 RUN_SELECTOR_URL = "https://www.ncbi.nlm.nih.gov/Traces/study/?acc="
 # End of the fixed values.
@@ -53,15 +54,18 @@ def _arms_of(size: int) -> Column:
     return (F.col("case_only") >= size) & (F.col("control_only") >= size)
 
 
-def passes() -> Column:
-    return _arms_of(3)
+def passes(enough: int = 3) -> Column:
+    return _arms_of(enough)
 
 
-def verdict(total: str = "n_target_runs") -> Column:
-    """Whether the target arm holds a real case/control contrast."""
+def verdict(total: str = "n_target_runs", enough: int = 3, thin: int = 2) -> Column:
+    """Whether the target arm holds a real case/control contrast.
+
+    ``enough`` and ``thin`` are the sizes of the smaller arm for either verdict.
+    """
     return (
-        F.when(passes(), "PASSES - real contrast")
-        .when(_arms_of(2), "thin - 2v2, underpowered")
+        F.when(passes(enough), "PASSES - real contrast")
+        .when(_arms_of(thin), f"thin - {thin}v{thin}, underpowered")
         .when(
             F.col("unlabeled") == F.col(total), "target arm unlabeled - CHECK BY HAND"
         )
@@ -93,11 +97,36 @@ def array_cell(values: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(values, ","), F.lit("]"))
 
 
+_DAY = 86_400_000_000
+
+
 def timestamp_cell(value: Column, kind: T.DataType) -> Column:
-    """A timestamp as UTC text with microseconds."""
+    """A timestamp as UTC text with microseconds, in any session time zone.
+
+    The text is computed from the microseconds since the epoch, since the wall
+    clock of the session skips an hour where daylight saving begins.
+    """
     if isinstance(kind, T.TimestampType):
-        value = F.to_utc_timestamp(value, F.current_timezone())
-    return F.concat(F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" UTC"))
+        micros = F.unix_micros(value)
+        rest = F.pmod(micros, F.lit(_DAY))
+        day = F.date_add(F.lit("1970-01-01").cast("date"), ((micros - rest) / _DAY).cast("int"))
+        second = F.floor(rest / 1_000_000)
+        parts = [F.floor(second / 3600), F.floor(second % 3600 / 60), second % 60]
+        fraction = (rest % 1_000_000).cast("string")
+    else:
+        day = value.cast("date")
+        parts = [F.hour(value), F.minute(value), F.second(value)]
+        exact = F.extract(F.lit("SECOND"), value)
+        fraction = F.floor((exact - F.floor(exact)) * 1_000_000).cast("string")
+    two = [F.lpad(part.cast("string"), 2, "0") for part in parts]
+    return F.concat(
+        day.cast("string"),
+        F.lit(" "),
+        F.concat_ws(":", *two),
+        F.lit("."),
+        F.lpad(fraction, 6, "0"),
+        F.lit(" UTC"),
+    )
 
 
 def as_cells(frame: DataFrame) -> DataFrame:

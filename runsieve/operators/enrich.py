@@ -38,20 +38,24 @@ def collapse(value: Column) -> Column:
     return F.trim(F.regexp_replace(text, rf"(?U){_SPACE}+", " "))
 
 
-def normalise_records(records: DataFrame) -> DataFrame:
+def normalise_records(
+    records: DataFrame, description_length: int | None = DESCRIPTION_LENGTH
+) -> DataFrame:
     """One row per accession with cleaned fields; the last arrival wins.
 
     ``records`` has the raw fields and ``seq``, the arrival position. Fields
-    are cleaned and cut before the shuffle, which then moves short texts.
+    are cleaned and cut before the shuffle, which then moves short texts; no cut
+    with ``description_length`` None.
     """
+    description = collapse(F.col("project_description"))
+    if description_length is not None:
+        description = F.substring(description, 1, description_length)
     cleaned = records.filter(F.col("project_acc") != "").select(
         "project_acc",
         "seq",
         F.struct(
             strip(F.col("project_title")).alias("study_title"),
-            F.substring(
-                collapse(F.col("project_description")), 1, DESCRIPTION_LENGTH
-            ).alias("study_description"),
+            description.alias("study_description"),
             strip(F.col("submitter_organization")).alias("submitter"),
             strip(F.col("registration_date")).alias("registration_date"),
             strip(F.col("project_data_type")).alias("project_data_type"),

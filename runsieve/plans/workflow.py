@@ -50,6 +50,7 @@ def build_study_tables(
     runs = write_table(
         extract_study_runs(metadata, anchors, vocabulary),
         f"{schema}.{RUNS_TABLE}",
-        cluster_by=("bioproject", "acc"),
+        cluster_by=("bioproject",),
+        sort_by=("acc",),
     )
     return anchors, runs

@@ -27,14 +27,30 @@ def read_study_records(
 ) -> DataFrame:
     """Raw study records of the JSON documents under ``path``.
 
-    One document per file, or one per line: then files can be split.
+    One document per file, or one per line: then files can be split. Documents
+    arrive in the order of their files' modification times, then paths, then
+    places in the file.
     """
+    return records_from_documents(read_documents(spark, path, one_per_line), "value")
+
+
+def read_documents(
+    spark: SparkSession, path: str, one_per_line: bool = False
+) -> DataFrame:
+    """``value`` and ``document_seq``, the arrival position, of each document."""
     files = spark.read.text(path, wholetext=not one_per_line)
     order = F.struct(
+        F.col("_metadata.file_modification_time").alias("modified"),
         F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("line"),
     )
-    return records_from_documents(files.withColumn("document_seq", order), "value")
+    return files.select("value", order.alias("document_seq"))
+
+
+def unreadable_documents(documents: DataFrame, text: str) -> DataFrame:
+    """The documents that are no JSON, which give no records."""
+    return documents.filter(F.col(text).isNotNull() & F.try_parse_json(text).isNull())
 
 
 def records_from_documents(

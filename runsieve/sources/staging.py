@@ -5,6 +5,9 @@ back with a size known to the optimizer. So the optimizer itself decides, by
 ``spark.sql.autoBroadcastJoinThreshold``, whether a staged key table may be
 broadcast; beyond that size it plans a shuffled join, whose skewed partitions
 adaptive execution splits.
+
+Staged tables live until :func:`drop_staged`, which the owner of a session calls
+when the results that read them are written.
 """
 
 from __future__ import annotations
@@ -16,18 +19,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER_SETTING = "spark.checkpoint.dir"
 _own_folders: dict[str, str] = {}
+_staged: dict[str, list[str]] = {}
+
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by the session.
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder named by the session; a temporary one in local mode only."""
+    A session in local mode without one gets a temporary folder; on a cluster
+    that is an error, as executors cannot see each other's folders.
+    """
     folder = spark.conf.get(_FOLDER_SETTING, None)
     if folder:
         return folder
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    if not context.master.startswith("local"):
-        return None
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError(f"set {_FOLDER_SETTING} to a folder that all executors share")
     application = context.applicationId
     if application not in _own_folders:
         _own_folders[application] = tempfile.mkdtemp(prefix="runsieve-")
@@ -35,15 +43,20 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 
 def stage(frame: DataFrame, name: str) -> DataFrame:
-    """Write ``frame`` to the shared folder and return a scan of it.
-
-    Where a cluster names no shared folder the frame comes back as it is: the
-    results are the same, only parts of the plan may be computed twice.
-    """
+    """Write ``frame`` to the shared folder and return a scan of it."""
     spark = frame.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        return frame
-    path = f"{folder.rstrip('/')}/runsieve/{name}-{uuid.uuid4().hex}"
+    folder = shared_folder(spark).rstrip("/")
+    path = f"{folder}/runsieve/{name}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what this application staged; how many folders that were."""
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    context = spark.sparkContext
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

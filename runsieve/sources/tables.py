@@ -25,6 +25,15 @@ def read_anchor_studies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.ANCHOR_STUDIES).parquet(path)
 
 
+def from_table(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` from a catalog table; an error names those missing."""
+    found = spark.table(table)
+    missing = [name for name in schema.names if name not in found.columns]
+    if missing:
+        raise ValueError(f"table {table} has no column {', '.join(missing)}")
+    return found.select(*schema.names)
+
+
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated genomic intervals with a header line."""
     return spark.read.csv(path, schema=schemas.INTERVALS, sep="\t", header=True)
@@ -35,16 +44,22 @@ def create_schema(spark: SparkSession, name: str) -> None:
 
 
 def write_table(
-    frame: DataFrame, table: str, cluster_by: Sequence[str | Column] = ()
+    frame: DataFrame,
+    table: str,
+    cluster_by: Sequence[str | Column] = (),
+    sort_by: Sequence[str | Column] = (),
 ) -> DataFrame:
     """Create or replace ``table`` from ``frame`` and return a scan of it.
 
     ``cluster_by`` brings rows of equal keys together before writing, so that
-    later filters on those keys skip most row groups. The rebalance hint splits
-    a key that holds too many rows over several files.
+    later filters on those keys skip most files; the rebalance hint splits a key
+    that holds too many rows over several. Within a file rows are sorted by
+    ``cluster_by``, then ``sort_by``.
     """
     if cluster_by:
-        frame = frame.hint("rebalance", *cluster_by).sortWithinPartitions(*cluster_by)
+        frame = frame.hint("rebalance", *cluster_by)
+    if cluster_by or sort_by:
+        frame = frame.sortWithinPartitions(*cluster_by, *sort_by)
     frame.write.mode("overwrite").saveAsTable(table)
     return frame.sparkSession.table(table)
 
@@ -58,38 +73,65 @@ def accession_list(runs: DataFrame, bioproject: str) -> DataFrame:
     return runs.filter(F.col("bioproject") == bioproject).select("acc")
 
 
-def read_sheet(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_sheet(
+    spark: SparkSession, path: str, multi_line: bool = True, position: str | None = None
+) -> DataFrame:
     """A CSV sheet with a header; every cell is text, empty cells are ``''``.
 
-    A byte order mark is skipped. The sheet must have rows and a ``bioproject``
-    column. ``multi_line`` allows line breaks inside quoted cells, at the price
-    of one task per file; switch it off for large files without such cells.
+    A byte order mark is skipped. The sheet must have rows, a ``bioproject``
+    column and no two equal headings. ``multi_line`` allows line breaks inside
+    quoted cells, at the price of one task per file; switch it off for large
+    files without such cells. ``position`` names a column to add that orders
+    rows as they lie in the files, for :func:`write_sheet` to sort by.
     """
-    sheet = spark.read.csv(
-        path,
-        header=True,
-        inferSchema=False,
-        multiLine=multi_line,
-        quote='"',
-        escape='"',
-        encoding="UTF-8",
-    )
+    options = {
+        "inferSchema": False, "multiLine": multi_line, "quote": '"', "escape": '"', "encoding": "UTF-8"
+    }
+    sheet = spark.read.csv(path, header=True, **options)
+    heading = spark.read.csv(path, header=False, **options).first()
+    names = [(name or "").lstrip("\ufeff") for name in heading or ()]
+    equal = sorted({name for name in names if name and names.count(name) > 1})
+    if equal:
+        raise ValueError(f"input CSV has equal headings: {', '.join(equal)}")
     if "bioproject" not in sheet.columns:
         if not sheet.columns or sheet.isEmpty():
             raise ValueError("input CSV is empty")
         raise ValueError("input CSV has no 'bioproject' column")
     if sheet.isEmpty():
         raise ValueError("input CSV is empty")
-    return sheet.na.fill("")
+    cells = sheet.na.fill("")
+    if position is None:
+        return cells
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return sheet.select("*", place.alias(position)).na.fill("")
 
 
-def write_sheet(frame: DataFrame, path: str, order_by: Sequence[str | Column] = ()) -> None:
+def write_sheet(
+    frame: DataFrame,
+    path: str,
+    order_by: Sequence[str | Column] = (),
+    position: str | None = None,
+) -> None:
     """Write CSV with a header; arrays and timestamps become text cells.
 
-    Quotes are doubled as spreadsheets expect, and NULL is an empty cell.
+    Quotes are doubled as spreadsheets expect, cells keep blanks at their ends,
+    and NULL is an empty cell. ``position`` names a column to sort by that is
+    not written.
     """
-    if order_by:
+    if position is not None:
+        frame = frame.orderBy(position, *order_by).drop(position)
+    elif order_by:
         frame = frame.orderBy(*order_by)
     as_cells(frame).write.mode("overwrite").csv(
-        path, header=True, quote='"', escape='"', emptyValue=""
+        path,
+        header=True,
+        quote='"',
+        escape='"',
+        emptyValue="",
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from runsieve.functions import report
@@ -82,3 +84,20 @@ def test_cells(spark):
         assert tuple(cells) == (stamp, stamp)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_timestamp_cells_in_any_zone(spark, zone):
+    """Hours that a zone skips or repeats, and instants before the epoch."""
+    instants = ["2020-03-08 02:30:00", "2020-03-08 07:30:00.000001", "2020-11-01 05:30:00", "2020-11-01 06:30:00", "1969-12-31 23:59:59.5"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        frame = spark.createDataFrame([(x,) for x in instants], "x string").selectExpr(
+            "to_timestamp(x || 'Z') AS a", "to_timestamp_ntz(x) AS b"
+        )
+        found = [tuple(row) for row in report.as_cells(frame).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    wanted = [(x if "." in x else x + ".").ljust(26, "0") + " UTC" for x in instants]
+    assert found == [(text, text) for text in wanted]

@@ -5,8 +5,8 @@ import json
 
 import pytest
 
-from runsieve.operators import anchor, labels
-from runsieve.plans import screens, workflow
+from runsieve.operators import anchor
+from runsieve.plans import workflow
 from runsieve.sources import records, schemas, staging, tables
 
 from .rows import metadata, run
@@ -153,27 +153,69 @@ def test_staging_folder(spark):
     assert staged.schema.names == ["id", "s"] and staged.count() == 5
 
 
-def test_results_do_not_depend_on_staging(spark, monkeypatch):
-    rows = [
-        run(
-            [("disease", "alzheimer" if i % 2 else "control"), ("tissue", "csf")],
-            libraryselection="RANDOM",
-            assay_type="miRNA-Seq" if i % 3 else "RNA-Seq",
-            library_name=f"l{i}",
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master = "spark://somewhere:7077"
+        applicationId = "x"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_folder(Session())
+
+
+def test_sheet_keeps_blanks_and_order(spark, tmp_path):
+    rows = [(f"PRJ{i % 7}", cell) for i, cell in enumerate([" x ", "\ty", 'q "a", b ', "line\nbreak", "", "z  "] * 20)]
+    path = tmp_path / "in.csv"
+    with open(path, "w", newline="", encoding="utf-8") as handle:
+        csv.writer(handle).writerows([("bioproject", "note"), *rows])
+    sheet = tables.read_sheet(spark, str(path), position="_at")
+    mixed = sheet.repartition(4, "note")
+    tables.write_sheet(mixed, str(tmp_path / "out"), position="_at")
+    parts = read_csv(tmp_path / "out")
+    assert [tuple(row) for row in parts if row != ["bioproject", "note"]] == rows
+
+
+def test_equal_headings_are_an_error(spark, tmp_path):
+    path = write(tmp_path / "twice.csv", "bioproject,a,a\nPRJ1,1,2\n")
+    with pytest.raises(ValueError, match="equal headings: a"):
+        tables.read_sheet(spark, path)
+
+
+def test_tables_keep_a_study_in_few_files(spark, tmp_path):
+    frame = spark.range(20_000).selectExpr("'PRJ' || (id % 100) AS bioproject", "'SRR' || id AS acc")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        stored = tables.write_table(
+            frame.repartition(8), "clustered_runs", cluster_by=("bioproject",), sort_by=("acc",)
         )
-        for i in range(24)
-    ]
-    source = metadata(spark, rows)
-
-    def results():
-        _, runs = workflow.anchored_runs(source)
-        return [
-            screens.screen_total_long(runs).collect(),
-            screens.screen_small_rna(runs).collect(),
-            labels.label_target(runs).orderBy("acc").collect(),
-        ]
-
-    staged = results()
-    assert all(len(r) > 0 for r in staged)
-    monkeypatch.setattr(staging, "shared_folder", lambda spark: None)
-    assert results() == staged
+        files = stored.selectExpr("bioproject", "_metadata.file_path AS f").distinct()
+        assert files.select("f").distinct().count() > 1
+        assert files.count() <= 2 * 100
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.sql("DROP TABLE IF EXISTS clustered_runs")
+
+
+def test_missing_columns_of_a_table_are_named(spark):
+    spark.range(3).write.mode("overwrite").saveAsTable("narrow")
+    with pytest.raises(ValueError, match="no column"):
+        tables.from_table(spark, "narrow", schemas.STUDY_RUNS)
+    spark.sql("DROP TABLE narrow")
+
+
+def test_unreadable_documents_are_reported(spark):
+    docs = spark.createDataFrame([(1, '{"result": {"uids": []}}'), (2, '{"result": {"uid'), (3, None)], "document_seq int, value string")
+    assert [r.document_seq for r in records.unreadable_documents(docs, "value").collect()] == [2]
+
+
+def test_staged_tables_can_be_dropped(spark):
+    staged = staging.stage(spark.range(5), "gone")
+    assert staged.count() == 5
+    assert staging.drop_staged(spark) >= 1
+    assert staging.drop_staged(spark) == 0
