@@ -104,13 +104,22 @@ def fingerprints(
     return map_batches(lean, make, f"key {kind}, bits long, digest long")
 
 
+def _dealt(values: DataFrame) -> DataFrame:
+    """Spread ``bits`` over all shuffle partitions before each becomes many rows.
+
+    Adaptive execution sees a few bytes per value and would join partitions.
+    """
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return values.select("bits").repartition(parts, F.hash("bits"))
+
+
 def with_partner(distinct: DataFrame) -> DataFrame:
     """Those ``bits`` that share a masked variant with another value."""
     ball = F.explode(
         F.array(*(F.struct(F.lit(k).alias("k"), F.lit(f).alias("f")) for k, f in _masked_ball()))
     )
     meet = (
-        distinct.select("bits", ball.alias("m"))
+        _dealt(distinct).select("bits", ball.alias("m"))
         .select("bits", F.col("bits").bitwiseAND(F.col("m.k")).bitwiseXOR(F.col("m.f")).alias("v"))
         .withColumn("n", F.count(F.lit(1)).over(W.partitionBy("v")))
     )
@@ -124,7 +133,7 @@ def links(candidates: DataFrame) -> DataFrame:
     )
     near = F.when(F.col("flips") <= RADIUS // 2, F.col("bits"))
     meet = (
-        candidates.select("bits", ball.alias("m"))
+        _dealt(candidates).select("bits", ball.alias("m"))
         .select(
             "bits",
             F.col("m.n").cast("byte").alias("flips"),
