@@ -81,9 +81,9 @@ SELECT bioproject, sra_study, acc, biosample, sample_acc,
   ) AS attributes
 """
 
-#: Records of documents over 300 accessions; some titles hold flag words.
+#: Records of documents over even accessions only; some titles hold flag words.
 RECORD_VIEW = """
-SELECT 'PRJ' || (doc_id % 300) AS project_acc,
+SELECT 'PRJ' || (2 * (doc_id % 300)) AS project_acc,
        '  Study ' || doc_id || CASE doc_id % 4 WHEN 0 THEN ' of Alzheimer disease '
          WHEN 1 THEN ' microRNA ' ELSE ' ' END || source || ' ' AS project_title,
        text AS project_description,
