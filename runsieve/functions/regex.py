@@ -4,7 +4,7 @@ Vocabularies are written in RE2 syntax. Java differs in a few points: ``\\b``
 counts letters of every script as word characters, ``\\s`` includes the
 vertical tab, ``.`` stops at more line ends and ``$`` also matches before a
 final line end. :func:`java_regex` rewrites those, so that a pattern picks the
-same text in both dialects.
+same text in both dialects, and raises for the few that it cannot render.
 
 Trying dozens of alternatives at every position of a text is what the screens
 spend their time on. So a match is attempted only on texts that contain one of
@@ -30,6 +30,8 @@ _ANY_BOUNDARY = (
 )
 _RE2_SPACES = r"\t\n\f\r "
 _MIN_LITERAL = 2
+#: What a character class may not hold, as Java reads it in another way.
+_NOT_IN_CLASS = ("[:", r"\S", "&&")
 
 
 def _optional(token: str) -> bool:
@@ -60,9 +62,16 @@ def java_regex(pattern: str) -> str:
                 out.append(_ANY_BOUNDARY)
         elif token == r"\s":
             out.append(f"[{_RE2_SPACES}]")
+        elif token == r"\S":
+            out.append(f"[^{_RE2_SPACES}]")
+        elif token == r"\B":
+            out.append(f"(?!{_ANY_BOUNDARY})")
         elif token == "$":
             out.append(r"\z")
         elif token.startswith("[") and len(token) > 1:
+            unknown = next((part for part in _NOT_IN_CLASS if part in token[1:]), None)
+            if unknown:
+                raise ValueError(f"{unknown} inside {token} has no equal in Java patterns")
             out.append(token.replace(r"\s", _RE2_SPACES))
         else:
             out.append(token)

@@ -113,3 +113,15 @@ def test_null_text(spark):
         regex.matches("t", v.CASE_TERMS), regex.first_term("t", v.CASE_TERMS)
     )
     assert tuple(row.first()) == (None, None)
+
+
+@pytest.mark.parametrize("pattern", [r"[[:alpha:]]x", r"[^\S]", r"[a&&b]"])
+def test_classes_that_java_reads_otherwise_are_refused(pattern):
+    with pytest.raises(ValueError, match="no equal in Java"):
+        regex.java_regex(pattern)
+
+
+def test_negated_boundary_and_space(spark):
+    frame = spark.createDataFrame([("éa b",), ("a\x0bb",), ("ab",)], "t string")
+    rows = frame.select(regex.matches("t", r"\Bb").alias("inner"), regex.matches("t", r"^\S+$").alias("solid")).collect()
+    assert [tuple(r) for r in rows] == [(False, False), (False, True), (True, True)]
