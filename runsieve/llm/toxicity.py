@@ -60,7 +60,8 @@ _ROWS = 2000
 #: The kernel is this power of the likeness, which sets single words apart.
 DEGREE = 3
 #: Distinct tokens kept per generation of a task's cache.
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 200_000
+_TEXTS = 250
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _SENTENCE = re.compile(r"[.!?\n]+")
 _LONE = 3
@@ -204,10 +205,13 @@ class Machine:
 
     def document_margins(self, texts: list[str]) -> np.ndarray:
         """The largest margin of each text's tokens."""
-        split = [set(tokens_of(text)) for text in texts]
-        self._learn(set().union(*split))
-        known = self._margins
-        return np.array([max(map(known.__getitem__, own), default=self.offset) for own in split])
+        out = np.empty(len(texts))
+        for at in range(0, len(texts), _TEXTS):
+            split = [set(tokens_of(text)) for text in texts[at : at + _TEXTS]]
+            self._learn(set().union(*split))
+            known = self._margins
+            out[at : at + _TEXTS] = [max(map(known.__getitem__, own), default=self.offset) for own in split]
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.landmarks is None:
@@ -237,7 +241,7 @@ def support_vectors(
 
     ``toxic`` and ``clean`` are the weights of a row as example of either label.
     """
-    rows = np.hstack([x, np.ones((len(x), 1))])
+    rows = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
     total = toxic.sum() + clean.sum()
     up, down = toxic / total, clean / total
     ridge = np.full(rows.shape[1], penalty)
@@ -247,12 +251,16 @@ def support_vectors(
         f = rows @ w
         pull, push = np.where(f < 1, up, 0.0), np.where(f > -1, down, 0.0)
         inside = np.flatnonzero(pull + push)
-        own = rows[inside]
-        both = (pull + push)[inside]
-        after = np.linalg.solve((own * both[:, None]).T @ own + np.diag(ridge), (pull - push)[inside] @ own)
+        curve, slope = np.diag(ridge), np.zeros(len(ridge))
+        for at in range(0, len(inside), 10_000):
+            part = inside[at : at + 10_000]
+            own = rows[part].astype(float)
+            curve += (own * (pull + push)[part][:, None]).T @ own
+            slope += (pull - push)[part] @ own
+        after = np.linalg.solve(curve, slope)
         moved = np.abs(after - w).max()
         w = after
-        if moved < 1e-6:
+        if moved < 1e-5:
             break
     return w[:-1], float(w[-1])
 
@@ -308,10 +316,15 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
     down = np.concatenate([down, np.zeros(len(shares))])
     down = 3 * balance * down
     # Words unlike all landmarks lie next to the origin and count as one row there.
-    near = landmarks.kernel(shown)
-    apart = near.max(axis=1) < FAR
-    x = np.vstack([near[~apart] @ to_space, np.zeros((1, to_space.shape[1]))])
-    up, down = (np.append(part[~apart], part[apart].sum()) for part in (up, down))
+    near, rows = [], []
+    for at in range(0, len(shown), _ROWS):
+        values = landmarks.kernel(shown[at : at + _ROWS])
+        close = np.flatnonzero(values.max(axis=1) >= FAR)
+        near.append(values[close])
+        rows.append(at + close)
+    close = np.concatenate(rows)
+    x = np.vstack([part @ to_space.astype(np.float32) for part in near] + [np.zeros((1, to_space.shape[1]), np.float32)])
+    up, down = (np.append(part[close], part.sum() - part[close].sum()) for part in (up, down))
     w, offset = support_vectors(x, up, down)
     machine = Machine(landmarks, to_space @ w, offset, 1.0, 0.0)
     machine.slope, machine.shift = calibrated(machine.document_margins(texts), marks)
