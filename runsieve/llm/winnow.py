@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from runsieve.llm.common import stage
 
 K = 3
-WINDOW = 8
+WINDOW = 4
 _PLACES = (1 << 32) - 1
 _NO_KEY = -(1 << 63)
 
@@ -44,12 +44,17 @@ def _rolling(values: Column, width: int, join: Callable[[Column, Column], Column
     """Join each element with the ``width - 1`` after it; shorter at the end."""
     if width == 1:
         return values
+
+    # A second parameter of the function would be the index, also one with a default.
+    def by(step: int) -> Callable[[Column], Column]:
+        return lambda v: F.zip_with(v, _shifted(v, step), join)
+
     half = 1
     while half * 2 <= width:
-        values = _let(values, lambda v, h=half: F.zip_with(v, _shifted(v, h), join))
+        values = _let(values, by(half))
         half *= 2
     if half < width:
-        return _let(values, lambda v: F.zip_with(v, _shifted(v, width - half), join))
+        return _let(values, by(width - half))
     return values
 
 

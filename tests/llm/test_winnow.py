@@ -77,6 +77,15 @@ def test_a_shared_passage_gives_a_shared_choice(spark):
     assert one & two
 
 
+def test_six_shared_tokens_give_a_shared_choice(spark):
+    rows = []
+    for i in range(30):
+        passage = " ".join(f"p{i}x{j}" for j in range(6))
+        rows += [(2 * i, f"alpha{i} beta{i} {passage} gamma{i}"), (2 * i + 1, f"other{i} words{i} here{i} {passage} end{i}")]
+    found = {r.doc_id: set(r.hashes) for r in winnow.fingerprints(documents(spark, rows)).collect()}
+    assert all(found[2 * i] & found[2 * i + 1] for i in range(30))
+
+
 def test_empty_and_single(spark):
     assert winnow.compare_edited(documents(spark, []).limit(0)).count() == 0
     row = winnow.compare_edited(documents(spark, [(4, "alone in the table")])).first()
