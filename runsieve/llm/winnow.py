@@ -1,7 +1,10 @@
 """Winnowing fingerprints with DataFrame functions only.
 
-Tokens are runs without white space, cut after eight characters so that texts
-without spaces have tokens too. Every ``k`` tokens in a row are hashed, rolling
+Tokens are runs without white space, cut after eight characters. Runs longer than
+``LONG`` characters, as in texts without spaces, are first cut by content: after
+every character whose hash is below that of the one before and not above that of
+the one after. So where a passage lies in its run does not matter: from its first
+such cut on it has the same tokens everywhere. Every ``k`` tokens in a row are hashed, rolling
 pairwise over the array of token hashes. Of every ``w`` neighbouring hashes the
 smallest is chosen, the rightmost of equal ones; a passage of ``w + k - 1``
 tokens that two texts share thus gives both a common choice. Hash and position
@@ -27,6 +30,8 @@ from runsieve.llm.common import stage
 
 K = 3
 WINDOW = 4
+#: Longest run that counts as a word.
+LONG = 16
 _PLACES = (1 << 32) - 1
 _NO_KEY = -(1 << 63)
 
@@ -58,9 +63,31 @@ def _rolling(values: Column, width: int, join: Callable[[Column, Column], Column
     return values
 
 
+def _cut_by_content(run: Column) -> Column:
+    def marked(chars: Column) -> Column:
+        return _let(
+            F.transform(chars, lambda c: F.hash(c)),
+            lambda h: F.transform(
+                chars,
+                lambda c, i: F.when(
+                    (F.get(h, i) < F.get(h, i - 1)) & (F.get(h, i) <= F.get(h, i + 1)), F.concat(c, F.lit("\n"))
+                ).otherwise(c),
+            ),
+        )
+
+    return F.array_join(_let(F.split(run, ""), marked), "")
+
+
+def spaced(text: Column) -> Column:
+    """The text with line ends at the cuts of its long runs."""
+    runs = F.regexp_extract_all(text, F.lit(r"\s+|[^\s]+"), F.lit(0))
+    cut = F.transform(runs, lambda run: F.when(F.length(run) > LONG, _cut_by_content(run)).otherwise(run))
+    return F.when(text.rlike(rf"[^\s]{{{LONG + 1}}}"), F.array_join(cut, "")).otherwise(text)
+
+
 def choices(text: Column, k: int = K, w: int = WINDOW) -> Column:
     """Chosen hashes of a text with their places, as sorted-by-place longs."""
-    tokens = F.regexp_extract_all(text, F.lit(r"[^\s]{1,8}"), F.lit(0))
+    tokens = F.regexp_extract_all(spaced(text), F.lit(r"[^\s]{1,8}"), F.lit(0))
     hashes = F.transform(tokens, lambda token: F.hash(token))
 
     def grams(h: Column) -> Column:

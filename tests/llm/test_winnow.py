@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -86,6 +87,21 @@ def test_six_shared_tokens_give_a_shared_choice(spark):
     assert all(found[2 * i] & found[2 * i + 1] for i in range(30))
 
 
+def test_a_passage_without_spaces_is_found_at_any_offset(spark):
+    draw = random.Random(9)
+    alphabets = ["".join(map(chr, range(0x4E00, 0x5200))), "acgt", "ABCDEFGHabcdefgh0123456789+/"]
+    passages = ["".join(draw.choices(letters, k=600)) for letters in alphabets] + ["ab" * 300, "\u3000word\u00a0" * 100]
+    rows = []
+    for i, passage in enumerate(passages):
+        rows += [(10 * i + n, "#" * n + passage) for n in range(1, 9)]
+    found = {r.doc_id: set(r.hashes) for r in winnow.fingerprints(documents(spark, rows)).collect()}
+    for i in range(len(passages)):
+        for n in range(2, 9):
+            one, two = found[10 * i + 1], found[10 * i + n]
+            assert len(one & two) >= 0.8 * len(one | two) - 4
+            assert one & two
+
+
 def test_empty_and_single(spark):
     assert winnow.compare_edited(documents(spark, []).limit(0)).count() == 0
     row = winnow.compare_edited(documents(spark, [(4, "alone in the table")])).first()
