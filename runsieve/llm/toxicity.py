@@ -15,7 +15,11 @@ others; in the space that their kernel matrix spans a linear support vector
 machine with weighted examples is trained.
 
 A document is as toxic as its most toxic word, or run of single characters read
-as one word. Each word is also tried without what is not a letter. Scores are
+as one word. Each word is also tried without what is not a letter. Two words next
+to each other, with nothing but space between, are one string more, which counts
+where the machine puts it on the toxic side; those that an upper bound of the
+margin keeps off that side, or that are longer than any toxic landmark by more
+than ``PAIR_SLACK``, are not computed further. Scores are
 made probabilities by logistic regression on whole training documents.
 
 Training uses a bounded sample: at most ``TRAIN_DOCUMENTS`` labelled documents
@@ -48,12 +52,16 @@ TRAIN_DOCUMENTS = 2500
 LANDMARKS_TOXIC, LANDMARKS_CLEAN = 128, 32
 #: Weight of all gapped forms of a landmark together, against its own.
 GAPPED_SHARE = 2.0
+#: Characters put into the landmarks in training.
+GAP_MARKS = "x*"
 DECAY = 0.7
 #: Kernel values below this towards every landmark count as zero in training.
 FAR = 0.02
 #: (distance of the second, of the third character) of a subsequence.
 _GAPS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 _WEIGHTS = tuple(DECAY ** (last - 2) for _, last in _GAPS)
+#: Characters that a pair of words may have beyond the longest toxic landmark.
+PAIR_SLACK = 2
 _CODES = 64
 _SPAN = 32
 _ROWS = 2000
@@ -144,6 +152,18 @@ class Landmarks:
                 out[places[at + row[first]]] = np.add.reduceat(added, first, axis=0)
         return out**DEGREE
 
+    def bound(self, words: list[str], weights: np.ndarray) -> np.ndarray:
+        """Not less than ``kernel(words) @ weights``: all likenesses but one at their largest."""
+        most, up = np.zeros((2, _CODES**3), dtype=np.float32)
+        known = np.flatnonzero(self.place >= 0)
+        rows = self.table[self.place[known]]
+        most[known], up[known] = rows.max(axis=1), rows @ np.maximum(weights, 0)
+        out = np.zeros(len(words))
+        for places, numbers, own in subsequences(words):
+            scaled = (own / np.sqrt((own**2).sum())).astype(np.float32)
+            out[places] = (most[numbers] @ scaled) ** (DEGREE - 1) * (up[numbers] @ scaled)
+        return out * 1.001
+
 
 def pieces(token: str) -> list[str]:
     """Strings to try for a token: as it is, letters only, in windows if long."""
@@ -166,6 +186,18 @@ def tokens_of(text: str) -> list[str]:
     return tokens
 
 
+def pairs_of(text: str, longest: int) -> list[str]:
+    """Neighbouring words as one string, where nothing but space is between them."""
+    tokens = text.lower().split()
+    out = []
+    for one, two in zip(tokens, tokens[1:]):
+        if len(one) + len(two) <= longest + 2 and one[-1].isalnum() and two[0].isalnum():
+            whole = (one + two).strip(_EDGES)
+            if len(whole) <= longest:
+                out.append(whole)
+    return out
+
+
 class Machine:
     """Landmarks with their weights, an offset, and the logistic calibration."""
 
@@ -211,8 +243,24 @@ class Machine:
             self._learn(set().union(*split))
             known = self._margins
             out[at : at + _TEXTS] = [max(map(known.__getitem__, own), default=self.offset) for own in split]
+            self._raise_by_pairs(texts[at : at + _TEXTS], out[at : at + _TEXTS])
         return out
 
+    def _raise_by_pairs(self, texts: list[str], out: np.ndarray) -> None:
+        toxic = [len(word) for word, weight in zip(self.landmarks.words, self.weights) if weight > 0]
+        longest = max(toxic, default=0) + PAIR_SLACK
+        pairs = [set(pairs_of(text, longest)) for text in texts]
+        every = list(set().union(*pairs))
+        near = np.flatnonzero(self.landmarks.bound(every, self.weights) + self.offset > 0)
+        if not len(near):
+            return
+        near = [every[at] for at in near]
+        margin = dict(zip(near, self.margins(near).tolist()))
+        bad = {pair for pair, value in margin.items() if value > 0}
+        for at, own in enumerate(pairs):
+            for pair in own & bad:
+                out[at] = max(out[at], margin[pair])
+
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.landmarks is None:
             return np.full(len(texts), self.shift)
@@ -282,7 +330,7 @@ def calibrated(margin: np.ndarray, toxic: np.ndarray, rounds: int = 100) -> tupl
 
 
 def _gapped(word: str) -> list[str]:
-    return [word[:at] + mark + word[at:] for at in range(1, len(word)) for mark in "x*"]
+    return [word[:at] + mark + word[at:] for at in range(1, len(word)) for mark in GAP_MARKS]
 
 
 def train(texts: list[str], toxic: list[int]) -> Machine:

@@ -89,3 +89,15 @@ def test_filter_keeps_clean_rows_and_columns(spark):
     kept = toxicity.keep_clean(docs, labels(spark, marks))
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, t in marks if not t}
+
+
+@pytest.mark.parametrize("disguise", ["grum blik", "snar fox", "vile wort", "v ilewort"])
+def test_insults_split_by_one_space(machine, disguise):
+    assert machine.scores([f"some plain words {disguise} and more of them"])[0] >= 0.5
+
+
+def test_bound_is_not_below_the_margin(machine):
+    draw = random.Random(6)
+    words = ["".join(draw.choices("abgiklmrufnosxvwet", k=draw.randint(3, 12))) for _ in range(3000)] + BAD
+    found = machine.landmarks.kernel(words) @ machine.weights
+    assert (machine.landmarks.bound(words, machine.weights) >= found - 1e-4).all()
