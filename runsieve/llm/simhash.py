@@ -23,17 +23,6 @@ Defined cases: null and empty texts have fingerprint zero and are linked like
 any other; repeated rows and equal texts share a component; an empty table
 gives no rows; a null key never becomes a component id unless every key of the
 component is null; other columns are not read, so their names cannot clash.
-
-``keep_one_similar`` is for stages that want texts alike by their five-word
-shingles, Jaccard 0.8 or more, which 3 bits cannot tell. Its links come from the
-ball and, in addition, from shared shingles: of two sets alike to 0.8 one shingle
-is among the first fifth of both, in any order that all texts share. The order
-has the commonest shingles last, found in a sample, which changes the size of
-groups and not what can meet. A group of up to ``NEIGHBOURS`` + 1 sets is
-compared pair by pair; in a larger one each set meets the member with the
-commonest shingles and, in an order that differs from group to group, the
-``FEW`` before it, so that no group makes more than a few links a row. Only
-there can a pair be missed. Every link is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -48,11 +37,6 @@ from pyspark.sql import functions as F
 from runsieve.llm.common import map_batches, stage, text_bytes
 
 RADIUS = 3
-#: Words of a shingle and least Jaccard likeness, in fifths, of ``keep_one_similar``.
-SIMILAR_WIDTH, SIMILAR_FIFTHS = 5, 4
-NEIGHBOURS, FEW = 16, 4
-#: One in so many documents is searched for common shingles, and how many are put last.
-SAMPLE, COMMON = 16, 50_000
 _BITS = 64
 _SEED = 42
 
@@ -239,124 +223,13 @@ def near_duplicates(
     )
 
 
-def common_shingles(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The shingles most documents of a sample have, sorted; those of one in a few hundred."""
-
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [np.unique(shingles(t, SIMILAR_WIDTH)) for t in text_bytes(batch.column(0))]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["v"])
-
-        return work
-
-    lean = docs.select(F.col(text).cast("string").alias("t")).distinct()
-    drawn = lean.filter(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0)
-    counts = map_batches(drawn, make, "v long").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.filter(F.col("n") > SAMPLE).orderBy(F.desc("n"), "v").limit(COMMON).collect()
-    return np.sort(np.array([row.v for row in most], dtype=np.int64).view("<u8"))
-
-
-def shingle_sets(docs: DataFrame, common: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, text ``digest``, ``node`` (a hash of the shingle set), its ``bits``,
-    its size ``n``, the shingles to meet on (``first``) and 32 bits of each (``members``)."""
-
-    def make():
-        def row(text: bytes) -> tuple:
-            own = np.unique(shingles(text, SIMILAR_WIDTH))
-            n = len(own)
-            at = np.searchsorted(common, own)
-            late = common[np.minimum(at, len(common) - 1)] == own if len(common) else np.zeros(n, bool)
-            first = own[np.argsort(late, kind="stable")][: n - -(-SIMILAR_FIFTHS * n // 5) + 1]
-            node = xxhash.xxh64_intdigest(own.tobytes(), _SEED)
-            return (
-                _signed(xxhash.xxh64_intdigest(text, _SEED)), _signed(node), _signed(_majority(own)),
-                n, first.view(np.int64), own.astype(np.uint32).view(np.int32),
-            )
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = list(zip(*map(row, text_bytes(batch.column(1)))))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            made = [pa.array(list(column), kind) for column, kind in zip(rows, kinds)]
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), *made], names=["key", "digest", "node", "bits", "n", "first", "members"]
-            )
-
-        return work
-
-    kind = docs.schema[key].dataType.simpleString()
-    lean = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"))
-    columns = "digest long, node long, bits long, n int, first array<long>, members array<int>"
-    return map_batches(lean, make, f"key {kind}, {columns}")
-
-
-def _sizes_fit(a: str, b: str):
-    return 5 * F.least(a, b) >= SIMILAR_FIFTHS * F.greatest(a, b)
-
-
-def meeting_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)``, b < a, of distinct sets to compare, over shared first shingles."""
-    rows = sets.select("node", "n", F.explode("first").alias("v"))
-    group = W.partitionBy("v")
-    shared = rows.withColumn("c", F.count(F.lit(1)).over(group)).filter("c > 1")
-    fame = W.partitionBy("node")
-    known = stage(shared.withColumn("fame", F.sum("c").over(fame)), "shared")
-    before = group.orderBy(F.xxhash64("v", "node")).rowsBetween(-NEIGHBOURS, -1)
-    other = F.struct("node", "n")
-    met = known.select(
-        "node", "n", "c",
-        F.max(F.struct("fame", other.alias("o"))).over(group).getField("o").alias("hub"),
-        F.collect_list(other).over(before).alias("near"),
-    )
-    near = F.when(F.col("c") <= NEIGHBOURS + 1, F.col("near")).otherwise(
-        F.concat(F.slice("near", F.greatest(F.lit(1), F.size("near") - (FEW - 1)), FEW), F.array("hub"))
-    )
-    pairs = met.select("node", "n", F.explode(near).alias("o"))
-    return pairs.filter((F.col("node") != F.col("o.node")) & _sizes_fit("n", "o.n")).select(
-        F.greatest("node", "o.node").alias("a"), F.least("node", "o.node").alias("b")
-    ).distinct()
-
-
-def ball_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)``, b < a, of sets whose fingerprints are equal or linked."""
-    hubs = sets.groupBy("bits").agg(F.min("node").alias("hub"))
-    same = sets.select("bits", "node").join(hubs, "bits").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    found = links(stage(with_partner(hubs.select("bits")), "candidates"))
-    far = found.join(hubs.select(F.col("bits").alias("a"), F.col("hub").alias("x")), "a").join(
-        hubs.select(F.col("bits").alias("b"), F.col("hub").alias("y")), "b"
-    ).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    return same.union(far).filter("a <> b").distinct()
-
-
-def similar_links(sets: DataFrame) -> DataFrame:
-    """Those pairs ``(a, b)`` of distinct sets that are alike to 0.8 or more."""
-    pairs = stage(meeting_pairs(sets).union(ball_pairs(sets)).distinct(), "pairs")
-    own = [sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("members").alias(f"of_{x}")) for x in "ab"]
-    both = pairs.join(own[0], "a").join(own[1], "b").filter(_sizes_fit("n_a", "n_b"))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    union = F.col("n_a") + F.col("n_b") - common
-    return both.filter(5 * common >= SIMILAR_FIFTHS * union).select("a", "b")
-
-
-def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``keep_one`` over components of texts alike in five-word shingles to 0.8 or more."""
-    found = stage(shingle_sets(docs, common_shingles(docs, text), key, text), "sets")
-    parts = ("bits", "n", "first", "members")
-    sets = stage(found.groupBy("node").agg(*(F.any_value(x).alias(x) for x in parts)), "distinct")
-    roots = components(similar_links(sets), "components")
-    classes = found.select(F.col("key").alias(key), "digest", "node").join(roots, "node", "left")
-    return _smallest(docs, classes.withColumn("root", F.coalesce("root", "node")), key, text)
-
-
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The document with the smallest key of every component, all columns kept.
 
     A null key stays only if its component has no other; where a key repeats,
     the row with the smallest text digest stays, and one of equal rows.
     """
-    return _smallest(docs, near_duplicates(docs, key, text), key, text)
-
-
-def _smallest(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    found = near_duplicates(docs, key, text)
     order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("digest").alias("d"))
     found = found.withColumn("o", order)
     per_text = found.groupBy("root", "o").agg(F.count(F.lit(1)).alias("rows"))

@@ -97,50 +97,3 @@ def test_empty_table(spark):
     empty = documents(spark, []).limit(0)
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.keep_one(empty).count() == 0
-
-
-def five_word_sets(rows):
-    out = []
-    for _, text in rows:
-        words = (text or "").lower().split()
-        out.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
-    return out
-
-
-def near_copies(seed=5):
-    """Texts of 60 to 300 words, each with copies that have words replaced, and a large group."""
-    draw = random.Random(seed)
-    words = ["".join(draw.choices("abcdefghij", k=5)) for _ in range(500)]
-    rows = []
-    for sizes in [(1, 4)] * 25 + [(60, 120)]:
-        text = draw.choices(words, k=draw.randint(60, 300))
-        for _ in range(draw.randint(*sizes)):
-            other = list(text)
-            for at in draw.sample(range(len(text)), draw.randint(0, 1 + len(text) // 40)):
-                other[at] = draw.choice(words)
-            rows.append((len(rows), " ".join(other)))
-    return rows
-
-
-def test_keep_one_similar_against_all_pairs(spark):
-    rows = near_copies()
-    sets = five_word_sets(rows)
-    root = list(range(len(rows)))
-    linked = 0
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if len(a & b) >= 0.8 * len(a | b):
-                linked += 1
-                x, y = sorted((root[i], root[j]))
-                root = [x if r == y else r for r in root]
-    assert linked > 50
-    docs = documents(spark, rows)
-    kept = simhash.keep_one_similar(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
-
-
-def test_keep_one_similar_keeps_odd_rows(spark):
-    kept = [r.doc_id for r in simhash.keep_one_similar(documents(spark)).collect()]
-    assert len(kept) == len(set(kept)) and set(kept) >= {-3, 1, 3, 4, 7, 8, 9, 10, 11}
-    assert simhash.keep_one_similar(documents(spark, []).limit(0)).count() == 0
