@@ -3,7 +3,8 @@
 A byte-level BPE splits a text into words before it merges, and a single space
 between two visible characters always begins a new word. So each run between
 single spaces can be encoded alone, once per distinct run. Texts where a space
-meets other white space are given to the tokenizer whole.
+meets other white space, or that hold the string of an added token, are given to
+the tokenizer whole.
 
 The vocabulary file may come with the same vocabulary as a rank file. Short runs
 are then encoded from the ranks, which gives the same ids in a third of the time.
@@ -36,8 +37,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
-        # Special tokens that occur inside a text are ordinary text.
-        self._tokenizer.encode_special_tokens = True
+        # Added tokens that occur inside a text have ids of their own, which ranks do not know.
+        self._added = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
         self._short = None
         if ranks:
             import tiktoken
@@ -83,10 +84,14 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [text.split(" ") for text in texts]
-        plain = [not any(map(_odd, set(runs[1:]))) for runs in split]
+        added = [any(token in text for token in self._added) for text in texts]
+        plain = [not known and not any(map(_odd, set(runs[1:]))) for known, runs in zip(added, split)]
         rest = [runs[1:] for runs, ok in zip(split, plain) if ok]
         cache = self._cached(set().union(*rest))
-        heads = self._run_ids([runs[0] if ok else text for runs, ok, text in zip(split, plain, texts)])
+        heads = [
+            (self._ids if known else self._run_ids)([runs[0] if ok else text])[0]
+            for known, runs, ok, text in zip(added, split, plain, texts)
+        ]
         out, at = [], 0
         for ok, head in zip(plain, heads):
             if ok:

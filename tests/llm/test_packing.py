@@ -16,9 +16,7 @@ from .samples import TEXTS, documents
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids_of(tokenizer, text):
@@ -91,5 +89,19 @@ def test_repeat_counts_are_least_squares():
     assert slope.min() > -1e-3 and abs((slope * x).sum()) < 1e-2
 
 
+def test_added_tokens_inside_texts_have_their_ids(tokenizer):
+    from runsieve.llm.tokens import Encoder
+
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>b c", "plain words", "<|endoftext"]
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        rules = file.read()
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), encoding="utf-8") as file:
+        ranks = file.read()
+    for encoder in (Encoder(rules), Encoder(rules, ranks, public_tokenizers.PATTERN)):
+        found = [ids.tolist() for ids in encoder.encode(texts)]
+        assert found == [ids_of(tokenizer, t).tolist()[:-1] for t in texts]
+    assert 50256 in found[0]
+
+
 def test_empty_table(spark):
     assert packing.pack(documents(spark, []).limit(0)).count() == 0
