@@ -189,7 +189,13 @@ def test_equal_headings_are_an_error(spark, tmp_path):
 
 def test_tables_keep_a_study_in_few_files(spark, tmp_path):
     frame = spark.range(20_000).selectExpr("'PRJ' || (id % 100) AS bioproject", "'SRR' || id AS acc")
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    sizes = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        # Partitions below this are joined, whatever the advisory size is.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
+    }
+    for name, size in sizes.items():
+        spark.conf.set(name, size)
     try:
         stored = tables.write_table(
             frame.repartition(8), "clustered_runs", cluster_by=("bioproject",), sort_by=("acc",)
@@ -198,7 +204,8 @@ def test_tables_keep_a_study_in_few_files(spark, tmp_path):
         assert files.select("f").distinct().count() > 1
         assert files.count() <= 2 * 100
     finally:
-        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        for name in sizes:
+            spark.conf.unset(name)
         spark.sql("DROP TABLE IF EXISTS clustered_runs")
 
 
