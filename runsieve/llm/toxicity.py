@@ -64,12 +64,15 @@ _WEIGHTS = tuple(DECAY ** (last - 2) for _, last in _GAPS)
 PAIR_SLACK = 2
 _CODES = 64
 _SPAN = 32
-_ROWS = 2000
+_ROWS = 5000
 #: The kernel is this power of the likeness, which sets single words apart.
 DEGREE = 3
-#: Distinct tokens kept per generation of a task's cache.
-_CACHE_WORDS = 200_000
-_TEXTS = 250
+#: Groups of landmarks in the upper bound for pairs.
+_GROUPS = 8
+#: Distinct words, and distinct pairs, kept before a task forgets them.
+_CACHE_WORDS = 300_000
+#: Characters of texts that are worked on at once.
+_CHARS = 1_000_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _SENTENCE = re.compile(r"[.!?\n]+")
 _LONE = 3
@@ -94,25 +97,29 @@ def _codes(words: list[str], length: int) -> np.ndarray:
     return out
 
 
+def _by_length(words: list[str]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for at, word in enumerate(words):
+        out.setdefault(len(word), []).append(at)
+    return out
+
+
+def _numbers(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+    """Numbers of the subsequences of each gap pattern, and their weight."""
+    for (second, third), weight in zip(_GAPS, _WEIGHTS):
+        n = codes.shape[1] - third
+        if n > 0:
+            yield (codes[:, :n] * _CODES + codes[:, second : second + n]) * _CODES + codes[:, third:], weight
+
+
 def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per length: places of the words, subsequence numbers, their weights."""
-    by_length: dict[int, list[int]] = {}
-    for at, word in enumerate(words):
-        by_length.setdefault(len(word), []).append(at)
-    for length, places in by_length.items():
+    for length, places in _by_length(words).items():
         if not length:
             continue
-        codes = _codes([words[at] for at in places], length)
-        wide = codes.shape[1]
-        numbers, weights = [], []
-        for (second, third), weight in zip(_GAPS, _WEIGHTS):
-            n = wide - third
-            if n > 0:
-                numbers.append(
-                    (codes[:, :n] * _CODES + codes[:, second : second + n]) * _CODES + codes[:, third:]
-                )
-                weights += [weight] * n
-        yield np.array(places), np.concatenate(numbers, axis=1), np.array(weights)
+        found = list(_numbers(_codes([words[at] for at in places], length)))
+        weights = [weight for numbers, weight in found for _ in range(numbers.shape[1])]
+        yield np.array(places), np.concatenate([n for n, _ in found], axis=1), np.array(weights)
 
 
 class Landmarks:
@@ -142,31 +149,105 @@ class Landmarks:
         for places, numbers, weights in subsequences(words):
             scaled = (weights / np.sqrt((weights**2).sum())).astype(np.float32)
             for at in range(0, len(places), _ROWS):
-                column = self.place[numbers[at : at + _ROWS]]
-                row, occurrence = np.nonzero(column >= 0)
-                if not len(row):
-                    continue
-                first = np.flatnonzero(np.diff(row, prepend=-1))
-                added = self.table[column[row, occurrence]]
-                added *= scaled[occurrence][:, None]
-                out[places[at + row[first]]] = np.add.reduceat(added, first, axis=0)
-        return out**DEGREE
-
-    def bound(self, words: list[str], weights: np.ndarray) -> np.ndarray:
-        """Not less than ``kernel(words) @ weights``: all likenesses but one at their largest."""
-        most, up = np.zeros((2, _CODES**3), dtype=np.float32)
-        known = np.flatnonzero(self.place >= 0)
-        rows = self.table[self.place[known]]
-        most[known], up[known] = rows.max(axis=1), rows @ np.maximum(weights, 0)
-        out = np.zeros(len(words))
-        for places, numbers, own in subsequences(words):
-            scaled = (own / np.sqrt((own**2).sum())).astype(np.float32)
-            out[places] = (most[numbers] @ scaled) ** (DEGREE - 1) * (up[numbers] @ scaled)
-        return out * 1.001
+                column = self.place[numbers[at : at + _ROWS]].T
+                like, part = np.zeros((2, column.shape[1], out.shape[1]), dtype=np.float32)
+                for number, weight, after in zip(column, scaled, [*scaled[1:], None]):
+                    row = np.flatnonzero(number >= 0)
+                    part[row] += self.table[number[row]]
+                    if weight != after:
+                        like += part * weight
+                        part[:] = 0
+                out[places[at : at + _ROWS]] = like
+        return _power(out)
+
+
+def _power(likeness: np.ndarray) -> np.ndarray:
+    wide = likeness.astype(np.float64)
+    out = wide.copy()
+    for _ in range(DEGREE - 1):
+        out *= wide
+    return out.astype(np.float32)
+
+
+class PairBound:
+    """Upper bounds of the margin of two strings written as one, from parts of either.
+
+    Landmarks that are alike make a group; in each the bound takes all likenesses
+    but one at the largest. Before the norm it is made of sums over subsequences:
+    those inside the first string and its edge, those inside the second, and those
+    across, which depend on the last four codes of the first and the first four of
+    the second.
+    """
+
+    #: Places of a subsequence across in the four codes before and after the border.
+    _ACROSS = [
+        (p, p + second, p + third, weight)
+        for (second, third), weight in zip(_GAPS, _WEIGHTS)
+        for p in range(max(0, 4 - third), 4)
+    ]
+
+    def __init__(self, landmarks: Landmarks, weights: np.ndarray):
+        toxic = np.flatnonzero(weights > 0)
+        group = self._groups(landmarks.kernel([landmarks.words[at] for at in toxic])[:, toxic])
+        n = len(landmarks.table)
+        # The last row is for subsequences that no landmark has.
+        self.place = np.append(np.where(landmarks.place < 0, n, landmarks.place), n).astype(np.int32)
+        self.sums = np.zeros((n + 1, 2 * _GROUPS), dtype=np.float32)
+        for at in range(_GROUPS):
+            own = toxic[group == at]
+            if len(own):
+                self.sums[:n, at] = landmarks.table[:, own].max(axis=1)
+                self.sums[:n, _GROUPS + at] = landmarks.table[:, own] @ weights[own]
+
+    @staticmethod
+    def _groups(alike: np.ndarray) -> np.ndarray:
+        """Group of each landmark: that of the leader most like it; leaders are far apart."""
+        leaders = [0] if len(alike) else []
+        while leaders and len(leaders) < min(_GROUPS, len(alike)):
+            leaders.append(int(alike[leaders].max(axis=0).argmin()))
+        return alike[leaders].argmax(axis=0) if leaders else np.zeros(0, int)
+
+    def parts(self, words: list[str], first: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Per word: its own sums, and the four codes that meet the other string."""
+        own = np.zeros((len(words), self.sums.shape[1]), dtype=np.float32)
+        border = np.full((len(words), 4), -1, dtype=np.int16)
+        for length, places in _by_length(words).items():
+            codes = _codes([words[at] for at in places], length)
+            codes = codes[:, :-1] if first else codes[:, 1:]
+            kept = min(4, codes.shape[1])
+            if first:
+                border[places, 4 - kept :] = codes[:, -kept:]
+            else:
+                border[places, :kept] = codes[:, :kept]
+            total = np.zeros((len(places), own.shape[1]), dtype=np.float32)
+            for numbers, weight in _numbers(codes):
+                for number in self.place[numbers].T:
+                    row = np.flatnonzero(number < len(self.sums) - 1)
+                    total[row] += self.sums[number[row]] * np.float32(weight)
+            own[places] = total
+        return own, border
+
+    def of(self, own: np.ndarray, border: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """``own`` sums of both strings, the eight codes at the border, total lengths."""
+        total = own.copy()
+        codes = border.astype(np.int32)
+        for a, b, c, weight in self._ACROSS:
+            number = (codes[:, a] * _CODES + codes[:, b]) * _CODES + codes[:, c]
+            number[(codes[:, a] < 0) | (codes[:, c] < 0)] = _CODES**3
+            number = self.place[number]
+            row = np.flatnonzero(number < len(self.sums) - 1)
+            total[row] += self.sums[number[row]] * np.float32(weight)
+        wide = lengths + 2
+        square = sum(np.maximum(wide - third, 0) * weight**2 for (_, third), weight in zip(_GAPS, _WEIGHTS))
+        total /= np.sqrt(np.maximum(square, 1e-9))[:, None]
+        most, up = total[:, :_GROUPS], total[:, _GROUPS:]
+        return (most ** (DEGREE - 1) * up).sum(axis=1) * 1.001
 
 
 def pieces(token: str) -> list[str]:
     """Strings to try for a token: as it is, letters only, in windows if long."""
+    if len(token) <= _SPAN // 2 and token.isalpha():
+        return [token]
     plain = token.strip(_EDGES)
     letters = "".join(c for c in plain if c.isalpha())
     out = []
@@ -175,91 +256,73 @@ def pieces(token: str) -> list[str]:
     return [text for text in out if text]
 
 
-def tokens_of(text: str) -> list[str]:
-    """Lower-cased tokens; runs of single characters are one more token."""
-    tokens = text.lower().split()
-    sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-    lone = np.flatnonzero(np.diff(np.concatenate(([0], (sizes == 1).astype(np.int8), [0]))))
-    for start, end in zip(lone[::2].tolist(), lone[1::2].tolist()):
-        if end - start >= _LONE:
-            tokens.append("".join(tokens[start:end]))
-    return tokens
+def lone_runs(tokens: list[str], lone: np.ndarray) -> list[str]:
+    """Runs of single characters, each as one string; ``lone`` marks those tokens."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], lone.astype(np.int8), [0]))))
+    ends = zip(edges[::2].tolist(), edges[1::2].tolist())
+    return ["".join(tokens[start:end]) for start, end in ends if end - start >= _LONE]
 
 
-def pairs_of(text: str, longest: int) -> list[str]:
-    """Neighbouring words as one string, where nothing but space is between them."""
+def tokens_of(text: str) -> list[str]:
+    """Lower-cased tokens; runs of single characters are one more token."""
     tokens = text.lower().split()
-    out = []
-    for one, two in zip(tokens, tokens[1:]):
-        if len(one) + len(two) <= longest + 2 and one[-1].isalnum() and two[0].isalnum():
-            whole = (one + two).strip(_EDGES)
-            if len(whole) <= longest:
-                out.append(whole)
-    return out
+    lone = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) == 1
+    return tokens + lone_runs(tokens, lone)
 
 
 class Machine:
-    """Landmarks with their weights, an offset, and the logistic calibration."""
+    """Landmarks with their weights, an offset, and the logistic calibration.
+
+    What was found out about words and pairs is kept, until more than
+    ``_CACHE_WORDS`` of either are known.
+    """
 
     def __init__(
         self, landmarks: Landmarks | None, weights: np.ndarray | None, offset: float, slope: float, shift: float
     ):
         self.landmarks, self.weights, self.offset = landmarks, weights, offset
         self.slope, self.shift = slope, shift
-        self._margins: dict[str, float] = {}
-        self._before: dict[str, float] = {}
+        self._words = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_margins": {}, "_before": {}}
+        return self.__dict__ | {"_words": None}
 
     def margins(self, words: list[str]) -> np.ndarray:
         return self.landmarks.kernel(words) @ self.weights + self.offset
 
-    def _learn(self, tokens: set[str]) -> None:
-        if len(self._margins) > _CACHE_WORDS:
-            self._before, self._margins = self._margins, {}
-        missing = []
-        for token in tokens:
-            if token not in self._margins:
-                margin = self._before.get(token)
-                if margin is None:
-                    missing.append(token)
-                else:
-                    self._margins[token] = margin
-        if not missing:
-            return
-        parts = [pieces(token) for token in missing]
-        found = self.margins([part for own in parts for part in own]).tolist()
-        at = 0
-        for token, own in zip(missing, parts):
-            self._margins[token] = max(found[at : at + len(own)], default=self.offset)
-            at += len(own)
-
     def document_margins(self, texts: list[str]) -> np.ndarray:
-        """The largest margin of each text's tokens."""
+        """The largest margin of each text's tokens and pairs of neighbouring ones."""
         out = np.empty(len(texts))
-        for at in range(0, len(texts), _TEXTS):
-            split = [set(tokens_of(text)) for text in texts[at : at + _TEXTS]]
-            self._learn(set().union(*split))
-            known = self._margins
-            out[at : at + _TEXTS] = [max(map(known.__getitem__, own), default=self.offset) for own in split]
-            self._raise_by_pairs(texts[at : at + _TEXTS], out[at : at + _TEXTS])
+        start, size = 0, 0
+        for at, text in enumerate(texts, start=1):
+            size += len(text)
+            if size > _CHARS or at == len(texts):
+                out[start:at] = self._margins_of(texts[start:at])
+                start, size = at, 0
         return out
 
-    def _raise_by_pairs(self, texts: list[str], out: np.ndarray) -> None:
-        toxic = [len(word) for word, weight in zip(self.landmarks.words, self.weights) if weight > 0]
-        longest = max(toxic, default=0) + PAIR_SLACK
-        pairs = [set(pairs_of(text, longest)) for text in texts]
-        every = list(set().union(*pairs))
-        near = np.flatnonzero(self.landmarks.bound(every, self.weights) + self.offset > 0)
-        if not len(near):
-            return
-        near = [every[at] for at in near]
-        margin = dict(zip(near, self.margins(near).tolist()))
-        bad = {pair for pair, value in margin.items() if value > 0}
-        for at, own in enumerate(pairs):
-            for pair in own & bad:
-                out[at] = max(out[at], margin[pair])
+    def _margins_of(self, texts: list[str]) -> np.ndarray:
+        if self._words is None or self._words.full():
+            self._words = KnownWords(self)
+        known = self._words
+        split = [text.lower().split() for text in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(tokens) for tokens in split])
+        tokens = [token for own in split for token in own]
+        ids = known.ids(tokens)
+        out = np.full(len(texts), self.offset)
+        if not len(ids):
+            return out
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        out[owner[first]] = np.maximum(self.offset, np.maximum.reduceat(known.margin[ids], first))
+        lone = known.size[ids] == 1
+        for at in np.unique(owner[lone]).tolist():
+            runs = lone_runs(split[at], lone[owner == at])
+            if runs:
+                joined = known.ids(runs)
+                out[at] = max(out[at], known.margin[joined].max())
+        at, margin = known.toxic_pairs(tokens, ids, owner)
+        np.maximum.at(out, owner[at], margin)
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.landmarks is None:
@@ -268,6 +331,78 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(value, -500, 500)))
 
 
+class KnownWords:
+    """Numbered words with their margins and what pairs of them need."""
+
+    def __init__(self, machine: Machine):
+        self.machine = machine
+        self.bound = PairBound(machine.landmarks, machine.weights)
+        toxic = [len(word) for word, weight in zip(machine.landmarks.words, machine.weights) if weight > 0]
+        self.longest = max(toxic, default=0) + PAIR_SLACK
+        self.number: dict[str, int] = {}
+        self.pairs: dict[int, float] = {}
+        self.margin, self.size = np.zeros(0), np.zeros(0, np.int32)
+        # As first and as second of a pair: usable, length without its outer edge, sums, codes.
+        self.sides = [(np.zeros(0, bool), np.zeros(0, np.int32), np.zeros((0, 2 * _GROUPS), np.float32), np.zeros((0, 4), np.int16))] * 2
+
+    def full(self) -> bool:
+        return max(len(self.number), len(self.pairs)) > _CACHE_WORDS
+
+    def ids(self, tokens: list[str]) -> np.ndarray:
+        number = self.number
+        missing = [token for token in dict.fromkeys(tokens) if token not in number]
+        if missing:
+            number.update(zip(missing, range(len(number), len(number) + len(missing))))
+            self._learn(missing)
+        return np.fromiter(map(number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+
+    def _learn(self, words: list[str]) -> None:
+        parts = [pieces(word) for word in words]
+        found = self.machine.margins([part for own in parts for part in own])
+        margin = np.full(len(words), self.machine.offset)
+        owner = np.repeat(np.arange(len(words)), [len(own) for own in parts])
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        if len(first):
+            margin[owner[first]] = np.maximum.reduceat(found, first)
+        self.margin = np.concatenate([self.margin, margin])
+        self.size = np.concatenate([self.size, np.array([len(word) for word in words], np.int32)])
+        for side in (0, 1):
+            usable = [len(w) <= self.longest + 2 and w[0 if side else -1].isalnum() for w in words]
+            kept = [(w.rstrip(_EDGES) if side else w.lstrip(_EDGES)) if ok else "" for ok, w in zip(usable, words)]
+            own, border = self.bound.parts(kept, first=not side)
+            new = (np.array(usable, bool), np.array([len(w) for w in kept], np.int32), own, border)
+            self.sides[side] = tuple(map(np.concatenate, zip(self.sides[side], new)))
+
+    def toxic_pairs(self, tokens: list[str], ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of tokens that are toxic as one string with the next of their text, and margins.
+
+        Only neighbours with nothing but space between them, not longer than
+        ``longest``; those the bound keeps off the toxic side are not computed.
+        """
+        (ends, left, own1, before), (starts, right, own2, after) = self.sides
+        one, two = ids[:-1], ids[1:]
+        short = self.size[one] + self.size[two] <= self.longest + 2
+        at = np.flatnonzero(
+            (owner[:-1] == owner[1:]) & ends[one] & starts[two] & short & (left[one] + right[two] <= self.longest)
+        )
+        near = []
+        for some in np.array_split(at, len(at) // 100_000 + 1):
+            a, b = ids[some], ids[some + 1]
+            border = np.concatenate([before[a], after[b]], axis=1)
+            bound = self.bound.of(own1[a] + own2[b], border, left[a] + right[b])
+            near.append(some[bound + self.machine.offset > 0])
+        at = np.concatenate(near)
+        key = ids[at] << 32 | ids[at + 1]
+        keys, first, back = np.unique(key, return_index=True, return_inverse=True)
+        missing = [(k, p) for k, p in zip(keys.tolist(), at[first].tolist()) if k not in self.pairs]
+        if missing:
+            whole = [(tokens[p] + tokens[p + 1]).strip(_EDGES) for _, p in missing]
+            self.pairs.update(zip((k for k, _ in missing), self.machine.margins(whole).tolist()))
+        margin = np.array([self.pairs[k] for k in keys.tolist()])[back] if len(keys) else np.zeros(0)
+        toxic = margin > 0
+        return at[toxic], margin[toxic]
+
+
 def sentence_counts(texts: list[str], toxic: list[int]) -> tuple[Counter, Counter]:
     """Words by the number of distinct toxic and clean sentences they occur in."""
     label: dict[str, int] = {}

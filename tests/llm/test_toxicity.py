@@ -98,6 +98,27 @@ def test_insults_split_by_one_space(machine, disguise):
 
 def test_bound_is_not_below_the_margin(machine):
     draw = random.Random(6)
-    words = ["".join(draw.choices("abgiklmrufnosxvwet", k=draw.randint(3, 12))) for _ in range(3000)] + BAD
-    found = machine.landmarks.kernel(words) @ machine.weights
-    assert (machine.landmarks.bound(words, machine.weights) >= found - 1e-4).all()
+    letters = "abgiklmrufnosxvwet"
+    first, second = (["".join(draw.choices(letters, k=draw.randint(1, 8))) for _ in range(3000)] for _ in "ab")
+    first += [word[:at] for word in BAD for at in range(1, len(word))]
+    second += [word[at:] for word in BAD for at in range(1, len(word))]
+    found = machine.landmarks.kernel([a + b for a, b in zip(first, second)]) @ machine.weights
+    bound = toxicity.PairBound(machine.landmarks, machine.weights)
+    (own, before), (other, after) = bound.parts(first, True), bound.parts(second, False)
+    lengths = np.array([len(a) + len(b) for a, b in zip(first, second)])
+    upper = bound.of(own + other, np.concatenate([before, after], axis=1), lengths)
+    assert (upper >= found - 1e-4).all()
+    assert (upper < 0.5).mean() > 0.5
+
+
+def test_cached_words_and_pairs_change_no_score(machine):
+    rows, _ = generated(60, seed=9)
+    texts = [t for _, t in rows] + ["", "a grumb lik b", "g r u m b l i k", "x", "snarfox " * 500]
+    whole = machine.scores(texts)
+    again = machine.scores(texts)
+    alone = []
+    for text in texts:
+        machine._words = None
+        alone.append(machine.scores([text])[0])
+    assert whole == pytest.approx(again, abs=1e-9)
+    assert whole == pytest.approx(np.array(alone), abs=1e-5)
