@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsieve.llm import hmm, merkle, packing, perspectives, quality, simhash, topk, toxicity, unigram, winnow
+from runsieve.llm import hmm, merging, merkle, packing, perspectives, quality, simhash, topk, toxicity, unigram, winnow
 from runsieve.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merging.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_audit": op1_merkle_audit,
     "op2_packing": op2_packing,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hidden_markov": op8_hidden_markov,
     "op9_winnowing": op9_winnowing,
     "op10_toxicity": op10_toxicity,
+    "op12_token_counts": op12_token_counts,
 }
 
 ORACLES: dict[str, str] = {
