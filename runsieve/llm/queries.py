@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsieve.llm import hmm, merging, merkle, packing, perspectives, quality, simhash, topk, toxicity, unigram, winnow
+from runsieve.llm import dualtree, hmm, merging, merkle, packing, perspectives, quality, simhash, topk, toxicity, unigram, winnow
 from runsieve.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op13_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_audit": op1_merkle_audit,
     "op2_packing": op2_packing,
@@ -69,10 +73,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_winnowing": op9_winnowing,
     "op10_toxicity": op10_toxicity,
     "op12_token_counts": op12_token_counts,
+    "op13_dual_tree_lloyd": op13_dual_tree_lloyd,
 }
 
 ORACLES: dict[str, str] = {
     "op1_merkle_audit": merkle.ORACLE_SQL,
     "op6_perspective_rotation": perspectives.ORACLE_SQL,
     "op7_threshold_topk": topk.ORACLE_SQL,
+    "op13_dual_tree_lloyd": dualtree.ORACLE_SQL,
 }
