@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsieve.llm import dualtree, hmm, merging, merkle, packing, perspectives, quality, simhash, topk, toxicity, unigram, winnow
+from runsieve.llm import dualtree, hmm, merging, merkle, packing, perspectives, quality, signatures, simhash, topk, toxicity, unigram, winnow
 from runsieve.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_bloom_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signatures.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hidden_markov": op8_hidden_markov,
     "op9_winnowing": op9_winnowing,
     "op10_toxicity": op10_toxicity,
+    "op11_bloom_search": op11_bloom_search,
     "op12_token_counts": op12_token_counts,
     "op13_dual_tree_lloyd": op13_dual_tree_lloyd,
 }
@@ -80,5 +85,6 @@ ORACLES: dict[str, str] = {
     "op1_merkle_audit": merkle.ORACLE_SQL,
     "op6_perspective_rotation": perspectives.ORACLE_SQL,
     "op7_threshold_topk": topk.ORACLE_SQL,
+    "op11_bloom_search": signatures.ORACLE_SQL,
     "op13_dual_tree_lloyd": dualtree.ORACLE_SQL,
 }
