@@ -64,7 +64,7 @@ _WEIGHTS = tuple(DECAY ** (last - 2) for _, last in _GAPS)
 PAIR_SLACK = 2
 _CODES = 64
 _SPAN = 32
-_ROWS = 5000
+_ROWS = 1000
 #: The kernel is this power of the likeness, which sets single words apart.
 DEGREE = 3
 #: Groups of landmarks in the upper bound for pairs.
@@ -207,25 +207,38 @@ class PairBound:
             leaders.append(int(alike[leaders].max(axis=0).argmin()))
         return alike[leaders].argmax(axis=0) if leaders else np.zeros(0, int)
 
-    def parts(self, words: list[str], first: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Per word: its own sums, and the four codes that meet the other string."""
-        own = np.zeros((len(words), self.sums.shape[1]), dtype=np.float32)
-        border = np.full((len(words), 4), -1, dtype=np.int16)
+    def parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per word: bound alone; sums and four codes as first string of a pair; the same as second."""
+        alone = np.zeros(len(words))
+        sums = np.zeros((2, len(words), self.sums.shape[1]), dtype=np.float32)
+        border = np.full((2, len(words), 4), -1, dtype=np.int16)
         for length, places in _by_length(words).items():
             codes = _codes([words[at] for at in places], length)
-            codes = codes[:, :-1] if first else codes[:, 1:]
-            kept = min(4, codes.shape[1])
-            if first:
-                border[places, 4 - kept :] = codes[:, -kept:]
-            else:
-                border[places, :kept] = codes[:, :kept]
-            total = np.zeros((len(places), own.shape[1]), dtype=np.float32)
+            total, head, tail = np.zeros((3, len(places), sums.shape[2]), dtype=np.float32)
             for numbers, weight in _numbers(codes):
-                for number in self.place[numbers].T:
+                found = self.place[numbers]
+                for at, number in enumerate(found.T):
                     row = np.flatnonzero(number < len(self.sums) - 1)
-                    total[row] += self.sums[number[row]] * np.float32(weight)
-            own[places] = total
-        return own, border
+                    added = self.sums[number[row]] * np.float32(weight)
+                    total[row] += added
+                    # A first string of a pair has no edge behind it, a second none before.
+                    if at == 0:
+                        head[row] += added
+                    if at == found.shape[1] - 1:
+                        tail[row] += added
+            alone[places] = self._bound(total, np.full(len(places), length))
+            sums[0, places], sums[1, places] = total - tail, total - head
+            kept = min(4, length + 1)
+            border[0, places, 4 - kept :] = codes[:, length + 1 - kept : length + 1]
+            border[1, places, :kept] = codes[:, 1 : 1 + kept]
+        return alone, sums[0], border[0], sums[1], border[1]
+
+    def _bound(self, total: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        wide = lengths + 2
+        square = sum(np.maximum(wide - third, 0) * weight**2 for (_, third), weight in zip(_GAPS, _WEIGHTS))
+        total = total / np.sqrt(np.maximum(square, 1e-9))[:, None]
+        most, up = total[:, :_GROUPS], total[:, _GROUPS:]
+        return (most ** (DEGREE - 1) * up).sum(axis=1) * 1.001 + 1e-5
 
     def of(self, own: np.ndarray, border: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """``own`` sums of both strings, the eight codes at the border, total lengths."""
@@ -237,18 +250,14 @@ class PairBound:
             number = self.place[number]
             row = np.flatnonzero(number < len(self.sums) - 1)
             total[row] += self.sums[number[row]] * np.float32(weight)
-        wide = lengths + 2
-        square = sum(np.maximum(wide - third, 0) * weight**2 for (_, third), weight in zip(_GAPS, _WEIGHTS))
-        total /= np.sqrt(np.maximum(square, 1e-9))[:, None]
-        most, up = total[:, :_GROUPS], total[:, _GROUPS:]
-        return (most ** (DEGREE - 1) * up).sum(axis=1) * 1.001
+        return self._bound(total, lengths)
 
 
 def pieces(token: str) -> list[str]:
     """Strings to try for a token: as it is, letters only, in windows if long."""
-    if len(token) <= _SPAN // 2 and token.isalpha():
-        return [token]
     plain = token.strip(_EDGES)
+    if len(plain) <= _SPAN // 2 and plain.isalpha():
+        return [plain]
     letters = "".join(c for c in plain if c.isalpha())
     out = []
     for text in dict.fromkeys((plain, letters)):
@@ -290,6 +299,17 @@ class Machine:
     def margins(self, words: list[str]) -> np.ndarray:
         return self.landmarks.kernel(words) @ self.weights + self.offset
 
+    def word_margins(self, words: list[str]) -> np.ndarray:
+        """The largest margin among the strings to try for each word."""
+        parts = [pieces(word) for word in words]
+        out = np.full(len(words), self.offset)
+        found = self.margins([part for own in parts for part in own])
+        owner = np.repeat(np.arange(len(words)), [len(own) for own in parts])
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        if len(first):
+            out[owner[first]] = np.maximum.reduceat(found, first)
+        return out
+
     def document_margins(self, texts: list[str]) -> np.ndarray:
         """The largest margin of each text's tokens and pairs of neighbouring ones."""
         out = np.empty(len(texts))
@@ -313,13 +333,20 @@ class Machine:
         if not len(ids):
             return out
         first = np.flatnonzero(np.diff(owner, prepend=-1))
+        sizes = np.diff(np.append(first, len(ids)))
+        # The word of the highest bound in each text, then all that may still be above it.
+        upper = known.upper[ids]
+        highest = np.flatnonzero(upper == np.repeat(np.maximum.reduceat(upper, first), sizes))
+        known.settle(ids[highest], tokens, highest)
+        best = np.maximum.reduceat(known.margin[ids], first)
+        open_words = np.flatnonzero(upper > np.repeat(best, sizes))
+        known.settle(ids[open_words], tokens, open_words)
         out[owner[first]] = np.maximum(self.offset, np.maximum.reduceat(known.margin[ids], first))
         lone = known.size[ids] == 1
         for at in np.unique(owner[lone]).tolist():
             runs = lone_runs(split[at], lone[owner == at])
             if runs:
-                joined = known.ids(runs)
-                out[at] = max(out[at], known.margin[joined].max())
+                out[at] = max(out[at], self.word_margins(runs).max())
         at, margin = known.toxic_pairs(tokens, ids, owner)
         np.maximum.at(out, owner[at], margin)
         return out
@@ -332,7 +359,10 @@ class Machine:
 
 
 class KnownWords:
-    """Numbered words with their margins and what pairs of them need."""
+    """Numbered words with bounds of their margins, and what pairs of them need.
+
+    ``margin`` is minus infinity until :meth:`settle` has computed it.
+    """
 
     def __init__(self, machine: Machine):
         self.machine = machine
@@ -341,7 +371,7 @@ class KnownWords:
         self.longest = max(toxic, default=0) + PAIR_SLACK
         self.number: dict[str, int] = {}
         self.pairs: dict[int, float] = {}
-        self.margin, self.size = np.zeros(0), np.zeros(0, np.int32)
+        self.margin, self.upper, self.size = np.zeros(0), np.zeros(0), np.zeros(0, np.int32)
         # As first and as second of a pair: usable, length without its outer edge, sums, codes.
         self.sides = [(np.zeros(0, bool), np.zeros(0, np.int32), np.zeros((0, 2 * _GROUPS), np.float32), np.zeros((0, 4), np.int16))] * 2
 
@@ -357,21 +387,34 @@ class KnownWords:
         return np.fromiter(map(number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
     def _learn(self, words: list[str]) -> None:
-        parts = [pieces(word) for word in words]
-        found = self.machine.margins([part for own in parts for part in own])
-        margin = np.full(len(words), self.machine.offset)
-        owner = np.repeat(np.arange(len(words)), [len(own) for own in parts])
-        first = np.flatnonzero(np.diff(owner, prepend=-1))
-        if len(first):
-            margin[owner[first]] = np.maximum.reduceat(found, first)
-        self.margin = np.concatenate([self.margin, margin])
+        cores = [word.strip(_EDGES) for word in words]
+        # Letters between edges are the only string to try; other words are settled when met.
+        plain = np.array([core.isalpha() and len(core) <= _SPAN // 2 for core in cores], bool)
+        alone, *sides = self.bound.parts([core if ok else "" for ok, core in zip(plain, cores)])
+        upper = np.where(plain, alone + self.machine.offset, np.inf)
+        short = np.array([len(word) <= self.longest + 2 for word in words], bool)
+        for side, inner in enumerate((-1, 0)):
+            own, border = sides[2 * side : 2 * side + 2]
+            usable = short & np.array([word[inner].isalnum() for word in words], bool)
+            length = np.array([len(core) for core in cores], np.int32)
+            odd = np.flatnonzero(usable & ~plain)
+            if len(odd):
+                cut = [words[at].rstrip(_EDGES) if side else words[at].lstrip(_EDGES) for at in odd.tolist()]
+                found = self.bound.parts(cut)
+                own[odd], border[odd] = found[1 + 2 * side], found[2 + 2 * side]
+                length[odd] = [len(word) for word in cut]
+            self.sides[side] = tuple(map(np.concatenate, zip(self.sides[side], (usable, length, own, border))))
+        self.upper = np.concatenate([self.upper, upper])
+        self.margin = np.concatenate([self.margin, np.full(len(words), -np.inf)])
         self.size = np.concatenate([self.size, np.array([len(word) for word in words], np.int32)])
-        for side in (0, 1):
-            usable = [len(w) <= self.longest + 2 and w[0 if side else -1].isalnum() for w in words]
-            kept = [(w.rstrip(_EDGES) if side else w.lstrip(_EDGES)) if ok else "" for ok, w in zip(usable, words)]
-            own, border = self.bound.parts(kept, first=not side)
-            new = (np.array(usable, bool), np.array([len(w) for w in kept], np.int32), own, border)
-            self.sides[side] = tuple(map(np.concatenate, zip(self.sides[side], new)))
+
+    def settle(self, ids: np.ndarray, tokens: list[str], places: np.ndarray) -> None:
+        """Compute the margins of words, which stand at ``places``, that have none yet."""
+        fresh = self.margin[ids] == -np.inf
+        own, at = np.unique(ids[fresh], return_index=True)
+        if len(own):
+            self.margin[own] = self.machine.word_margins([tokens[p] for p in places[fresh][at].tolist()])
+            self.upper[own] = self.margin[own]
 
     def toxic_pairs(self, tokens: list[str], ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of tokens that are toxic as one string with the next of their text, and margins.
