@@ -1,9 +1,9 @@
 """Study-level aggregates, filters and tissue details.
 
-The counters of a study are one aggregate with partial sums in every task.
-Distinct samples and open-ended value lists are kept out of it: they shuffle
-on their values, so a study holding a large share of all runs never meets in
-one task.
+The figures of a study are read from the facts of :mod:`runsieve.operators.groups`:
+runs are first counted per combination of their labels, and samples, lengths and
+names are made distinct beside them, all in one shuffle that is spread over the
+values. So a study holding a large share of all runs never meets in one task.
 """
 
 from __future__ import annotations
@@ -16,13 +16,19 @@ from pyspark.sql import functions as F
 from runsieve.functions.classify import is_long_read
 from runsieve.functions.text import fragments
 from runsieve.operators.groups import (
+    LABELS,
+    count_where,
+    distinct_in,
     distinct_values,
-    join_groups,
+    group_facts,
     smallest_distinct,
+    smallest_rows,
+    texts_in,
+    with_medians,
+    with_rows,
 )
 from runsieve.sources.schemas import STUDY_KEYS
 
-QUANTILE_ACCURACY = 10_000
 LIBRARY_NAMES = 8
 TISSUE_FRAGMENTS = 6
 FRAGMENT_LENGTH = 70
@@ -44,11 +50,12 @@ def _arms(within: Column | None = None) -> dict[str, Column]:
 
 def disjoint_arms(labelled: DataFrame) -> DataFrame:
     """Case, control, ambiguous and unlabeled runs per study."""
-    return labelled.groupBy(*STUDY_KEYS).agg(*_counts(_arms()))
+    facts = group_facts(labelled, STUDY_KEYS, ("ad_hit", "ctrl_hit"))
+    return facts.groupBy(*STUDY_KEYS).agg(*_counts(_arms()))
 
 
 def _counts(conditions: dict[str, Column]) -> list[Column]:
-    return [F.count_if(c).alias(name) for name, c in conditions.items()]
+    return [count_where(c).alias(name) for name, c in conditions.items()]
 
 
 def _tissues(within: Column | None = None) -> dict[str, Column]:
@@ -70,28 +77,46 @@ def _tissues(within: Column | None = None) -> dict[str, Column]:
     return tissues
 
 
-def _median(value: Column) -> Column:
-    return F.percentile_approx(value, 0.5, QUANTILE_ACCURACY)
-
-
 def evidence_kinds(labelled: DataFrame) -> DataFrame:
     """Small-RNA runs, tissue-relevant runs and evidence tiers per study."""
+    facts = group_facts(labelled, STUDY_KEYS, ("srna_evidence", "tissue_class"))
     relevant = F.col("tissue_class").startswith("brain") | F.col("tissue_class").isin(
         "csf", "biofluid"
     )
-    return labelled.groupBy(*STUDY_KEYS).agg(
-        F.count("srna_evidence").alias("n_smallrna"),
-        F.count_if(relevant).alias("n_tissue_relevant"),
+    return facts.groupBy(*STUDY_KEYS).agg(
+        count_where(F.col("srna_evidence").isNotNull()).alias("n_smallrna"),
+        count_where(relevant).alias("n_tissue_relevant"),
         distinct_values(F.col("srna_evidence")).alias("srna_evidence_kinds"),
     )
 
 
+_SMALL_RNA_LABELS = (
+    "ad_hit",
+    "ctrl_hit",
+    "ad_term",
+    "ctrl_term",
+    "single_cell",
+    "srna_evidence",
+    "tissue_class",
+    "assay_type",
+)
+
+
 def aggregate_small_rna(labelled: DataFrame) -> DataFrame:
     """One row per study with the counters of the small-RNA screen."""
+    facts = group_facts(
+        labelled,
+        STUDY_KEYS,
+        _SMALL_RNA_LABELS,
+        texts={"sample": F.col("biosample")},
+        numbers={"length": F.col("avgspotlen")},
+        added=("mbytes",),
+        latest=("releasedate",),
+    )
     tier = F.col("srna_evidence")
-    size = F.sum("mbytes")
-    counters = labelled.groupBy(*STUDY_KEYS).agg(
-        F.count(F.lit(1)).alias("n_runs"),
+    size, runs = F.sum("mbytes"), count_where(F.col("fact") == LABELS)
+    return with_medians(facts, STUDY_KEYS, ("length",)).groupBy(*STUDY_KEYS).agg(
+        runs.alias("n_runs"),
         *_counts(_arms()),
         *_counts(
             {
@@ -107,16 +132,13 @@ def aggregate_small_rna(labelled: DataFrame) -> DataFrame:
         distinct_values(F.col("ctrl_term")).alias("ctrl_terms"),
         distinct_values(F.col("tissue_class")).alias("tissue_classes"),
         distinct_values(F.col("assay_type")).alias("assay_types"),
-        _median(F.col("avgspotlen")).alias("median_readlen"),
+        F.min("length").alias("median_readlen"),
         # Runs of unknown size count in the denominator.
-        F.round(size / F.count(F.lit(1)) / 1024, 3).alias("gb_per_run"),
+        F.round(size / runs / 1024, 3).alias("gb_per_run"),
         F.round(size / 1024, 1).alias("total_gb"),
         F.max("releasedate").alias("latest_release"),
+        distinct_in("sample").alias("n_biosamples"),
     )
-    samples = labelled.groupBy(*STUDY_KEYS).agg(
-        F.count_distinct("biosample").alias("n_biosamples")
-    )
-    return join_groups(counters, samples, STUDY_KEYS)
 
 
 @dataclass(frozen=True)
@@ -158,6 +180,25 @@ def keep_small_rna(
     return kept
 
 
+_TARGET_LABELS = (
+    "is_target",
+    "ad_hit",
+    "ctrl_hit",
+    "ad_term",
+    "ctrl_term",
+    "single_cell",
+    "rna_class",
+    "read_class",
+    "priming_class",
+    "tissue_class",
+    "librarysource",
+    "libraryselection",
+    "assay_type",
+    "platform",
+    "instrument",
+)
+
+
 def aggregate_target(flagged: DataFrame) -> DataFrame:
     """One row per study with the counters of the total / long-read screen.
 
@@ -166,13 +207,26 @@ def aggregate_target(flagged: DataFrame) -> DataFrame:
     """
     target = F.col("is_target")
     rna, read, priming = F.col("rna_class"), F.col("read_class"), F.col("priming_class")
+    facts = group_facts(
+        flagged,
+        STUDY_KEYS,
+        _TARGET_LABELS,
+        texts={"sample": F.when(target, F.col("biosample"))},
+        numbers={"length": F.when(target, F.col("avgspotlen"))},
+        added=("mbytes",),
+        latest=("releasedate",),
+    )
+    names = smallest_rows(flagged.filter(target), STUDY_KEYS, "library_name", LIBRARY_NAMES)
+    facts = with_rows(facts, "name", names, "library_name")
 
     def listed(name: str) -> Column:
         return distinct_values(F.when(target, F.col(name)))
 
-    counters = flagged.groupBy(*STUDY_KEYS).agg(
-        F.count(F.lit(1)).alias("n_runs_total"),
-        F.count_if(target).alias("n_target_runs"),
+    runs = F.col("fact") == LABELS
+    size = F.sum(F.when(target, F.col("mbytes")).when(runs, 0))
+    return with_medians(facts, STUDY_KEYS, ("length",)).groupBy(*STUDY_KEYS).agg(
+        count_where(runs).alias("n_runs_total"),
+        count_where(target).alias("n_target_runs"),
         *_counts(_arms(target)),
         *_counts(
             {
@@ -198,29 +252,11 @@ def aggregate_target(flagged: DataFrame) -> DataFrame:
         listed("instrument").alias("target_instruments"),
         distinct_values(F.col("ad_term")).alias("ad_terms"),
         distinct_values(F.col("ctrl_term")).alias("ctrl_terms"),
-        _median(F.when(target, F.col("avgspotlen"))).alias("median_target_readlen"),
-        F.round(F.sum(F.when(target, F.col("mbytes")).otherwise(0)) / 1024, 1).alias(
-            "target_gb"
-        ),
+        F.min("length").alias("median_target_readlen"),
+        F.round(size / 1024, 1).alias("target_gb"),
         F.max("releasedate").alias("latest_release"),
-    )
-    in_arm = flagged.filter(target)
-    samples = in_arm.groupBy(*STUDY_KEYS).agg(
-        F.count_distinct("biosample").alias("n_target_biosamples")
-    )
-    names = smallest_distinct(in_arm, STUDY_KEYS, "library_name", LIBRARY_NAMES)
-    joined = join_groups(
-        join_groups(counters, samples, STUDY_KEYS),
-        names.withColumnRenamed("library_name", "target_library_names"),
-        STUDY_KEYS,
-    )
-    return joined.withColumns(
-        {
-            "n_target_biosamples": F.coalesce("n_target_biosamples", F.lit(0)),
-            "target_library_names": F.coalesce(
-                "target_library_names", F.array().cast("array<string>")
-            ),
-        }
+        distinct_in("sample").alias("n_target_biosamples"),
+        texts_in("name").alias("target_library_names"),
     )
 
 

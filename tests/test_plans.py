@@ -77,13 +77,30 @@ def test_open_ended_values_are_cut_before_a_group_meets(stored):
     assert re.search(r"hashpartitioning\(bioproject#\d+, sra_study#\d+, tissue_attrs#\d+", text)
 
 
-def test_distinct_samples_shuffle_on_the_sample(stored):
+@pytest.mark.parametrize("kind", ["small_rna", "target"])
+def test_study_figures_take_one_aggregate_over_runs(stored, kind):
+    """Runs meet in one hash aggregate spread over the values; nothing is joined."""
     _, runs = workflow.anchored_runs(stored)
-    text = plan(studies.aggregate_small_rna(labels.label_small_rna(runs)))
-    assert re.search(r"hashpartitioning\([^)]*biosample#\d+", text)
-    # The counters combine in each task: no exchange below the partial aggregate.
-    counters = text[text.index("partial_count(1)") :]
-    assert "Exchange" not in counters[: counters.index("FileScan")]
+    if kind == "target":
+        frame = studies.aggregate_target(staging.stage(screens.labelled_target_runs(runs), "labelled"))
+    else:
+        frame = studies.aggregate_small_rna(labels.label_small_rna(runs))
+    text = plan(frame)
+    assert "percentile" not in text and "coalesce(bioproject" not in text
+    assert not re.search("Join|SortAggregate", text)
+    # Arrays are collected from the few rows of a study that are left, two shuffles later.
+    lines = text.splitlines()
+    arrays = [i for i, line in enumerate(lines) if "ObjectHashAggregate" in line]
+    shuffles = [i for i, line in enumerate(lines) if "Exchange" in line]
+    assert arrays and max(arrays) < min(shuffles)
+    # The shuffle over runs has the value in its key, after a partial aggregate in each task.
+    over_runs = re.search(
+        r"hashpartitioning\(bioproject#\d+, sra_study#\d+, organism#\d+, fact#\d+, label#\d+, text#\d+, number#\d+L.*\n.*HashAggregate.*partial_count\(1\)",
+        text,
+    )
+    assert over_runs
+    below = text[over_runs.end() :]
+    assert "Exchange" not in below[: below.index("FileScan")]
 
 
 def test_tissue_details_read_few_columns_of_kept_studies(stored):

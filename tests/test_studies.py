@@ -172,10 +172,28 @@ def test_smallest_distinct_and_null_keys(spark):
     frame = spark.createDataFrame(rows, "k1 string, k2 string, v string")
     found = groups.smallest_distinct(frame, ("k1", "k2"), "v", 4).collect()
     assert [tuple(r) for r in found] == [("a", None, ["v00", "v01", "v02", "v03"])]
-    left = frame.groupBy("k1", "k2").agg(F.count("*").alias("n"))
-    right = frame.groupBy("k1", "k2").agg(F.max("v").alias("m"))
-    joined = groups.join_groups(left, right, ("k1", "k2")).collect()
-    assert {tuple(r) for r in joined} == {("a", "x", 1, None), ("a", None, 90, "v29")}
+    facts = groups.group_facts(frame, ("k1", "k2"), (F.lit(1).alias("one"),), texts={"v": F.col("v")})
+    counted = facts.groupBy("k1", "k2").agg(groups.count_where(F.col("one") == 1), groups.distinct_in("v"))
+    assert {tuple(r) for r in counted.collect()} == {("a", "x", 1, 0), ("a", None, 90, 30)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_medians_are_exact(spark, seed):
+    """Against sorting, for groups of every size and heavy ties; two facts side by side."""
+    rng = random.Random(seed)
+    rows = []
+    for size in [1, 2, 3, 4, 5, 10, 101, 4000]:
+        spread = rng.choice([3, 50, 10**12])
+        values = [rng.choice([None, rng.randint(-spread, spread)]) for _ in range(size)]
+        rows += [(None if size == 4 else f"g{size}", v, None if v is None else v // 7) for v in values]
+    frame = spark.createDataFrame(rows, "k string, v long, w long")
+    one = F.lit(1).alias("one")
+    facts = groups.group_facts(frame, ("k",), (one,), numbers={"v": F.col("v"), "w": F.col("w")})
+    facts = groups.with_medians(facts, ("k",), ("v", "w"))
+    found = {r.k: (r.v, r.w) for r in facts.groupBy("k").agg(F.min("v").alias("v"), F.min("w").alias("w")).collect()}
+    assert found == {
+        k: (median(v for g, v, _ in rows if g == k), median(w for g, _, w in rows if g == k)) for k in {r[0] for r in rows}
+    }
 
 
 def study(**counts):
