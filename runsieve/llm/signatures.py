@@ -11,8 +11,8 @@ They overestimate presence and level, never under; what a term can add to the sc
 of a document at the highest level shown, summed over its terms with their weights,
 is an upper bound of the score. Documents whose bound reaches the k-th best score
 found so far are scored exactly from their terms, which lie in the block beside the
-slices; no others are. A few blocks are searched first, and the k-th scores found
-there start the bounds of all tasks.
+slices; no others are. The first blocks of one task are searched before the others,
+and the k-th scores found there start the bounds of all tasks.
 
 The plan: one pass over the documents writes the blocks; one counts how many
 documents hold each query term; one searches and returns at most k rows per query
@@ -40,6 +40,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ K = 50
 BITS_PER_ELEMENT, MIN_BITS, MAX_BITS = 12, 8, 20
 #: A block ends at so many documents, cells of slices or bytes of terms.
 BLOCK_DOCUMENTS, BLOCK_CELLS, BLOCK_BYTES = 2048, 1 << 23, 2_000_000
-#: Blocks that are searched first, for the k-th scores all tasks start with.
+#: Blocks of the first task that are searched first, for the k-th scores all tasks start with.
 PILOT_BLOCKS = 16
 #: A block of queries ends at so many of them, or so many terms.
 BLOCK_QUERIES, BLOCK_TERMS = 1000, 50_000
@@ -133,22 +134,24 @@ class Building:
             cells[bit, owner] = 1
         return np.packbits(cells, axis=1)
 
-    def batch(self, key_type: pa.DataType) -> pa.RecordBatch:
+    def batch(self, key_type: pa.DataType, pilot: bool) -> pa.RecordBatch:
         columns = [
+            pa.array([pilot]),
             pa.array([self.bits], pa.int32()),
             pa.array([self.keys], pa.list_(key_type)),
             pa.array([self.sizes], pa.list_(pa.int64())),
             pa.array([self.slices().tobytes()], pa.binary()),
             pa.array([self.texts], pa.list_(pa.binary())),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["bits", "k", "n", "slices", "terms"])
+        return pa.RecordBatch.from_arrays(columns, names=["pilot", "bits", "k", "n", "slices", "terms"])
 
 
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Blocks ``(bits, k, n, slices, terms)`` of all documents that hold a term."""
+    """Blocks ``(pilot, bits, k, n, slices, terms)`` of all documents that hold a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, open_blocks, key_type = Hashes(), {}, None
+        pilots = PILOT_BLOCKS if TaskContext.get().partitionId() == 0 else 0
         for batch in batches:
             key_type = batch.schema.field(0).type
             for own, value in zip(batch.column(0), batch.column(1).cast(pa.binary())):
@@ -161,13 +164,15 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 bits = width_of(len(found))
                 block = open_blocks.setdefault(bits, Building(bits))
                 if block.add(own.as_py(), len(terms), b" ".join(terms), found):
-                    yield open_blocks.pop(bits).batch(key_type)
+                    yield open_blocks.pop(bits).batch(key_type, pilots > 0)
+                    pilots -= 1
         for block in open_blocks.values():
-            yield block.batch(key_type)
+            yield block.batch(key_type, pilots > 0)
+            pilots -= 1
 
     kind = docs.schema[key].dataType.simpleString()
     lean = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    return lean.mapInArrow(run, f"bits int, k array<{kind}>, n array<long>, slices binary, terms array<binary>")
+    return lean.mapInArrow(run, f"pilot boolean, bits int, k array<{kind}>, n array<long>, slices binary, terms array<binary>")
 
 
 @dataclass
@@ -345,7 +350,7 @@ def search(
         F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"),
     ).first()
     documents, total = sums.documents or 0, sums.total or 1
-    pilot = stage(blocks.limit(PILOT_BLOCKS), "pilot")
+    pilot = blocks.filter("pilot")
     found = []
     for queries in query_blocks(items, item_key, item_text):
         weights = term_weights(documents, document_frequencies(blocks, queries.terms))
