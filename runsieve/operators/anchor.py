@@ -59,11 +59,15 @@ def extract_study_runs(
     """Every public run of the anchored studies, of any organism and assay.
 
     Give ``anchors`` as a stored or staged table: the optimizer then knows its
-    size, and broadcasts it only below the broadcast threshold.
+    size, and broadcasts it only below the broadcast threshold. Beyond it the runs
+    are shuffled with their attributes; then a Bloom filter of the anchors, made at
+    run time, keeps most runs of other studies out of that shuffle, as long as the
+    anchors stay below ``spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold``.
     """
-    runs = _public(metadata).join(
-        anchors.select("bioproject"), "bioproject", "left_semi"
-    )
+    # Always true for a key that can match. The optimizer makes a run-time filter
+    # only from a side that it takes for a selection.
+    keys = anchors.select("bioproject").filter(F.col("bioproject") >= "")
+    runs = _public(metadata).join(keys, "bioproject", "left_semi")
     return with_text_columns(runs, vocabulary)
 
 

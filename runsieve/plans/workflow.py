@@ -36,21 +36,28 @@ def build_study_tables(
     schema: str,
     vocabulary: Vocabulary = DEFAULT,
     organisms: Sequence[str] | None = ORGANISMS,
+    buckets: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """Create or replace the anchor and study-run tables in ``schema``.
 
     The two scans of the nested attributes happen here, once. Runs are written
     clustered by study, so that screens, inspections and list filters read few
-    row groups and few studies per task.
+    row groups and few studies per task. With ``buckets`` both tables are bucketed
+    by study: restricting runs to the anchors and counting them per study is done
+    without a shuffle (see :func:`runsieve.sources.tables.write_table`).
     """
     create_schema(metadata.sparkSession, schema)
     anchors = write_table(
-        anchor_scan(metadata, vocabulary, organisms), f"{schema}.{ANCHOR_TABLE}"
+        anchor_scan(metadata, vocabulary, organisms),
+        f"{schema}.{ANCHOR_TABLE}",
+        cluster_by=("bioproject",) if buckets else (),
+        buckets=buckets,
     )
     runs = write_table(
         extract_study_runs(metadata, anchors, vocabulary),
         f"{schema}.{RUNS_TABLE}",
         cluster_by=("bioproject",),
         sort_by=("acc",),
+        buckets=buckets,
     )
     return anchors, runs

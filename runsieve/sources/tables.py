@@ -48,6 +48,7 @@ def write_table(
     table: str,
     cluster_by: Sequence[str | Column] = (),
     sort_by: Sequence[str | Column] = (),
+    buckets: int = 0,
 ) -> DataFrame:
     """Create or replace ``table`` from ``frame`` and return a scan of it.
 
@@ -55,12 +56,20 @@ def write_table(
     later filters on those keys skip most files; the rebalance hint splits a key
     that holds too many rows over several. Within a file rows are sorted by
     ``cluster_by``, then ``sort_by``.
+
+    With ``buckets`` the table is bucketed by the columns of ``cluster_by``:
+    aggregates and joins on them need no shuffle, and a filter on one key reads
+    one bucket. A bucket is read by one task then, so choose so many that the
+    largest key fits a task, or leave it at 0 where one key holds a large share.
     """
     if cluster_by:
-        frame = frame.hint("rebalance", *cluster_by)
+        frame = frame.repartition(buckets, *cluster_by) if buckets else frame.hint("rebalance", *cluster_by)
     if cluster_by or sort_by:
         frame = frame.sortWithinPartitions(*cluster_by, *sort_by)
-    frame.write.mode("overwrite").saveAsTable(table)
+    writer = frame.write.mode("overwrite")
+    if buckets:
+        writer = writer.bucketBy(buckets, *cluster_by).sortBy(*cluster_by, *sort_by)
+    writer.saveAsTable(table)
     return frame.sparkSession.table(table)
 
 

@@ -68,6 +68,55 @@ def test_semi_join_broadcasts_only_below_the_threshold(spark, stored):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_a_bloom_filter_of_the_anchors_comes_before_the_shuffle(spark, stored):
+    anchors = staging.stage(anchor.anchor_scan(stored), "anchors")
+    rows = anchor.extract_study_runs(stored, anchors).orderBy("acc").collect()
+    options = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        # Sizes that the generated tables do not reach.
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1b",
+    }
+    before = {name: spark.conf.get(name) for name in options}
+    for name, value in options.items():
+        spark.conf.set(name, value)
+    try:
+        large = anchor.extract_study_runs(stored, anchors)
+        text = plan(large)
+        assert "SortMergeJoin" in text and "might_contain" in text
+        # Below the exchange of the nested attributes: the filter stands nearer to the scan.
+        exchanges = [m.start() for m in re.finditer("Exchange", text)]
+        assert exchanges[0] < text.index("might_contain") < text.index("FileScan")
+        assert large.orderBy("acc").collect() == rows and rows
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_figures_of_a_bucketed_run_table_need_no_shuffle_over_runs(spark, stored):
+    anchors, plain = workflow.build_study_tables(stored, "flat_studies")
+    expected = {tuple(r) for r in plan_rows(plain)}
+    anchors, runs = workflow.build_study_tables(stored, "bucketed_studies", buckets=4)
+    files = runs.selectExpr("bioproject", "_metadata.file_path AS f").distinct()
+    assert files.count() == files.select("bioproject").distinct().count()  # one file per study
+    assert files.select("f").distinct().count() <= 4
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        arms = studies.disjoint_arms(labels.label_small_rna(runs))
+        assert "Exchange" not in plan(arms)
+        figures = plan(studies.aggregate_small_rna(labels.label_small_rna(runs)))
+        assert "Exchange" not in figures and "SelectedBucketsCount: 4 out of 4" in figures
+        assert "Exchange" not in plan(anchor.restrict_to_studies(runs, anchors))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {tuple(r) for r in plan_rows(runs)} == expected and expected
+
+
+def plan_rows(runs):
+    arms = studies.disjoint_arms(labels.label_small_rna(runs)).collect()
+    return arms + [r[:3] for r in screens.screen_small_rna(runs).collect()]
+
+
 def test_open_ended_values_are_cut_before_a_group_meets(stored):
     _, runs = workflow.anchored_runs(stored)
     text = plan(studies.tissue_detail(labels.with_tissue_text(runs)))
