@@ -43,28 +43,24 @@ def normalise_records(
 ) -> DataFrame:
     """One row per accession with cleaned fields; the last arrival wins.
 
-    ``records`` has the raw fields and ``seq``, the arrival position. Fields
-    are cleaned and cut before the shuffle, which then moves short texts; no cut
-    with ``description_length`` None.
+    ``records`` has the raw fields and ``seq``, the arrival position, which is there
+    and differs between the records of an accession. The last position is found
+    first, over accessions and positions alone; texts are read again for the winners
+    only, and only those are cleaned. No cut of descriptions with
+    ``description_length`` None.
     """
+    named = records.filter(F.col("project_acc") != "")
+    last = named.groupBy("project_acc").agg(F.max("seq").alias("seq"))
     description = collapse(F.col("project_description"))
     if description_length is not None:
         description = F.substring(description, 1, description_length)
-    cleaned = records.filter(F.col("project_acc") != "").select(
+    return named.join(last, ["project_acc", "seq"], "left_semi").select(
         "project_acc",
-        "seq",
-        F.struct(
-            strip(F.col("project_title")).alias("study_title"),
-            description.alias("study_description"),
-            strip(F.col("submitter_organization")).alias("submitter"),
-            strip(F.col("registration_date")).alias("registration_date"),
-            strip(F.col("project_data_type")).alias("project_data_type"),
-        ).alias("record"),
-    )
-    return (
-        cleaned.groupBy("project_acc")
-        .agg(F.max_by("record", "seq").alias("record"))
-        .select("project_acc", "record.*")
+        strip(F.col("project_title")).alias("study_title"),
+        description.alias("study_description"),
+        strip(F.col("submitter_organization")).alias("submitter"),
+        strip(F.col("registration_date")).alias("registration_date"),
+        strip(F.col("project_data_type")).alias("project_data_type"),
     )
 
 

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 
 from runsieve.operators import enrich
-from runsieve.sources.records import read_study_records
+from runsieve.sources import records
 from runsieve.sources.staging import stage
 from runsieve.sources.tables import read_sheet, write_sheet
 
 _POSITION = "_sheet_position"
 
 
+class Unresolved(NamedTuple):
+    """What a run could not find or read."""
+
+    #: Accessions of the sheet without a record.
+    missing: DataFrame
+    #: File and place of the documents that could not be read.
+    unreadable: DataFrame
+
+
 def enrich_sheet(
     spark: SparkSession,
     sheet_path: str,
@@ -19,10 +30,15 @@ def enrich_sheet(
     out_path: str,
     multi_line: bool = True,
     one_per_line: bool = False,
-) -> DataFrame:
-    """Write the sheet with titles and flags; return accessions without a record."""
+) -> Unresolved:
+    """Write the sheet with titles and flags; return what was missing or unreadable."""
     sheet = read_sheet(spark, sheet_path, multi_line, position=_POSITION)
-    raw = read_study_records(spark, records_path, one_per_line)
-    records = stage(enrich.normalise_records(raw), "records")
-    write_sheet(enrich.enrich(sheet, records), out_path, position=_POSITION)
-    return enrich.missing_records(sheet, records)
+    documents = records.read_documents(spark, records_path, one_per_line)
+    parsed = stage(records.parse_documents(documents, "value"), "parsed-documents")
+    raw = stage(records.records_of(parsed), "raw-records")
+    known = stage(enrich.normalise_records(raw), "records")
+    write_sheet(enrich.enrich(sheet, known), out_path, position=_POSITION)
+    return Unresolved(
+        enrich.missing_records(sheet, known),
+        records.unreadable(parsed).select("document.file", "document.start", "document.line"),
+    )

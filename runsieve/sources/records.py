@@ -6,19 +6,17 @@ objects named in ``uids`` count, and only with a non-empty ``project_acc``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-RAW_RECORD = T.StructType(
-    [
-        T.StructField("project_acc", T.StringType()),
-        T.StructField("project_title", T.StringType()),
-        T.StructField("project_description", T.StringType()),
-        T.StructField("submitter_organization", T.StringType()),
-        T.StructField("registration_date", T.StringType()),
-        T.StructField("project_data_type", T.StringType()),
-    ]
+
+#: Fields of a record that are read, all as text.
+RAW_FIELDS = (
+    "project_acc",
+    "project_title",
+    "project_description",
+    "submitter_organization",
+    "registration_date",
+    "project_data_type",
 )
 
 
@@ -48,36 +46,54 @@ def read_documents(
     return files.select("value", order.alias("document_seq"))
 
 
-def unreadable_documents(documents: DataFrame, text: str) -> DataFrame:
-    """The documents that are no JSON, which give no records."""
-    return documents.filter(F.col(text).isNotNull() & F.try_parse_json(text).isNull())
+def parse_documents(documents: DataFrame, text: str, order: str = "document_seq") -> DataFrame:
+    """``document``, its content ``v`` as a variant, and whether it was ``given`` a text.
 
+    A document is parsed here, once; stage the outcome where both its records and
+    the unreadable documents are wanted. Text that is no JSON, that repeats a name
+    in an object, or that exceeds the size of a variant, has no content.
+    """
+    return documents.select(
+        F.col(order).alias("document"),
+        F.col(text).isNotNull().alias("given"),
+        F.try_parse_json(text).alias("v"),
+    )
 
-def records_from_documents(
+
+def unreadable(parsed: DataFrame) -> DataFrame:
+    """The ``document`` of those that could not be read, which give no records."""
+    return parsed.filter(F.col("given") & F.col("v").isNull()).select("document")
+
+
+def unreadable_documents(
     documents: DataFrame, text: str, order: str = "document_seq"
 ) -> DataFrame:
-    """Raw records of the JSON documents in column ``text``.
+    """:func:`unreadable` of documents that are not parsed yet."""
+    return unreadable(parse_documents(documents, text, order)).withColumnRenamed("document", order)
 
-    Adds ``seq``, the arrival position: ``order`` of the document, then the
-    place in its ``uids`` list.
+
+def records_of(parsed: DataFrame) -> DataFrame:
+    """Raw records of parsed documents, with ``seq``, the arrival position.
+
+    ``seq`` is the document, then the place in its ``uids`` list.
     """
-    entries = F.from_json(
-        F.get_json_object(text, "$.result"), "map<string,string>"
-    ).alias("entries")
-
-    def named(uid: Column, place: Column) -> Column:
-        return F.struct(
-            place.alias("place"), F.try_element_at("entries", uid).alias("json")
-        )
-
-    uids = F.from_json(F.col("entries")["uids"], "array<string>")
-    return (
-        documents.select(F.col(order).alias("document"), entries)
-        .select("document", F.inline(F.transform(uids, named)))
-        .select(
-            F.struct("document", "place").alias("seq"),
-            F.from_json("json", RAW_RECORD).alias("record"),
-        )
-        .select("seq", "record.*")
-        .filter(F.col("project_acc") != "")
+    listed = parsed.select(
+        "document",
+        F.try_variant_get("v", "$.result.uids", "array<string>").alias("uids"),
+        F.try_variant_get("v", "$.result", "variant").alias("result"),
     )
+    entries = listed.lateralJoin(
+        parsed.sparkSession.tvf.variant_explode(F.col("result").outer())
+    ).filter(F.array_contains("uids", F.col("key")))
+    place = (F.array_position("uids", F.col("key")) - 1).cast("int")
+    return entries.select(
+        F.struct("document", place.alias("place")).alias("seq"),
+        *(F.try_variant_get("value", f"$.{name}", "string").alias(name) for name in RAW_FIELDS),
+    ).filter(F.col("project_acc") != "")
+
+
+def records_from_documents(
+    documents: DataFrame, text: str, order: str = "document_seq"
+) -> DataFrame:
+    """Raw records of the JSON documents in column ``text``."""
+    return records_of(parse_documents(documents, text, order))
