@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Run metadata derived from ``orders``; Spark and DuckDB run it unchanged.
+#: Run metadata derived from ``orders``; Spark and DuckDB run it unchanged. Study
+#: PRJ9999 holds a third of all runs.
 RUN_VIEW = """
 SELECT
   'SRR' || o_orderkey AS acc,
-  'PRJ' || CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 40 ELSE o_custkey END AS bioproject,
+  'PRJ' || CASE o_orderkey % 3 WHEN 0 THEN 9999 WHEN 1 THEN o_custkey % 40 ELSE o_custkey END AS bioproject,
   CASE WHEN o_custkey % 40 = 39 THEN NULL
-       ELSE 'SRP' || CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 40 ELSE o_custkey END END AS sra_study,
+       ELSE 'SRP' || CASE o_orderkey % 3 WHEN 0 THEN 9999 WHEN 1 THEN o_custkey % 40 ELSE o_custkey END END AS sra_study,
   'SAM' || (o_orderkey - o_orderkey % 2) AS biosample,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'SRS' || o_orderkey END AS sample_acc,
   CASE WHEN o_orderkey % 2 = 0 THEN 'PAIRED' ELSE 'SINGLE' END AS librarylayout,
   CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE CAST(floor(o_totalprice) AS BIGINT) END AS mbases,
-  CASE WHEN o_custkey % 40 = 13 AND o_orderkey % 2 = 0 THEN 'Homo sapiens'
+  CASE WHEN o_custkey % 40 IN (13, 39) AND o_orderkey % 2 = 0 THEN 'Homo sapiens'
        WHEN o_custkey % 8 = 7 THEN 'Rattus norvegicus'
        WHEN o_custkey % 2 = 0 THEN 'Homo sapiens'
        ELSE 'Mus musculus' END AS organism,
@@ -26,7 +27,7 @@ SELECT
                      WHEN 3 THEN NULL ELSE 'TRANSCRIPTOMIC' END AS librarysource,
   CASE WHEN o_custkey % 40 IN (4, 9, 21) THEN
          CASE o_orderkey % 4 WHEN 0 THEN 'Inverse rRNA' WHEN 1 THEN 'cDNA' ELSE NULL END
-       WHEN o_custkey % 40 IN (17, 29) THEN NULL
+       WHEN o_custkey % 40 IN (17, 22, 26, 29) THEN NULL
        ELSE
        CASE o_orderkey % 7 WHEN 0 THEN 'RANDOM' WHEN 1 THEN 'Inverse rRNA' WHEN 2 THEN 'PolyA'
                       WHEN 3 THEN 'size fractionation' WHEN 4 THEN 'cDNA'
@@ -42,7 +43,7 @@ SELECT
   CASE o_orderkey % 9 WHEN 0 THEN 'Sequel II' WHEN 2 THEN 'MinION' ELSE 'NovaSeq' END AS instrument,
   CASE WHEN o_orderkey % 13 = 0 THEN NULL
        WHEN o_custkey % 40 IN (8, 18) THEN 125 + o_orderkey % 20
-       WHEN (o_custkey % 40) % 3 = 0 THEN 15 + o_orderkey % 100
+       WHEN (o_custkey % 40) % 3 = 0 OR o_custkey % 40 IN (22, 26) THEN 15 + o_orderkey % 100
        ELSE o_orderkey % 900 END AS avgspotlen,
   CASE WHEN o_orderkey % 19 = 0 THEN NULL
        WHEN o_custkey % 40 IN (12, 24) THEN o_orderkey % 12

@@ -461,6 +461,60 @@ def _target_screen(where: str = "true", **rules: bool) -> str:
 
 
 _NO_SIZE = -1
+
+
+def _small_ladder() -> str:
+    """Every screen of the ladder, and of each study the first report."""
+    rungs = [
+        {},
+        {"min_size": _NO_SIZE},
+        {"min_size": _NO_SIZE, "longest": 150},
+        {"min_size": _NO_SIZE, "longest": 150, "attributes": True},
+        {"min_size": _NO_SIZE, "longest": 150, "attributes": True, "arm": 2},
+    ]
+    screens = " UNION ALL ".join(
+        "SELECT {} AS rung, * FROM ({})".format(
+            at,
+            _with(
+                _kept(**bounds),
+                _tissue_details("labelled SEMI JOIN kept USING (bioproject)"),
+                _SMALL_REPORT,
+                select="SELECT * FROM report",
+            ),
+        )
+        for at, bounds in enumerate(rungs)
+    )
+    return _with(*_UP_TO_RUNS, _LABELLED, _STUDIES, select=_first_reports(screens))
+
+
+def _first_reports(screens: str) -> str:
+    return f"""SELECT * FROM ({screens})
+QUALIFY rung = min(rung) OVER (PARTITION BY {_KEYS})"""
+
+
+def _target_ladder() -> str:
+    rungs = [
+        {},
+        {"long_inferred": True},
+        {"long_inferred": True, "unspecified": True},
+        {"long_inferred": True, "unspecified": True, "any_organism": True},
+    ]
+    screens = " UNION ALL ".join(
+        "SELECT {} AS rung, * FROM ({})".format(
+            at,
+            _with(
+                _target_runs(**rules),
+                _TARGET_STUDIES,
+                _tissue_details("target_runs WHERE is_target"),
+                _TARGET_REPORT,
+                select="SELECT * FROM report",
+            ),
+        )
+        for at, rules in enumerate(rungs)
+    )
+    return _with(*_UP_TO_RUNS, select=_first_reports(screens))
+
+
 ORACLES = {
     "attr_blob": _over_texts("SELECT acc, attr_blob FROM texts"),
     "scoped_blob": _over_texts("SELECT acc, scoped_blob FROM texts"),
@@ -506,6 +560,7 @@ FROM anchors LEFT JOIN runs USING (bioproject)"""
     ),
     "tissue_detail": _small_screen("FROM tissues"),
     "screen_small_rna": _small_screen(f"FROM report {_SMALL_RANK}"),
+    "ladder_small_rna": _small_ladder(),
     "label_eff": _over_target("SELECT acc, label_eff FROM target_runs"),
     "priming_class": _over_target("SELECT acc, priming_class FROM target_runs"),
     "read_class": _over_target("SELECT acc, read_class FROM target_runs"),
@@ -530,6 +585,7 @@ FROM anchors LEFT JOIN runs USING (bioproject)"""
     "target_relaxed_3": _target_screen(
         long_inferred=True, unspecified=True, any_organism=True
     ),
+    "ladder_total_long": _target_ladder(),
     "inspect_studies": _over_runs(
         """SELECT bioproject, sra_study, acc, biosample, assay_type, libraryselection,
   library_name, avgspotlen, round(mbytes::DOUBLE / 1024, 3) AS gb, label_blob, attr_blob
@@ -549,7 +605,14 @@ WHERE organism = 'Homo sapiens' AND consent = 'public' ORDER BY acc LIMIT 10""",
   {_cell("assay_types", "assay_type")}, {_LATEST} FROM labelled GROUP BY ALL"""
     ),
     "normalise_records": _with(_RECORDS, select="FROM records"),
-    "json_records": _with(_RECORDS, select=f"SELECT {', '.join(RAW_COLUMNS)} FROM raw"),
+    "json_records": _with(
+        _RECORDS,
+        select=f"SELECT {', '.join(RAW_COLUMNS)} FROM raw WHERE seq // 5 % 7 <> 3",
+    ),
+    "unreadable_documents": _with(
+        _RECORDS,
+        select="SELECT DISTINCT (seq // 5)::BIGINT AS document_seq FROM raw WHERE seq // 5 % 7 = 3",
+    ),
     "enrich": _with(
         *_UP_TO_RUNS,
         _RECORDS,
@@ -566,6 +629,17 @@ FROM sheet LEFT JOIN records ON bioproject = project_acc)""",
         select="""SELECT bioproject FROM runs
 ANTI JOIN records ON bioproject = project_acc GROUP BY bioproject""",
     ),
+    "sheet_round_trip": _with(
+        _RECORDS,
+        select="""SELECT coalesce(project_acc, '') AS bioproject, project_title, project_description,
+  submitter_organization, coalesce(registration_date, '') AS registration_date, project_data_type,
+  '[' || array_to_string(string_split(project_title, ' '), ',') || ']' AS title_words,
+  seq::VARCHAR AS seq FROM raw""",
+    ),
+    "interval_round_trip": """SELECT 'site' || l_orderkey || '.' || l_linenumber AS GeneID,
+  'chr' || (l_suppkey % 22 + 1) AS Chr, l_orderkey * 10 AS Start,
+  l_orderkey * 10 + l_partkey AS "End",
+  CASE l_linenumber % 3 WHEN 0 THEN '-' WHEN 1 THEN '+' END AS Strand FROM lineitem""",
     "ascii_boundary_match": r"""SELECT doc_id, regexp_matches(text, '\bla\b') AS has_la,
   regexp_matches(text, '\bde\s\w') AS has_de,
   nullif(regexp_extract(text, '\b(?:el|le|un)\b'), '') AS article

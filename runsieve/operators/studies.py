@@ -8,6 +8,7 @@ values. So a study holding a large share of all runs never meets in one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -161,14 +162,12 @@ RELAXED_SMALL_RNA = (
 )
 
 
-def keep_small_rna(
-    studies: DataFrame, thresholds: SmallRnaThresholds = SMALL_RNA
-) -> DataFrame:
-    """Studies with two real arms, declared small RNA and no single cells."""
+def passes(thresholds: SmallRnaThresholds = SMALL_RNA) -> Column:
+    """Whether a study has two real arms, declared small RNA and no single cells."""
     declared = F.col("n_assay_declared") + F.col("n_library_declared")
     if thresholds.attribute_evidence:
         declared = declared + F.col("n_attr_mentioned")
-    kept = studies.filter(
+    kept = (
         (F.col("case_only") >= thresholds.min_arm)
         & (F.col("control_only") >= thresholds.min_arm)
         & (declared > 0)
@@ -176,10 +175,22 @@ def keep_small_rna(
         & (F.col("n_single_cell") == 0)
     )
     if thresholds.min_gb_per_run is not None:
-        kept = kept.filter(F.col("gb_per_run") > thresholds.min_gb_per_run)
+        kept = kept & (F.col("gb_per_run") > thresholds.min_gb_per_run)
     return kept
 
 
+def keep_small_rna(
+    studies: DataFrame, thresholds: SmallRnaThresholds = SMALL_RNA
+) -> DataFrame:
+    """The studies that pass the thresholds."""
+    return studies.filter(passes(thresholds))
+
+
+def first_rung(conditions: Sequence[Column]) -> Column:
+    """Number of the first condition that holds; NULL if none does."""
+    return F.coalesce(*(F.when(holds, F.lit(at)) for at, holds in enumerate(conditions)))
+
+
 _TARGET_LABELS = (
     "is_target",
     "ad_hit",
@@ -269,13 +280,14 @@ def matched_design(report: DataFrame) -> DataFrame:
     return report.filter((F.col("n_small_rna") > 0) & (F.col("n_target_runs") > 0))
 
 
-def tissue_detail(runs: DataFrame) -> DataFrame:
+def tissue_detail(
+    runs: DataFrame, keys: Sequence[str] = ("bioproject", "sra_study")
+) -> DataFrame:
     """Up to six smallest distinct short tissue fragments per study.
 
     Needs ``tissue_blob``. The key leaves out the organism, so the organisms of
     one study share the text.
     """
-    keys = ("bioproject", "sra_study")
     fragment = F.col("tissue_attrs")
     pieces = runs.select(
         *keys, F.explode(fragments(F.col("tissue_blob"))).alias("tissue_attrs")

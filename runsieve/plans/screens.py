@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsieve.functions import report
+from runsieve.functions import classify, report
 from runsieve.functions.vocabulary import DEFAULT, ORGANISMS, Vocabulary
 from runsieve.operators import labels, studies
 from runsieve.operators.anchor import restrict_to_studies
@@ -128,7 +128,9 @@ _LABELLED_TARGET_COLUMNS = (
 )
 
 
-def report_small_rna(kept: DataFrame, tissues: DataFrame) -> DataFrame:
+def report_small_rna(
+    kept: DataFrame, tissues: DataFrame, carried: Sequence[str] = ()
+) -> DataFrame:
     """Report columns and rank of the kept studies of the small-RNA screen."""
     return (
         kept.join(tissues, ["bioproject", "sra_study"], "left")
@@ -141,8 +143,9 @@ def report_small_rna(kept: DataFrame, tissues: DataFrame) -> DataFrame:
                 "run_selector_url": report.run_selector_url(),
             }
         )
-        .select(*_SMALL_RNA_COLUMNS)
+        .select(*carried, *_SMALL_RNA_COLUMNS)
         .orderBy(
+            *carried,
             F.desc("n_prefrontal"),
             F.desc("n_brain_any"),
             F.desc("smaller_arm"),
@@ -151,10 +154,15 @@ def report_small_rna(kept: DataFrame, tissues: DataFrame) -> DataFrame:
     )
 
 
-def report_target(kept: DataFrame, tissues: DataFrame) -> DataFrame:
-    """Report columns and rank of the studies of the total / long-read screen."""
+def report_target(
+    kept: DataFrame, tissues: DataFrame, carried: Sequence[str] = ()
+) -> DataFrame:
+    """Report columns and rank of the studies of the total / long-read screen.
+
+    ``carried`` columns are part of the key of ``tissues`` too.
+    """
     return (
-        kept.join(tissues, ["bioproject", "sra_study"], "left")
+        kept.join(tissues, ["bioproject", "sra_study", *carried], "left")
         .withColumns(
             {
                 "verdict": report.verdict(),
@@ -168,8 +176,9 @@ def report_target(kept: DataFrame, tissues: DataFrame) -> DataFrame:
                 "run_selector_url": report.run_selector_url(),
             }
         )
-        .select(*_TARGET_COLUMNS)
+        .select(*carried, *_TARGET_COLUMNS)
         .orderBy(
+            *carried,
             F.when(report.passes(), 0).otherwise(1),
             F.desc("n_prefrontal"),
             F.desc("n_brain_any"),
@@ -209,11 +218,37 @@ def screen_small_rna(
         studies.keep_small_rna(studies.aggregate_small_rna(labelled), thresholds),
         "kept-studies",
     )
+    return report_small_rna(kept, _tissues_of(kept, runs, vocabulary))
+
+
+def _tissues_of(kept: DataFrame, runs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     kept_runs = restrict_to_studies(
         runs.select("bioproject", "sra_study", "attr_blob"), kept
     )
-    tissues = studies.tissue_detail(labels.with_tissue_text(kept_runs, vocabulary))
-    return report_small_rna(kept, tissues)
+    return studies.tissue_detail(labels.with_tissue_text(kept_runs, vocabulary))
+
+
+def ladder_small_rna(
+    runs: DataFrame,
+    ladder: Sequence[studies.SmallRnaThresholds] = (
+        studies.SMALL_RNA,
+        *studies.RELAXED_SMALL_RNA,
+    ),
+    vocabulary: Vocabulary = DEFAULT,
+    organisms: Sequence[str] | None = None,
+    among: Sequence[str] | DataFrame | None = None,
+) -> DataFrame:
+    """The report of every study some rung keeps, with ``rung``, the first that does.
+
+    The rows up to a rung are those of :func:`screen_small_rna` with its
+    thresholds, if each rung loosens the one before. Runs are labelled and
+    counted once, whatever the number of rungs.
+    """
+    runs = _among(in_organisms(runs, organisms), among)
+    counted = studies.aggregate_small_rna(labels.label_small_rna(runs, vocabulary))
+    rung = studies.first_rung([studies.passes(thresholds) for thresholds in ladder])
+    kept = stage(counted.withColumn("rung", rung).filter("rung IS NOT NULL"), "kept-studies")
+    return report_small_rna(kept, _tissues_of(kept, runs, vocabulary), ("rung",))
 
 
 @dataclass(frozen=True)
@@ -260,3 +295,50 @@ def screen_total_long(
     kept = studies.keep_with_target(studies.aggregate_target(flagged))
     tissues = studies.tissue_detail(flagged.filter("is_target"))
     return report_target(kept, tissues)
+
+
+def ladder_total_long(
+    runs: DataFrame,
+    ladder: Sequence[TargetRules] = (TARGET, *RELAXED_TARGET),
+    vocabulary: Vocabulary = DEFAULT,
+    among: Sequence[str] | DataFrame | None = None,
+) -> DataFrame:
+    """The report of every study at ``rung``, the first rules that find a target run.
+
+    What a study shows is what :func:`screen_total_long` reports for it under
+    those rules. Runs are labelled once: each keeps the number of the first rules
+    that take it, and a study counts the runs of its own first rules.
+    """
+    labelled = labels.label_target(_among(runs, among), vocabulary)
+    takes = [
+        classify.is_target(vocabulary, rules.long_inferred, rules.unspecified_rna)
+        & (F.lit(True) if rules.organisms is None else F.col("organism").isin(*rules.organisms))
+        for rules in ladder
+    ]
+    narrow = [c for c in _LABELLED_TARGET_COLUMNS if c != "is_target"]
+    flagged = stage(
+        labelled.withColumn("run_rung", studies.first_rung(takes)).select(*narrow, "run_rung"),
+        "labelled-runs",
+    )
+    # One row per study, staged so that the optimizer knows its size.
+    first = stage(
+        flagged.filter("run_rung IS NOT NULL")
+        .groupBy(*(F.col(k).alias(f"_{k}") for k in STUDY_KEYS))
+        .agg(F.min("run_rung").alias("rung")),
+        "first-rungs",
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in STUDY_KEYS]
+    chosen = flagged.join(first, same).withColumn(
+        "is_target", F.coalesce(F.col("run_rung") == F.col("rung"), F.lit(False))
+    )
+    kept = studies.aggregate_target(chosen).join(first, same)
+    # Organisms of one study share tissues, of all runs that the rules of a rung take.
+    rungs = first.select("_bioproject", "_sra_study", "rung").distinct()
+    of_rung = flagged.join(
+        rungs,
+        (F.col("bioproject") == F.col("_bioproject"))
+        & (F.col("sra_study") == F.col("_sra_study"))
+        & (F.col("run_rung") <= F.col("rung")),
+    )
+    tissues = studies.tissue_detail(of_rung, ("bioproject", "sra_study", "rung"))
+    return report_target(kept, tissues, ("rung",))

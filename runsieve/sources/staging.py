@@ -42,12 +42,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[application]
 
 
-def stage(frame: DataFrame, name: str) -> DataFrame:
-    """Write ``frame`` to the shared folder and return a scan of it."""
-    spark = frame.sparkSession
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which :func:`drop_staged` deletes."""
     folder = shared_folder(spark).rstrip("/")
     path = f"{folder}/runsieve/{name}-{uuid.uuid4().hex}"
     _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def stage(frame: DataFrame, name: str) -> DataFrame:
+    """Write ``frame`` to the shared folder and return a scan of it."""
+    spark = frame.sparkSession
+    path = staged_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
