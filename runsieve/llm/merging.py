@@ -70,43 +70,53 @@ class Kept:
         return out
 
 
-def merges_made(symbols: list[int], merge: dict[int, tuple[int, int]], base: int) -> int:
-    """How many merges a word of these symbols takes; ``symbols`` is used up.
-
-    ``merge`` gives rank and outcome of the pair ``left * base + right``.
-    """
-    end = len(symbols)
-    after = list(range(1, end + 1))
-    before = list(range(-1, end - 1))
-    heap = []
-    for at in range(end - 1):
-        found = merge.get(symbols[at] * base + symbols[at + 1])
-        if found:
-            heap.append((found[0], at, found[1]))
-    heapify(heap)
-    made = 0
-    while heap:
-        rank, at, symbol = heappop(heap)
-        right = after[at]
-        if symbols[at] < 0 or right == end:
-            continue
-        found = merge.get(symbols[at] * base + symbols[right])
-        if not found or found[0] != rank:
-            continue
-        made += 1
-        symbols[at], symbols[right] = symbol, -1
-        behind = after[at] = after[right]
-        if behind < end:
-            before[behind] = at
-            found = merge.get(symbol * base + symbols[behind])
-            if found:
-                heappush(heap, (found[0], at, found[1]))
-        left = before[at]
-        if left >= 0:
-            found = merge.get(symbols[left] * base + symbol)
-            if found:
-                heappush(heap, (found[0], left, found[1]))
-    return made
+class Merges:
+    """Which pairs of symbols a vocabulary merges, in which rank and to what."""
+
+    def __init__(self, vocabulary: dict[str, int], merges: list):
+        self.base = max(vocabulary.values(), default=0) + 1
+        pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in merges]
+        #: Rank of the pair ``left * base + right``, and the symbol that each rank makes.
+        self.rank = {vocabulary[a] * self.base + vocabulary[b]: at for at, (a, b) in enumerate(pairs)}
+        self.symbol = [vocabulary[a + b] for a, b in pairs]
+
+    def made(self, symbols: list[int]) -> int:
+        """How many merges a word of these symbols takes; ``symbols`` is used up."""
+        rank_of, base, end = self.rank.get, self.base, len(symbols)
+        # A pair is one number, its rank above its place.
+        heap = []
+        for at in range(end - 1):
+            rank = rank_of(symbols[at] * base + symbols[at + 1])
+            if rank is not None:
+                heap.append(rank << 32 | at)
+        heapify(heap)
+        after = list(range(1, end + 1))
+        before = list(range(-1, end - 1))
+        merged = 0
+        while heap:
+            pair = heappop(heap)
+            at = pair & 0xFFFFFFFF
+            left, right = symbols[at], after[at]
+            if left < 0 or right == end:
+                continue
+            rank = pair >> 32
+            if rank_of(left * base + symbols[right]) != rank:
+                continue
+            merged += 1
+            symbols[at] = symbol = self.symbol[rank]
+            symbols[right] = -1
+            behind = after[at] = after[right]
+            if behind < end:
+                before[behind] = at
+                rank = rank_of(symbol * base + symbols[behind])
+                if rank is not None:
+                    heappush(heap, rank << 32 | at)
+            place = before[at]
+            if place >= 0:
+                rank = rank_of(symbols[place] * base + symbol)
+                if rank is not None:
+                    heappush(heap, rank << 32 | place)
+        return merged
 
 
 class TokenCounter:
@@ -130,12 +140,11 @@ class TokenCounter:
             raise ValueError("the tokenizer keeps white space")
         self._suffix = model.get("end_of_word_suffix") or ""
         self._symbols = vocabulary = model["vocab"]
-        self._base = max(vocabulary.values(), default=0) + 1
-        self._merge: dict[int, tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            left, right = pair.split(" ") if isinstance(pair, str) else pair
-            key = vocabulary[left] * self._base + vocabulary[right]
-            self._merge[key] = (rank, vocabulary[left + right])
+        self._merges = Merges(vocabulary, model["merges"])
+        # Whether a run of plain letters is one word, in lower case or as it is.
+        letters = "".join(map(chr, (*range(65, 91), *range(97, 123))))
+        whole = [word for word, _ in self._words(letters)]
+        self._plain = {letters.lower(): str.lower, letters: str}.get(whole[0]) if len(whole) == 1 else None
         strings = sorted((t["content"] for t in added), key=len, reverse=True)
         self._added = re.compile("|".join(map(re.escape, strings))) if strings else None
         self._runs, self._known = Kept(CACHE_RUNS), Kept(CACHE_RUNS)
@@ -147,9 +156,14 @@ class TokenCounter:
     def _word_tokens(self, word: str) -> int:
         letters = [*word[:-1], word[-1] + self._suffix]
         symbols = [s for s in map(self._symbols.get, letters) if s is not None]
-        return len(symbols) - merges_made(symbols.copy(), self._merge, self._base)
+        return len(symbols) - self._merges.made(symbols.copy())
 
     def _run_tokens(self, run: str) -> int:
+        if self._plain and run.isascii() and run.isalpha() and len(run) <= CACHE_CHARS:
+            word = self._plain(run)
+            if self._known.missing((word,)):
+                self._known.new[word] = self._word_tokens(word)
+            return self._known.new[word]
         total, parts = 0, [run]
         if self._added and self._added.search(run):
             parts = self._added.split(run)

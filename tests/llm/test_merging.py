@@ -49,19 +49,19 @@ def test_any_text_against_the_library(library, counter, text):
 
 def test_merges_are_those_of_repeated_scans(counter):
     """Against merging by scanning for the lowest rank, without a heap."""
-    draw = random.Random(2)
+    draw, merges = random.Random(2), counter._merges
     for _ in range(300):
         word = "".join(draw.choices("aeinorstlu", k=draw.randint(1, 14)))
         symbols = [counter._symbols[c] for c in word[:-1]] + [counter._symbols[word[-1] + "</w>"]]
         plain = list(symbols)
         while True:
-            pairs = [(counter._merge.get(a * counter._base + b), i) for i, (a, b) in enumerate(zip(plain, plain[1:]))]
-            pairs = [(found[0], i, found[1]) for found, i in pairs if found]
+            pairs = [(merges.rank.get(a * merges.base + b), i) for i, (a, b) in enumerate(zip(plain, plain[1:]))]
+            pairs = [(rank, i) for rank, i in pairs if rank is not None]
             if not pairs:
                 break
-            _, at, made = min(pairs)
-            plain[at : at + 2] = [made]
-        assert len(symbols) - merging.merges_made(list(symbols), counter._merge, counter._base) == len(plain)
+            rank, at = min(pairs)
+            plain[at : at + 2] = [merges.symbol[rank]]
+        assert len(symbols) - merges.made(list(symbols)) == len(plain)
 
 
 def test_documents_with_odd_rows(spark, library):
