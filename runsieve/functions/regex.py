@@ -7,9 +7,11 @@ final line end. :func:`java_regex` rewrites those, so that a pattern picks the
 same text in both dialects, and raises for the few that it cannot render.
 
 Trying dozens of alternatives at every position of a text is what the screens
-spend their time on. So a match is attempted only on texts that contain one of
-the :func:`required_literals` of the pattern, a plain byte search. In a scan for
-rare terms nearly all texts end there.
+spend their time on. So a pattern of several alternatives is tried only where the
+next characters are among those that some alternative begins with
+(:func:`first_characters`), a look-ahead of a few table look-ups. Where that tells
+nothing, a match is attempted only on texts that contain one of the
+:func:`required_literals` of the pattern, a plain byte search.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ _MIN_LITERAL = 2
 _NOT_IN_CLASS = ("[:", r"\S", "&&")
 
 
+#: Characters looked at ahead of an alternation, and from how many alternatives on.
+_AHEAD, _SEVERAL = 3, 3
+
+
 def _optional(token: str) -> bool:
     return token[:1] in ("?", "*", "{")
 
@@ -76,7 +82,76 @@ def java_regex(pattern: str) -> str:
         else:
             out.append(token)
         i += 1
-    return "".join(out)
+    ahead = first_characters(pattern)
+    if not ahead:
+        return "".join(out)
+    classes = "".join(f"[{''.join(map(_in_class, sorted(chars)))}]" for chars in ahead)
+    return f"{out[0]}(?={classes})(?:{''.join(out[1:])})"
+
+
+def _in_class(char: str) -> str:
+    return "\\" + char if char in "\\[]^-&" else char
+
+
+def _members(token: str) -> set[str] | None:
+    """The characters a token can be; None if that is not a small set."""
+    if _PLAIN.fullmatch(token):
+        return {token}
+    if len(token) == 2 and token[0] == "\\":
+        if token[1] == "s":
+            return set("\t\n\f\r ")
+        return None if token[1].isalnum() else {token[1]}
+    if token.startswith("[") and len(token) > 2 and token[1] != "^":
+        inner = token[1:-1]
+        if re.search(r"\\[^s\W]|\[|&&", inner):
+            return None
+        out = set("\t\n\f\r ") if r"\s" in inner else set()
+        inner = inner.replace(r"\s", "").replace("\\", "")
+        for first, last in re.findall(r"(.)-(.)", inner):
+            out |= {chr(code) for code in range(ord(first), ord(last) + 1)}
+        return out | set(inner)
+    return None
+
+
+def _beginnings(tokens: list[str]) -> list[set[str]]:
+    """Per place the characters that matches of an alternative can have there.
+
+    As many places as every match has for certain, up to ``_AHEAD``.
+    """
+    places: list[set[str]] = [set() for _ in range(_AHEAD)]
+    ends, known, i = {0}, _AHEAD, 0
+    while i < len(tokens) and min(ends) < known:
+        token, after = tokens[i], tokens[i + 1] if i + 1 < len(tokens) else ""
+        i += 1
+        if token == r"\b":
+            continue
+        chars = _members(token)
+        if chars is None or after[:1] in ("*", "+", "{"):
+            known = min(known, *ends)
+            break
+        for end in ends:
+            if end < _AHEAD:
+                places[end] |= chars
+        ends = {end + 1 for end in ends} | (ends if after[:1] == "?" else set())
+        i += after[:1] == "?"
+    return places[: min(known, *ends)]
+
+
+@lru_cache(maxsize=None)
+def first_characters(pattern: str) -> tuple[frozenset[str], ...]:
+    """The characters that every match begins with, place by place.
+
+    Empty if the pattern has few alternatives, sets flags, or if some match
+    begins with fewer than two known characters.
+    """
+    alternatives = _alternatives(pattern)
+    if len(alternatives) < _SEVERAL or re.search(r"\(\?[^:]", pattern):
+        return ()
+    known = [_beginnings(tokens) for tokens in alternatives]
+    width = min(map(len, known))
+    if width < 2:
+        return ()
+    return tuple(frozenset().union(*(places[at] for places in known)) for at in range(width))
 
 
 def _alternatives(pattern: str) -> list[list[str]]:
@@ -127,7 +202,7 @@ def required_literals(pattern: str) -> tuple[str, ...]:
 def _may_match(column: str, pattern: str) -> Column | None:
     # Looping over the literals keeps the generated code small. A chain of OR
     # grows past the size that the JVM compiles, and then runs interpreted.
-    literals = required_literals(pattern)
+    literals = () if first_characters(pattern) else required_literals(pattern)
     if not literals:
         return None
     texts = ", ".join(f"'{text}'" for text in literals)

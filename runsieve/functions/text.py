@@ -74,6 +74,9 @@ def tissue_text(attr_blob: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
     Restricting the keys keeps a serum in a culture medium from passing for a
     serum sample.
     """
-    key = java_regex(rf"^[^=]*({vocabulary.tissue_keys})[^=]*=")
-    kept = F.filter(fragments(attr_blob), lambda kv: kv.rlike(key))
+    key = java_regex(vocabulary.tissue_keys)
+    kept = F.filter(
+        fragments(attr_blob),
+        lambda kv: kv.contains("=") & F.substring_index(kv, "=", 1).rlike(key),
+    )
     return F.array_join(F.sort_array(kept), SEPARATOR)
