@@ -52,12 +52,10 @@ def small_rna_library(vocabulary: Vocabulary = DEFAULT) -> Column:
     return matches("_declared_text", vocabulary.small_rna_terms)
 
 
-def small_rna_evidence(
-    vocabulary: Vocabulary = DEFAULT, inferred_length: tuple[int, int] = (15, 51)
-) -> Column:
+def small_rna_evidence(vocabulary: Vocabulary = DEFAULT) -> Column:
     """Strongest tier of small-RNA evidence, NULL if there is none."""
     assay = F.lower(F.col("assay_type"))
-    short = F.col("avgspotlen").between(*inferred_length)
+    short = F.col("avgspotlen").between(*vocabulary.inferred_length)
     return (
         F.when(assay.isin(*vocabulary.small_rna_assays), "assay_declared")
         .when(small_rna_library(vocabulary), "library_declared")
@@ -98,7 +96,7 @@ def priming_class(vocabulary: Vocabulary = DEFAULT) -> Column:
     )
 
 
-def read_class(vocabulary: Vocabulary = DEFAULT, inferred_from: int = 600) -> Column:
+def read_class(vocabulary: Vocabulary = DEFAULT) -> Column:
     """Long read by platform, by text, by mean length; else short read."""
     text = "_instrument_text"
     return (
@@ -107,7 +105,7 @@ def read_class(vocabulary: Vocabulary = DEFAULT, inferred_from: int = 600) -> Co
             "long_declared",
         )
         .when(matches(text, vocabulary.long_read_terms), "long_text")
-        .when(F.col("avgspotlen") >= inferred_from, "long_inferred")
+        .when(F.col("avgspotlen") >= vocabulary.long_read_from, "long_inferred")
         .otherwise("short_read")
     )
 

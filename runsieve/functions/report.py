@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,22 @@ RUN_SELECTOR_URL = "https://www.ncbi.nlm.nih.gov/Traces/study/?acc="
 # End of the fixed values.
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Sizes and lengths of a report."""
+
+    #: Runs of the smaller arm that make a real contrast, and a thin one.
+    enough: int = 3
+    thin: int = 2
+    #: Library names and tissue fragments shown per study; fragments are shorter than the last.
+    library_names: int = 8
+    tissue_fragments: int = 6
+    fragment_length: int = 70
+
+
+LIMITS = Limits()
+
+
 def cohort_line(samples: str = "n_biosamples", noun: str = "samples") -> Column:
     """``"<n> <noun>: <n> AD-like / <n> control[ / <n> other]"``.
 

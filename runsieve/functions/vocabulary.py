@@ -42,6 +42,8 @@ SINGLE_CELL_SOURCE = "transcriptomic single cell"
 RNA_SOURCE_PREFIX = "transcriptomic"
 BULK_RNA_SOURCE = "TRANSCRIPTOMIC"
 BULK_RNA_ASSAY = "RNA-Seq"
+INFERRED_SMALL_RNA_LENGTH = (15, 51)
+INFERRED_LONG_READ_FROM = 600
 TITLE_DISEASE_WORDS = ("alzheimer", "dementia", "amyloid", "tauopath", "neurodegener")
 TITLE_ASSAY_WORDS = ("mirna", "microrna", "micro-rna", "small rna", "smallrna", "ncrna")
 # End of the fixed values.
@@ -49,7 +51,7 @@ TITLE_ASSAY_WORDS = ("mirna", "microrna", "micro-rna", "small rna", "smallrna",
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Patterns and value lists used by the run classifiers."""
+    """Patterns, value lists and lengths used by the run classifiers."""
 
     label_keys: str = LABEL_KEYS
     tissue_keys: str = TISSUE_KEYS
@@ -76,6 +78,10 @@ class Vocabulary:
     rna_source_prefix: str = RNA_SOURCE_PREFIX
     bulk_rna_source: str = BULK_RNA_SOURCE
     bulk_rna_assay: str = BULK_RNA_ASSAY
+    #: Mean read lengths that count as small RNA, where nothing else is declared.
+    inferred_length: tuple[int, int] = INFERRED_SMALL_RNA_LENGTH
+    #: Mean read length from which on a run counts as long read.
+    long_read_from: int = INFERRED_LONG_READ_FROM
 
 
 DEFAULT = Vocabulary()

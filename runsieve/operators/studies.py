@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runsieve.functions.classify import is_long_read
+from runsieve.functions.report import LIMITS, Limits
 from runsieve.functions.text import fragments
+from runsieve.functions.vocabulary import DEFAULT, Vocabulary
 from runsieve.operators.groups import (
     LABELS,
     count_where,
@@ -30,9 +32,13 @@ from runsieve.operators.groups import (
 )
 from runsieve.sources.schemas import STUDY_KEYS
 
-LIBRARY_NAMES = 8
-TISSUE_FRAGMENTS = 6
-FRAGMENT_LENGTH = 70
+#: Counters that are not named after their tissue class.
+_SHORT_COUNTERS = {
+    "brain_prefrontal": "n_prefrontal",
+    "brain_hippocampal": "n_hippocampal",
+    "unannotated": "n_tissue_unannotated",
+    "other": "n_tissue_other",
+}
 
 
 def _arms(within: Column | None = None) -> dict[str, Column]:
@@ -59,19 +65,16 @@ def _counts(conditions: dict[str, Column]) -> list[Column]:
     return [count_where(c).alias(name) for name, c in conditions.items()]
 
 
-def _tissues(within: Column | None = None) -> dict[str, Column]:
+def tissue_counters(vocabulary: Vocabulary = DEFAULT) -> dict[str, str]:
+    """Counter of every tissue class: those of reports, then further ones of the vocabulary."""
+    names = dict.fromkeys(name for name, _ in (*DEFAULT.tissue_classes, *vocabulary.tissue_classes))
+    return {_SHORT_COUNTERS.get(name, f"n_{name}"): name for name in (*names, "unannotated", "other")}
+
+
+def _tissues(vocabulary: Vocabulary, within: Column | None = None) -> dict[str, Column]:
     kind = F.col("tissue_class")
-    tissues = {
-        "n_prefrontal": kind == "brain_prefrontal",
-        "n_hippocampal": kind == "brain_hippocampal",
-        "n_brain_other": kind == "brain_other",
-        "n_brain_any": kind.startswith("brain"),
-        "n_csf": kind == "csf",
-        "n_biofluid": kind == "biofluid",
-        "n_cell_model": kind == "cell_model",
-        "n_tissue_unannotated": kind == "unannotated",
-        "n_tissue_other": kind == "other",
-    }
+    tissues = {counter: kind == name for counter, name in tissue_counters(vocabulary).items()}
+    tissues["n_brain_any"] = kind.startswith("brain")
     if within is not None:
         del tissues["n_tissue_other"]
         tissues = {name: within & tissue for name, tissue in tissues.items()}
@@ -103,7 +106,7 @@ _SMALL_RNA_LABELS = (
 )
 
 
-def aggregate_small_rna(labelled: DataFrame) -> DataFrame:
+def aggregate_small_rna(labelled: DataFrame, vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """One row per study with the counters of the small-RNA screen."""
     facts = group_facts(
         labelled,
@@ -128,7 +131,7 @@ def aggregate_small_rna(labelled: DataFrame) -> DataFrame:
                 "n_single_cell": F.col("single_cell"),
             }
         ),
-        *_counts(_tissues()),
+        *_counts(_tissues(vocabulary)),
         distinct_values(F.col("ad_term")).alias("ad_terms"),
         distinct_values(F.col("ctrl_term")).alias("ctrl_terms"),
         distinct_values(F.col("tissue_class")).alias("tissue_classes"),
@@ -210,7 +213,9 @@ _TARGET_LABELS = (
 )
 
 
-def aggregate_target(flagged: DataFrame) -> DataFrame:
+def aggregate_target(
+    flagged: DataFrame, vocabulary: Vocabulary = DEFAULT, limits: Limits = LIMITS
+) -> DataFrame:
     """One row per study with the counters of the total / long-read screen.
 
     Arms, priming tiers, tissues and lists count target runs only; the library
@@ -227,7 +232,7 @@ def aggregate_target(flagged: DataFrame) -> DataFrame:
         added=("mbytes",),
         latest=("releasedate",),
     )
-    names = smallest_rows(flagged.filter(target), STUDY_KEYS, "library_name", LIBRARY_NAMES)
+    names = smallest_rows(flagged.filter(target), STUDY_KEYS, "library_name", limits.library_names)
     facts = with_rows(facts, "name", names, "library_name")
 
     def listed(name: str) -> Column:
@@ -255,7 +260,7 @@ def aggregate_target(flagged: DataFrame) -> DataFrame:
                 "n_priming_unspecified": target & (priming == "unspecified"),
             }
         ),
-        *_counts(_tissues(target)),
+        *_counts(_tissues(vocabulary, target)),
         listed("librarysource").alias("target_librarysources"),
         listed("libraryselection").alias("target_selections"),
         listed("assay_type").alias("target_assay_types"),
@@ -281,9 +286,11 @@ def matched_design(report: DataFrame) -> DataFrame:
 
 
 def tissue_detail(
-    runs: DataFrame, keys: Sequence[str] = ("bioproject", "sra_study")
+    runs: DataFrame,
+    keys: Sequence[str] = ("bioproject", "sra_study"),
+    limits: Limits = LIMITS,
 ) -> DataFrame:
-    """Up to six smallest distinct short tissue fragments per study.
+    """The smallest distinct short tissue fragments per study.
 
     Needs ``tissue_blob``. The key leaves out the organism, so the organisms of
     one study share the text.
@@ -291,7 +298,7 @@ def tissue_detail(
     fragment = F.col("tissue_attrs")
     pieces = runs.select(
         *keys, F.explode(fragments(F.col("tissue_blob"))).alias("tissue_attrs")
-    ).filter((fragment != "") & (F.length(fragment) < FRAGMENT_LENGTH))
-    return smallest_distinct(pieces, keys, "tissue_attrs", TISSUE_FRAGMENTS).withColumn(
+    ).filter((fragment != "") & (F.length(fragment) < limits.fragment_length))
+    return smallest_distinct(pieces, keys, "tissue_attrs", limits.tissue_fragments).withColumn(
         "tissue_attrs", F.array_join("tissue_attrs", ", ")
     )

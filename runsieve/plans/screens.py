@@ -17,6 +17,7 @@ from runsieve.sources.staging import stage
 
 _TIE_BREAKERS = STUDY_KEYS
 
+# The columns of both reports, in their order.
 _SMALL_RNA_COLUMNS = (
     *STUDY_KEYS,
     "cohort_line",
@@ -101,6 +102,8 @@ _TARGET_COLUMNS = (
     "run_selector_url",
 )
 
+# End of the fixed values.
+
 #: What the target screen needs of a labelled run once its texts are matched.
 _LABELLED_TARGET_COLUMNS = (
     *STUDY_KEYS,
@@ -128,10 +131,21 @@ _LABELLED_TARGET_COLUMNS = (
 )
 
 
+def _further(vocabulary: Vocabulary, columns: Sequence[str], absent: Sequence[str] = ()) -> list[str]:
+    """Counters of tissue classes that a report has no fixed column for."""
+    return [c for c in studies.tissue_counters(vocabulary) if c not in (*columns, *absent)]
+
+
 def report_small_rna(
-    kept: DataFrame, tissues: DataFrame, carried: Sequence[str] = ()
+    kept: DataFrame,
+    tissues: DataFrame,
+    carried: Sequence[str] = (),
+    vocabulary: Vocabulary = DEFAULT,
 ) -> DataFrame:
-    """Report columns and rank of the kept studies of the small-RNA screen."""
+    """Report columns and rank of the kept studies of the small-RNA screen.
+
+    Counters of further tissue classes of the vocabulary come last.
+    """
     return (
         kept.join(tissues, ["bioproject", "sra_study"], "left")
         .withColumns(
@@ -143,7 +157,7 @@ def report_small_rna(
                 "run_selector_url": report.run_selector_url(),
             }
         )
-        .select(*carried, *_SMALL_RNA_COLUMNS)
+        .select(*carried, *_SMALL_RNA_COLUMNS, *_further(vocabulary, _SMALL_RNA_COLUMNS))
         .orderBy(
             *carried,
             F.desc("n_prefrontal"),
@@ -155,17 +169,22 @@ def report_small_rna(
 
 
 def report_target(
-    kept: DataFrame, tissues: DataFrame, carried: Sequence[str] = ()
+    kept: DataFrame,
+    tissues: DataFrame,
+    carried: Sequence[str] = (),
+    vocabulary: Vocabulary = DEFAULT,
+    limits: report.Limits = report.LIMITS,
 ) -> DataFrame:
     """Report columns and rank of the studies of the total / long-read screen.
 
+    Counters of further tissue classes of the vocabulary come last.
     ``carried`` columns are part of the key of ``tissues`` too.
     """
     return (
         kept.join(tissues, ["bioproject", "sra_study", *carried], "left")
         .withColumns(
             {
-                "verdict": report.verdict(),
+                "verdict": report.verdict(enough=limits.enough, thin=limits.thin),
                 "cohort_line": report.cohort_line(
                     "n_target_biosamples", "target samples"
                 ),
@@ -176,10 +195,10 @@ def report_target(
                 "run_selector_url": report.run_selector_url(),
             }
         )
-        .select(*carried, *_TARGET_COLUMNS)
+        .select(*carried, *_TARGET_COLUMNS, *_further(vocabulary, _TARGET_COLUMNS, ["n_tissue_other"]))
         .orderBy(
             *carried,
-            F.when(report.passes(), 0).otherwise(1),
+            F.when(report.passes(limits.enough), 0).otherwise(1),
             F.desc("n_prefrontal"),
             F.desc("n_brain_any"),
             F.desc("smaller_arm"),
@@ -205,6 +224,7 @@ def screen_small_rna(
     vocabulary: Vocabulary = DEFAULT,
     organisms: Sequence[str] | None = None,
     among: Sequence[str] | DataFrame | None = None,
+    limits: report.Limits = report.LIMITS,
 ) -> DataFrame:
     """Studies with a case/control contrast in small-RNA sequencing.
 
@@ -215,17 +235,20 @@ def screen_small_rna(
     runs = _among(in_organisms(runs, organisms), among)
     labelled = labels.label_small_rna(runs, vocabulary)
     kept = stage(
-        studies.keep_small_rna(studies.aggregate_small_rna(labelled), thresholds),
+        studies.keep_small_rna(studies.aggregate_small_rna(labelled, vocabulary), thresholds),
         "kept-studies",
     )
-    return report_small_rna(kept, _tissues_of(kept, runs, vocabulary))
+    tissues = _tissues_of(kept, runs, vocabulary, limits)
+    return report_small_rna(kept, tissues, vocabulary=vocabulary)
 
 
-def _tissues_of(kept: DataFrame, runs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def _tissues_of(
+    kept: DataFrame, runs: DataFrame, vocabulary: Vocabulary, limits: report.Limits
+) -> DataFrame:
     kept_runs = restrict_to_studies(
         runs.select("bioproject", "sra_study", "attr_blob"), kept
     )
-    return studies.tissue_detail(labels.with_tissue_text(kept_runs, vocabulary))
+    return studies.tissue_detail(labels.with_tissue_text(kept_runs, vocabulary), limits=limits)
 
 
 def ladder_small_rna(
@@ -237,6 +260,7 @@ def ladder_small_rna(
     vocabulary: Vocabulary = DEFAULT,
     organisms: Sequence[str] | None = None,
     among: Sequence[str] | DataFrame | None = None,
+    limits: report.Limits = report.LIMITS,
 ) -> DataFrame:
     """The report of every study some rung keeps, with ``rung``, the first that does.
 
@@ -245,10 +269,11 @@ def ladder_small_rna(
     counted once, whatever the number of rungs.
     """
     runs = _among(in_organisms(runs, organisms), among)
-    counted = studies.aggregate_small_rna(labels.label_small_rna(runs, vocabulary))
+    counted = studies.aggregate_small_rna(labels.label_small_rna(runs, vocabulary), vocabulary)
     rung = studies.first_rung([studies.passes(thresholds) for thresholds in ladder])
     kept = stage(counted.withColumn("rung", rung).filter("rung IS NOT NULL"), "kept-studies")
-    return report_small_rna(kept, _tissues_of(kept, runs, vocabulary), ("rung",))
+    tissues = _tissues_of(kept, runs, vocabulary, limits)
+    return report_small_rna(kept, tissues, ("rung",), vocabulary)
 
 
 @dataclass(frozen=True)
@@ -284,6 +309,7 @@ def screen_total_long(
     rules: TargetRules = TARGET,
     vocabulary: Vocabulary = DEFAULT,
     among: Sequence[str] | DataFrame | None = None,
+    limits: report.Limits = report.LIMITS,
 ) -> DataFrame:
     """Studies with total or long-read RNA, each with a verdict on its cohort.
 
@@ -292,9 +318,9 @@ def screen_total_long(
     """
     runs = _among(runs, among)
     flagged = stage(labelled_target_runs(runs, rules, vocabulary), "labelled-runs")
-    kept = studies.keep_with_target(studies.aggregate_target(flagged))
-    tissues = studies.tissue_detail(flagged.filter("is_target"))
-    return report_target(kept, tissues)
+    kept = studies.keep_with_target(studies.aggregate_target(flagged, vocabulary, limits))
+    tissues = studies.tissue_detail(flagged.filter("is_target"), limits=limits)
+    return report_target(kept, tissues, vocabulary=vocabulary, limits=limits)
 
 
 def ladder_total_long(
@@ -302,6 +328,7 @@ def ladder_total_long(
     ladder: Sequence[TargetRules] = (TARGET, *RELAXED_TARGET),
     vocabulary: Vocabulary = DEFAULT,
     among: Sequence[str] | DataFrame | None = None,
+    limits: report.Limits = report.LIMITS,
 ) -> DataFrame:
     """The report of every study at ``rung``, the first rules that find a target run.
 
@@ -331,7 +358,7 @@ def ladder_total_long(
     chosen = flagged.join(first, same).withColumn(
         "is_target", F.coalesce(F.col("run_rung") == F.col("rung"), F.lit(False))
     )
-    kept = studies.aggregate_target(chosen).join(first, same)
+    kept = studies.aggregate_target(chosen, vocabulary, limits).join(first, same)
     # Organisms of one study share tissues, of all runs that the rules of a rung take.
     rungs = first.select("_bioproject", "_sra_study", "rung").distinct()
     of_rung = flagged.join(
@@ -340,5 +367,5 @@ def ladder_total_long(
         & (F.col("sra_study") == F.col("_sra_study"))
         & (F.col("run_rung") <= F.col("rung")),
     )
-    tissues = studies.tissue_detail(of_rung, ("bioproject", "sra_study", "rung"))
-    return report_target(kept, tissues, ("rung",))
+    tissues = studies.tissue_detail(of_rung, ("bioproject", "sra_study", "rung"), limits)
+    return report_target(kept, tissues, ("rung",), vocabulary, limits)

@@ -5,10 +5,13 @@ from __future__ import annotations
 import datetime as dt
 import random
 from collections import defaultdict
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from runsieve.functions import report
+from runsieve.functions.vocabulary import DEFAULT
 from runsieve.operators import groups, labels, studies
 from runsieve.plans import screens
 
@@ -269,3 +272,70 @@ def test_restricting_a_screen_to_listed_studies(spark, runs):
     assert {r.bioproject for r in studies.matched_design(
         screens.screen_total_long(runs)
     ).collect()} == {r.bioproject for r in whole if r.n_small_rna > 0}
+
+
+def test_small_rna_screen_is_ranked(spark, runs):
+    loose = studies.SmallRnaThresholds(1, (0, 10_000), None, True)
+    report = screens.screen_small_rna(runs, loose).collect()
+    order = [
+        (-r.n_prefrontal, -r.n_brain_any, -r.smaller_arm, *((r[k] is not None, r[k] or "") for k in KEYS))
+        for r in report
+    ]
+    assert len(report) > 5 and order == sorted(order)
+
+
+def test_ladders_give_the_rows_of_the_single_screens(spark, runs):
+    small = (
+        studies.SmallRnaThresholds(20, (0, 300), 1.5),
+        studies.SmallRnaThresholds(12, (0, 400), None),
+        studies.SmallRnaThresholds(2, (0, 400), None, True),
+    )
+    whole = screens.ladder_small_rna(runs, small).drop("tissue_attrs").collect()
+    seen = set()
+    for rung, thresholds in enumerate(small):
+        rows = {tuple(r)[:3]: r for r in screens.screen_small_rna(runs, thresholds).drop("tissue_attrs").collect()}
+        fresh = {k: tuple(v) for k, v in rows.items() if k not in seen}
+        assert {tuple(r)[1:4]: tuple(r)[1:] for r in whole if r.rung == rung} == fresh
+        seen |= set(rows)
+    assert len({r.rung for r in whole}) > 1
+    target = (
+        screens.TargetRules(("Mus musculus",)),
+        screens.TargetRules(("Mus musculus",), True, True),
+        screens.TargetRules(None, True, True),
+    )
+    whole = screens.ladder_total_long(runs, target).collect()
+    seen = set()
+    for rung, rules in enumerate(target):
+        rows = {(r.bioproject, r.sra_study, r.organism): tuple(r) for r in screens.screen_total_long(runs, rules).collect()}
+        fresh = {k: v for k, v in rows.items() if k not in seen}
+        found = {(r.bioproject, r.sra_study, r.organism): tuple(r)[1:] for r in whole if r.rung == rung}
+        assert found == fresh
+        seen |= set(rows)
+    assert {r.rung for r in whole} >= {0, 2}
+
+
+def test_other_classes_lengths_and_limits_reach_the_reports(spark, runs):
+    vocabulary = replace(
+        DEFAULT,
+        tissue_classes=(("liver", "liver"), *DEFAULT.tissue_classes[3:]),
+        inferred_length=(300, 400),
+        long_read_from=650,
+    )
+    labelled = labels.label_small_rna(runs, vocabulary)
+    inferred = labelled.filter("srna_evidence = 'readlen_inferred'").select("avgspotlen").collect()
+    assert inferred and all(300 <= r.avgspotlen <= 400 for r in inferred)
+    row = studies.aggregate_small_rna(labelled, vocabulary).agg(
+        F.sum("n_liver").alias("liver"), F.sum("n_prefrontal").alias("none"), F.sum("n_runs").alias("runs")
+    ).first()
+    assert row.liver == labelled.filter("tissue_class = 'liver'").count() > 0 and row.none == 0
+    flagged = labels.label_target(runs, vocabulary)
+    long_reads = flagged.filter("read_class = 'long_inferred'").select("avgspotlen").collect()
+    assert long_reads and all(r.avgspotlen >= 650 for r in long_reads)
+    limits = report.Limits(enough=9, thin=5, library_names=2, tissue_fragments=1, fragment_length=12)
+    found = screens.screen_total_long(runs, vocabulary=vocabulary, limits=limits)
+    assert found.columns[-1] == "n_liver"
+    rows = found.collect()
+    assert any(r.verdict == "thin - 5v5, underpowered" for r in rows)
+    for r in rows:
+        assert (r.verdict == "PASSES - real contrast") == (r.smaller_arm >= 9)
+        assert len(r.target_library_names) <= 2 and len(r.tissue_attrs or "") < 12
