@@ -14,13 +14,14 @@ in. Landmarks are the words that speak most for toxicity and the most frequent
 others; in the space that their kernel matrix spans a linear support vector
 machine with weighted examples is trained.
 
-A document is as toxic as its most toxic word, or run of single characters read
-as one word. Each word is also tried without what is not a letter. Two words next
+A document is judged by its most toxic word, or run of single characters read as
+one word, and by the sum of the margins of all its different toxic ones. Each word is also tried without what is not a letter. Two words next
 to each other, with nothing but space between, are one string more, which counts
 where the machine puts it on the toxic side; those that an upper bound of the
 margin keeps off that side, or that are longer than any toxic landmark by more
-than ``PAIR_SLACK``, are not computed further. Scores are
-made probabilities by logistic regression on whole training documents.
+than ``PAIR_SLACK``, are not computed further. Each of the two is made a probability
+by logistic regression on whole training documents; the higher one is the score,
+so that one clear insult is enough, and so are several weak ones.
 
 Training uses a bounded sample: at most ``TRAIN_DOCUMENTS`` labelled documents
 of each label, those with the smallest hash of their key. Everything else covers
@@ -81,8 +82,8 @@ _MODEL = pa.schema(
         ("words", pa.list_(pa.string())),
         ("weights", pa.list_(pa.float64())),
         ("offset", pa.float64()),
-        ("slope", pa.float64()),
-        ("shift", pa.float64()),
+        ("slopes", pa.list_(pa.float64())),
+        ("shifts", pa.list_(pa.float64())),
     ]
 )
 
@@ -287,10 +288,15 @@ class Machine:
     """
 
     def __init__(
-        self, landmarks: Landmarks | None, weights: np.ndarray | None, offset: float, slope: float, shift: float
+        self,
+        landmarks: Landmarks | None,
+        weights: np.ndarray | None,
+        offset: float,
+        slopes: list[float],
+        shifts: list[float],
     ):
         self.landmarks, self.weights, self.offset = landmarks, weights, offset
-        self.slope, self.shift = slope, shift
+        self.slopes, self.shifts = slopes, shifts
         self._words = None
 
     def __getstate__(self):
@@ -311,8 +317,9 @@ class Machine:
         return out
 
     def document_margins(self, texts: list[str]) -> np.ndarray:
-        """The largest margin of each text's tokens and pairs of neighbouring ones."""
-        out = np.empty(len(texts))
+        """Per text the largest margin of its strings, and the logarithm of 1 plus
+        the sum of those above 0, each different string once."""
+        out = np.empty((len(texts), 2))
         start, size = 0, 0
         for at, text in enumerate(texts, start=1):
             size += len(text)
@@ -329,32 +336,40 @@ class Machine:
         owner = np.repeat(np.arange(len(texts)), [len(tokens) for tokens in split])
         tokens = [token for own in split for token in own]
         ids = known.ids(tokens)
-        out = np.full(len(texts), self.offset)
+        best, total = np.full(len(texts), self.offset), np.zeros(len(texts))
         if not len(ids):
-            return out
+            return np.stack([best, total], axis=1)
         first = np.flatnonzero(np.diff(owner, prepend=-1))
         sizes = np.diff(np.append(first, len(ids)))
-        # The word of the highest bound in each text, then all that may still be above it.
+        # The word of the highest bound in each text, then all that may still be above it or toxic.
         upper = known.upper[ids]
         highest = np.flatnonzero(upper == np.repeat(np.maximum.reduceat(upper, first), sizes))
         known.settle(ids[highest], tokens, highest)
-        best = np.maximum.reduceat(known.margin[ids], first)
-        open_words = np.flatnonzero(upper > np.repeat(best, sizes))
+        least = np.repeat(np.maximum.reduceat(known.margin[ids], first), sizes)
+        open_words = np.flatnonzero(upper > np.minimum(least, 0))
         known.settle(ids[open_words], tokens, open_words)
-        out[owner[first]] = np.maximum(self.offset, np.maximum.reduceat(known.margin[ids], first))
+        margin = known.margin[ids]
+        best[owner[first]] = np.maximum(self.offset, np.maximum.reduceat(margin, first))
+        toxic = np.flatnonzero(margin > 0)
+        _, once = np.unique(owner[toxic] << 32 | ids[toxic], return_index=True)
+        np.add.at(total, owner[toxic][once], margin[toxic][once])
         lone = known.size[ids] == 1
         for at in np.unique(owner[lone]).tolist():
-            runs = lone_runs(split[at], lone[owner == at])
+            runs = list(dict.fromkeys(lone_runs(split[at], lone[owner == at])))
             if runs:
-                out[at] = max(out[at], self.word_margins(runs).max())
-        at, margin = known.toxic_pairs(tokens, ids, owner)
-        np.maximum.at(out, owner[at], margin)
-        return out
+                found = self.word_margins(runs)
+                best[at] = max(best[at], found.max())
+                total[at] += found[found > 0].sum()
+        at, pair, margin = known.toxic_pairs(tokens, ids, owner)
+        np.maximum.at(best, owner[at], margin)
+        _, once = np.unique(np.stack([owner[at], pair]), axis=1, return_index=True)
+        np.add.at(total, owner[at][once], margin[once])
+        return np.stack([best, np.log1p(total)], axis=1)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.landmarks is None:
-            return np.full(len(texts), self.shift)
-        value = self.slope * self.document_margins(texts) + self.shift
+            return np.full(len(texts), self.shifts[0])
+        value = (self.document_margins(texts) * self.slopes + self.shifts).max(axis=1)
         return 1 / (1 + np.exp(-np.clip(value, -500, 500)))
 
 
@@ -416,8 +431,8 @@ class KnownWords:
             self.margin[own] = self.machine.word_margins([tokens[p] for p in places[fresh][at].tolist()])
             self.upper[own] = self.margin[own]
 
-    def toxic_pairs(self, tokens: list[str], ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of tokens that are toxic as one string with the next of their text, and margins.
+    def toxic_pairs(self, tokens: list[str], ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of tokens toxic as one string with the next of their text, numbers of the pairs, margins.
 
         Only neighbours with nothing but space between them, not longer than
         ``longest``; those the bound keeps off the toxic side are not computed.
@@ -443,7 +458,7 @@ class KnownWords:
             self.pairs.update(zip((k for k, _ in missing), self.machine.margins(whole).tolist()))
         margin = np.array([self.pairs[k] for k in keys.tolist()])[back] if len(keys) else np.zeros(0)
         toxic = margin > 0
-        return at[toxic], margin[toxic]
+        return at[toxic], key[toxic], margin[toxic]
 
 
 def sentence_counts(texts: list[str], toxic: list[int]) -> tuple[Counter, Counter]:
@@ -515,7 +530,7 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
     """Learn landmarks, machine and calibration from labelled documents."""
     marks = np.array(toxic, dtype=float)
     if not len(marks) or marks.min() == marks.max():
-        return Machine(None, None, 0.0, 0.0, (float(marks.sum()) + 0.5) / (len(marks) + 1))
+        return Machine(None, None, 0.0, [], [(float(marks.sum()) + 0.5) / (len(marks) + 1)])
     bad, good = sentence_counts(texts, toxic)
     words = sorted(set(bad) | set(good))
     up = np.array([bad[word] for word in words], dtype=float)
@@ -552,8 +567,9 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
     x = np.vstack([part @ to_space.astype(np.float32) for part in near] + [np.zeros((1, to_space.shape[1]), np.float32)])
     up, down = (np.append(part[close], part.sum() - part[close].sum()) for part in (up, down))
     w, offset = support_vectors(x, up, down)
-    machine = Machine(landmarks, to_space @ w, offset, 1.0, 0.0)
-    machine.slope, machine.shift = calibrated(machine.document_margins(texts), marks)
+    machine = Machine(landmarks, to_space @ w, offset, [], [])
+    found = [calibrated(column, marks) for column in machine.document_margins(texts).T]
+    machine.slopes, machine.shifts = map(list, zip(*found))
     return machine
 
 
@@ -586,17 +602,17 @@ def fit(
         found = train([texts[at] for at in order], [marks[at] for at in order])
         fixed, weights = (found.landmarks.words, found.weights.tolist()) if found.landmarks else ([], [])
         yield pa.RecordBatch.from_pylist(
-            [{"words": fixed, "weights": weights, "offset": found.offset, "slope": found.slope, "shift": found.shift}],
+            [{"words": fixed, "weights": weights, "offset": found.offset, "slopes": found.slopes, "shifts": found.shifts}],
             schema=_MODEL,
         )
 
     row = sample.repartition(1).mapInArrow(
-        learn, "words array<string>, weights array<double>, offset double, slope double, shift double"
+        learn, "words array<string>, weights array<double>, offset double, slopes array<double>, shifts array<double>"
     ).first()
     if row is None:
-        return Machine(None, None, 0.0, 0.0, 0.5)
+        return Machine(None, None, 0.0, [], [0.5])
     fixed = Landmarks(row.words) if row.words else None
-    return Machine(fixed, np.array(row.weights), row.offset, row.slope, row.shift)
+    return Machine(fixed, np.array(row.weights), row.offset, row.slopes, row.shifts)
 
 
 def classify(
