@@ -2,6 +2,12 @@
 
 Each stage takes what its predecessor wrote. The filters keep all columns of
 ``documents``; the last stage returns the pieces of packed sequences.
+
+Defined cases are those of the operators: null and empty texts are scored like any
+other and share a fingerprint, so at most one of them stays; of a repeated row one
+stays; without labels toxicity rejects everything, as every score is 0.5; empty
+tables give no pieces; texts are read whole, however long; other columns are
+carried along and not read.
 """
 
 from __future__ import annotations
@@ -35,7 +41,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Trained models and tokens are beyond SQL; tests compare with plain Python.
+#: Trained models and tokens are beyond SQL; tests compare with plain decisions on
+#: planted documents.
 ORACLE_SQL = None
 
 
