@@ -2,9 +2,10 @@
 
 Each task collects the token counts of its documents in shards of bounded size.
 Whole windows of a long document stand alone; the remainders form a histogram
-of lengths. Shallow combinations of two and three lengths that fill a window
-exactly are the columns of a non-negative least squares problem against that
-histogram; the rounded solution says how often each combination is laid. What
+of lengths. Shallow combinations that fill a window exactly are the columns of a
+non-negative least squares problem against that histogram: all pairs, and of the
+triples those with two equal lengths and those whose last two are halves of the
+rest (all triples would be half a million columns for a window of 2,048); the rounded solution says how often each combination is laid. What
 remains is packed greedily, largest first, and only where no piece fits is one
 cut. The tail of a shard is cut into powers of two, which need no padding.
 
