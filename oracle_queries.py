@@ -297,7 +297,7 @@ _TARGET_STUDIES = f"""studies AS (
     {_cell("target_library_names", "library_name", "is_target", "[1:8]")},
     {_cell("ad_terms", "ad_term")}, {_cell("ctrl_terms", "ctrl_term")},
     quantile_disc(avgspotlen, 0.5) FILTER (is_target) AS median_target_readlen,
-    round(coalesce(sum(mbytes) FILTER (is_target), 0)::DOUBLE / 1024, 1) AS target_gb, {_LATEST}
+    round(sum(CASE WHEN is_target THEN mbytes ELSE 0 END)::DOUBLE / 1024, 1) AS target_gb, {_LATEST}
   FROM target_runs GROUP BY ALL HAVING bool_or(is_target))"""
 
 
