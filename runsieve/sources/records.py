@@ -56,7 +56,8 @@ def parse_documents(documents: DataFrame, text: str, order: str = "document_seq"
     return documents.select(
         F.col(order).alias("document"),
         F.col(text).isNotNull().alias("given"),
-        F.try_parse_json(text).alias("v"),
+        # A generator, so that later projections do not parse once per use.
+        F.explode(F.array(F.try_parse_json(text))).alias("v"),
     )
 
 

@@ -5,8 +5,8 @@ import json
 
 import pytest
 
-from runsieve.operators import anchor
-from runsieve.plans import workflow
+from runsieve.operators import anchor, enrich
+from runsieve.plans import enrichment, workflow
 from runsieve.sources import records, schemas, staging, tables
 
 from .rows import metadata, run
@@ -226,3 +226,34 @@ def test_staged_tables_can_be_dropped(spark):
     assert staged.count() == 5
     assert staging.drop_staged(spark) >= 1
     assert staging.drop_staged(spark) == 0
+
+
+def test_enrichment_run_reports_what_it_could_not_find_or_read(spark, tmp_path):
+    sheet = write(tmp_path / "sheet.csv", "note,bioproject\nc,PRJ3\na,PRJ1\nb, PRJ2\nz,PRJ9\n")
+    folder = tmp_path / "records"
+    folder.mkdir()
+    write(folder / "a.json", document(("1", {"project_acc": "PRJ1", "project_title": "old"}), ("2", {"project_acc": "PRJ2", "project_title": " Amyloid\n"})))
+    write(folder / "b.json", document(("1", {"project_acc": "PRJ1", "project_title": "small RNA"}), ("3", {"project_acc": "PRJ3"})))
+    write(folder / "broken.json", document(("4", {"project_acc": "PRJ9"}))[:-9])
+    write(folder / "twice.json", '{"result": {"uids": ["5"], "5": {"project_acc": "PRJ9", "project_acc": "PRJ9"}}}')
+    found = enrichment.enrich_sheet(spark, sheet, str(folder), str(tmp_path / "out"))
+    assert [r.bioproject for r in found.missing.collect()] == ["PRJ9"]
+    assert sorted(r.file.rsplit("/", 1)[1] for r in found.unreadable.collect()) == ["broken.json", "twice.json"]
+    rows = read_csv(tmp_path / "out")
+    assert [row[:3] for row in rows[1:]] == [["c", "PRJ3", ""], ["a", "PRJ1", "small RNA"], ["b", " PRJ2", "Amyloid"], ["z", "PRJ9", ""]]
+    assert [row[-2:] for row in rows[1:]] == [["False", "False"], ["False", "True"], ["True", "False"], ["False", "False"]]
+
+
+def test_a_document_is_parsed_once_and_winners_are_found_without_texts(spark):
+    """Texts are neither in an aggregate nor parsed a second time."""
+    docs = spark.createDataFrame([(1, "{}")], "document_seq long, value string")
+    parsed = records.parse_documents(docs, "value")
+    text = records.records_of(parsed)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("parseJson") == 1 and "from_json" not in text
+    raw = staging.stage(spark.createDataFrame([("PRJ1", "t", 1)], "project_acc string, project_title string, seq long").selectExpr(
+        "*", *(f"'' AS {c}" for c in records.RAW_FIELDS if c not in ("project_acc", "project_title"))
+    ), "raw")
+    plan = enrich.normalise_records(raw)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "LeftSemi" in plan
+    aggregates = [line for line in plan.splitlines() if "HashAggregate" in line]
+    assert aggregates and not any("project_title" in line for line in aggregates)
