@@ -1,11 +1,12 @@
 """Exact top-k by inner product with the threshold algorithm.
 
 Vectors lie in blocks of bounded size. A block has one sorted list of rows per
-dimension. For a query the lists are walked side by side, each from the end that
-its sign favours; every row that comes up is scored in full. The sum of what the
-lists show last, weighted by the query, bounds all rows not yet seen, so a block
-is left as soon as its k-th result beats that bound. The best of all blocks are
-ranked per query.
+dimension. The lists are walked side by side from both ends, once for all queries
+of a group; every row that comes up is scored in full, for all open queries by one
+matrix product. The sum of what the lists show last, at the end that the sign of a
+query's component favours and weighted by the query, bounds all rows not yet seen, so
+a query leaves a block as soon as its k-th result beats that bound. The best of all
+blocks are ranked per query.
 
 Queries lie in blocks too. Each block of queries meets each block of vectors in
 one group; neither side is broadcast, and a group is bounded by both block sizes.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,8 +31,13 @@ from runsieve.llm.common import stage
 
 SCALE = 1024
 BLOCK_VECTORS = 8192
-BLOCK_QUERIES = 256
+BLOCK_QUERIES = 4096
 _LONG = (-(1 << 63), (1 << 63) - 1)
+_NONE = float("-inf")
+#: Rows walked of each end of a list before the first bound; then twice as many each time.
+_FIRST_STEP = 16
+#: Scores that a task holds at once.
+_SCORES_AT_ONCE = 1 << 20
 _SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -53,57 +60,109 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     if isinstance(rows, pa.ChunkedArray):
         rows = pa.concat_arrays(rows.chunks) if rows.num_chunks else pa.array([], column.type)
     lengths = np.diff(rows.offsets.to_numpy())
-    out = np.zeros((len(rows), width), dtype=np.int64)
     values = rows.flatten().to_numpy(zero_copy_only=False)
+    if (lengths == width).all():
+        return values.reshape(len(rows), width)
+    out = np.zeros((len(rows), width), dtype=np.int64)
     out[np.arange(width)[None, :] < lengths[:, None]] = values
     return out
 
 
 def _width(*tables: pa.Table) -> int:
-    return max(
-        (len(v) for table in tables for chunk in table.column("v").chunks for v in chunk),
-        default=0,
-    )
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+    return max((pc.max(pc.list_value_length(t.column("v"))).as_py() or 0 for t in tables), default=0)
+
+
+def _reach(lists: np.ndarray) -> np.ndarray:
+    """Per row the place, from the nearer end, at which a list shows it first."""
+    places = np.arange(len(lists))
+    nearer = np.minimum(places, places[::-1])
+    reach = np.full(len(lists), len(lists))
+    for shown in lists.T:
+        reach[shown] = np.minimum(reach[shown], nearer)
+    return reach
+
+
+class _Best:
+    """The k best rows found so far of every query, by score, then by smaller id."""
+
+    def __init__(self, queries: int, k: int, exact: type):
+        self.k = k
+        self.scores = np.full((queries, k), _NONE, dtype=exact)
+        self.ids = np.full((queries, k), _LONG[1], dtype=np.int64)
+
+    def add(self, of: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take in new rows: ``scores`` of the queries ``of`` by those of ``ids``."""
+        k, worst = self.k, self.scores[of, -1]
+        least = worst
+        if len(ids) > k:
+            least = np.maximum(worst, np.partition(scores, len(ids) - k, axis=1)[:, -k]) if (worst == _NONE).any() else worst
+        at, row = np.nonzero(scores >= least[:, None])
+        score, vec = scores[at, row], ids[row]
+        better = (score > worst[at]) | ((score == worst[at]) & (score > _NONE) & (vec < self.ids[of, -1][at]))
+        if not better.any():
+            return
+        at, score, vec = at[better], score[better], vec[better]
+        changed, at = np.unique(at, return_inverse=True)
+        kept = of[changed]
+        at = np.concatenate([np.repeat(np.arange(len(kept)), k), at])
+        score = np.concatenate([self.scores[kept].ravel(), score])
+        vec = np.concatenate([self.ids[kept].ravel(), vec])
+        order = np.lexsort((vec, -score, at))
+        starts = np.searchsorted(at[order], np.arange(len(kept)))
+        first = order[(starts[:, None] + np.arange(k)[None, :])]
+        self.scores[kept], self.ids[kept] = score[first], vec[first]
+
+
+def threshold_topk_block(
+    vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, queries: np.ndarray, owners: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """Scores and ids of the k best rows of a block for each query, a row of each per query.
+
+    ``lists`` has in each column the rows in ascending order of that dimension. They
+    are walked once for all queries, from both ends, and what comes up is scored for
+    every open query by one matrix product. A query is closed when its k-th result
+    beats its bound; ties with the bound go on, as an unseen row of equal score may
+    have a smaller id. Places without a result have the score ``-inf``. The last
+    value is the number of scores that were computed.
+    """
+    rows = len(ids)
+    best = _Best(len(queries), k, vectors.dtype)
+    reach = _reach(lists)
+    order = np.argsort(reach, kind="stable")
+    reach, walked, walked_ids = reach[order], vectors[order], ids[order]
+    rising, falling = np.maximum(queries, 0), np.minimum(queries, 0)
+    every = np.arange(vectors.shape[1])
+    open_, scored = np.arange(len(queries)), 0
+    # Without dimensions no list shows a row: all are scored at once.
+    seen, depth, step = 0, 0, _FIRST_STEP if len(every) else rows + 1
+    while seen < rows and len(open_):
+        depth, step = depth + step, step * 2
+        shown = int(np.searchsorted(reach, depth)) if len(every) else rows
+        fresh, fresh_ids = walked[seen:shown].T, walked_ids[seen:shown]
+        size = max(1, _SCORES_AT_ONCE // max(1, shown - seen))
+        for start in range(0, len(open_), size):
+            of = open_[start : start + size]
+            scores = queries[of] @ fresh
+            owned = np.flatnonzero(np.isin(fresh_ids, owners[of]))
+            own = owners[of][:, None] == fresh_ids[owned][None, :]
+            scores[:, owned] = np.where(own, _NONE, scores[:, owned])
+            best.add(of, scores, fresh_ids)
+            scored += scores.size
+        seen = shown
+        if seen < rows:
+            low, high = vectors[lists[depth - 1], every], vectors[lists[rows - depth], every]
+            bound = rising[open_] @ high + falling[open_] @ low
+            open_ = open_[best.scores[open_, -1] <= bound]
+    return best.scores, best.ids, scored
 
 
 def threshold_topk(
     vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, query: np.ndarray, own: int, k: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best rows of a block for one query.
-
-    ``lists`` has in each column the rows in ascending order of that dimension.
-    Ties with the bound go on, as an unseen row of equal score may have a
-    smaller id.
-    """
-    active = np.flatnonzero(query)
-    rows = len(ids)
-    walked = np.where(query[active] > 0, lists[::-1, active], lists[:, active])
-    weights = query[active]
-    seen = np.zeros(rows, dtype=bool)
-    top_ids, top_scores = ids[:0], (vectors[:0] @ query)
-    depth, step = 0, 16
-    while depth < rows:
-        shown = walked[depth : depth + step]
-        fresh = np.unique(shown) if len(active) else np.arange(rows)
-        fresh = fresh[~seen[fresh]]
-        seen[fresh] = True
-        fresh = fresh[ids[fresh] != own]
-        scores = np.concatenate([top_scores, vectors[fresh] @ query])
-        found = np.concatenate([top_ids, ids[fresh]])
-        keep = _best(scores, found, k)
-        top_ids, top_scores = found[keep], scores[keep]
-        depth += step
-        step *= 2
-        if not len(active):
-            break
-        bound = weights @ vectors[shown[-1], active]
-        if len(keep) == k and top_scores[-1] > bound:
-            break
-    return top_ids, top_scores
+    """Ids and scores of the k best rows of a block for one query."""
+    scores, found, _ = threshold_topk_block(vectors, ids, lists, query[None, :], np.array([own]), k)
+    kept = scores[0] > _NONE
+    return found[0][kept], scores[0][kept]
 
 
 def _block_search(k: int):
@@ -118,15 +177,13 @@ def _block_search(k: int):
         exact = float if size < 2**53 else object
         lists = np.argsort(vectors, axis=0, kind="stable")
         vectors, wanted = vectors.astype(exact), wanted.astype(exact)
-        out: list[tuple[int, int, int]] = []
-        for query, own in zip(wanted, owners.tolist()):
-            found, scores = threshold_topk(vectors, ids, lists, query, own, k)
-            for vec, score in zip(found.tolist(), scores.tolist()):
-                out.append((own, vec, min(max(int(score), _LONG[0]), _LONG[1])))
-        columns = list(zip(*out)) or [(), (), ()]
-        return pa.table(
-            {name: pa.array(values, type=pa.int64()) for name, values in zip(("query_id", "vec_id", "score"), columns)}
-        )
+        scores, found, _ = threshold_topk_block(vectors, ids, lists, wanted, owners, k)
+        of, place = np.nonzero(scores > _NONE)
+        best = scores[of, place]
+        if exact is object:
+            best = np.array([min(max(int(score), _LONG[0]), _LONG[1]) for score in best], dtype=np.int64)
+        columns = {"query_id": owners[of], "vec_id": found[of, place], "score": best.astype(np.int64)}
+        return pa.table({name: pa.array(values, type=pa.int64()) for name, values in columns.items()})
 
     return search
 

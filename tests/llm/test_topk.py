@@ -56,6 +56,46 @@ def test_threshold_stops_early_and_is_exact():
     assert scores.tolist() == (vectors @ query)[order].tolist()
 
 
+def test_a_block_is_walked_once_for_all_queries():
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    generator = np.random.default_rng(2)
+    vectors = generator.integers(-400, 400, (8192, 64))
+    rows = pa.table({"id": np.arange(8192), "v": vectors.tolist()})
+    queries = pa.table({"id": np.arange(0, 8192, 32), "v": vectors[::32].tolist()})
+    begun = time.process_time()
+    found = topk._block_search(10)(rows, queries)
+    spent = time.process_time() - begun
+    scores = vectors[::32] @ vectors.T
+    scores[np.arange(256), np.arange(0, 8192, 32)] = -(1 << 40)
+    want = {
+        (q * 32, int(i), int(scores[q, i]))
+        for q in range(256)
+        for i in np.lexsort((np.arange(8192), -scores[q]))[:10]
+    }
+    assert {tuple(r.values()) for r in found.to_pylist()} == want
+    assert spent < 1.5, "a walk per query takes over 3 CPU seconds"
+
+
+def test_closed_queries_are_not_scored_further_and_ties_are():
+    import numpy as np
+
+    spread = np.arange(-2000, 2000)
+    vectors = np.stack([spread, np.zeros_like(spread)], axis=1).astype(float)
+    ids = np.arange(4000)[::-1].copy()
+    lists = np.argsort(vectors, axis=0, kind="stable")
+    queries, owners = np.array([[1.0, 0.0], [-2.0, 0.0]]), np.array([0, 5])
+    scores, found, scored = topk.threshold_topk_block(vectors, ids, lists, queries, owners, 3)
+    assert found.tolist() == [[1, 2, 3], [3999, 3998, 3997]]
+    assert scores.tolist() == [[1998, 1997, 1996], [4000, 3998, 3996]]
+    assert scored < 200
+    scores, found, scored = topk.threshold_topk_block(vectors, ids, lists, np.array([[0.0, 1.0]]), np.array([1]), 3)
+    assert found.tolist() == [[0, 2, 3]] and scores.tolist() == [[0, 0, 0]] and scored == 4000
+
+
 def test_few_candidates_and_empty_table(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 1.0])]
     found = topk.top_k(frame(spark, rows), F.col("id") % 100 == 0).collect()
