@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+import fixture_views
 from runsieve.operators import anchor, labels, studies
 from runsieve.plans import screens, workflow
 from runsieve.sources import staging
@@ -157,3 +158,17 @@ def test_tissue_details_read_few_columns_of_kept_studies(stored):
     text = re.sub(r"#\d+L?", "", plan(screens.screen_small_rna(runs)))
     assert "FileScan parquet [bioproject,sra_study,attr_blob]" in text
     assert "LeftSemi" in text
+
+
+def test_code_of_the_run_view_is_small_enough_to_be_compiled(spark, tmp_path):
+    spark.range(40).selectExpr(
+        "id AS o_orderkey", "id % 7 AS o_custkey", "id * 1.5D AS o_totalprice",
+        "TIMESTAMP_NTZ '2020-01-01' AS o_orderdate",
+        "if(id % 3 = 0, NULL, '1-URGENT') AS o_orderpriority",
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    runs = fixture_views.run_metadata(spark, str(tmp_path))
+    text = spark._jvm.PythonSQLUtils.explainString(runs._jdf.queryExecution(), "codegen")
+    sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000  # beyond, the JVM interprets the method for every run
+    keys = {tuple(a["k"] for a in row["attributes"]) for row in runs.collect()}
+    assert keys == {("disease_state", "strain", "tissue", "growth_media")}
