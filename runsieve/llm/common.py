@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 from runsieve.sources.staging import stage
 
 __all__ = [
-    "held_out", "labels_of", "map_batches", "score_column", "stage", "table", "text_bytes", "text_slices",
+    "arrow_batches", "held_out", "labels_of", "map_batches", "score_column", "stage", "table", "text_bytes", "text_slices",
 ]
 
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Characters that a task works on at once.
 SLICE_CHARS = 2_000_000
 
@@ -24,6 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """What runs within hands Arrow batches of about ``size`` bytes to Python tasks.
+
+    Spark's own limit is 64 MB, held once in the executor and twice in the task, and
+    the executor's allocator keeps much of what such buffers took.
+    """
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, f"{size}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
+
+
 def held_out(key: str | Column, remainder: int, folds: int = 5) -> Column:
     """Whether crc32 of the key as text leaves ``remainder``; false for a null key."""
     column = F.col(key) if isinstance(key, str) else key

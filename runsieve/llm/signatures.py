@@ -18,7 +18,9 @@ The plan: one pass over the documents writes the blocks; one counts how many
 documents hold each query term; one searches and returns at most k rows per query
 and task, ranked by a window. No text is shuffled and no pair of query and document
 leaves a task unless it is among its best. Queries are read in blocks of bounded
-size; each block of queries meets all documents.
+size; each block of queries meets all documents, and its best are staged. Memory does
+not follow the input: row groups, pages and Arrow batches hold a few blocks, bounds
+are made tile by tile.
 
 Defined cases: null and empty texts, and those without a term, are not ranked and
 count nowhere; a query without terms has no rows; of equal query keys the smallest
@@ -46,7 +48,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from runsieve.llm.common import stage
+from runsieve.llm.common import arrow_batches, stage
 
 K = 50
 #: Bits of a signature per element, and the least and most bits of a width, as powers of 2.
@@ -58,6 +60,18 @@ PILOT_BLOCKS = 16
 #: A block of queries ends at so many of them, or so many terms.
 BLOCK_QUERIES, BLOCK_TERMS = 1000, 50_000
 _CACHE_TERMS = 300_000
+#: Bounds are made for so many pairs of term and document at once, and a block's scores
+#: join the best when there are so many.
+TILE_CELLS, FRESH_SCORES = 1 << 21, 50_000
+#: Bytes of an Arrow batch: a block or two.
+BATCH_BYTES = 4 << 20
+#: Blocks are rows of megabytes. Parquet looks at the size of a page or row group after a
+#: hundred rows, if not told otherwise, and holds all of them until then; so do its readers.
+_BLOCK_FILES = {
+    "parquet.block.size": str(8 << 20),
+    "parquet.block.size.row.check.min": "1",
+    "parquet.page.size.row.check.min": "1",
+}
 #: Least frequencies of the levels: 1, 2, 3, 4, 6, 8, 12, 16, 24 and so on.
 _LEVELS = np.array(sorted({1, 2} | {f for e in range(31) for f in (3 << e, 4 << e)}), dtype=np.int64)
 _SEED = 42
@@ -255,6 +269,12 @@ class Search:
 
     def bounds(self, bits: int, n: np.ndarray, slices: np.ndarray) -> np.ndarray:
         """Upper bounds of the scores, a row per query and a column per document."""
+        # A tile of documents begins with a byte of the slices.
+        step = max(8, TILE_CELLS // len(self.hashes) // 8 * 8)
+        tiles = [self._bounds(bits, n[a : a + step], slices[:, a // 8 : (a + step) // 8]) for a in range(0, len(n), step)]
+        return np.concatenate(tiles, axis=1)
+
+    def _bounds(self, bits: int, n: np.ndarray, slices: np.ndarray) -> np.ndarray:
         size = self.sizes(n)
         most = np.zeros((len(self.hashes), len(n)), dtype=np.float32)
         held = np.arange(len(self.hashes))
@@ -284,6 +304,7 @@ class Search:
         first = np.cumsum([0, *map(len, self.queries.of_query[:-1])])
         flat = np.concatenate(self.queries.of_query)
         fresh: dict[int, list[tuple]] = {}
+        held = 0
         for at in wanted.tolist():
             counts = Counter(map(self.number.get, terms[at].as_py().split()))
             counts.pop(None, None)
@@ -294,6 +315,14 @@ class Search:
             key = keys[at]
             for query in np.flatnonzero((scores >= self.least) & (scores > 0)).tolist():
                 fresh.setdefault(query, []).append((-int(scores[query]), key is None, key))
+                held += 1
+            if held >= FRESH_SCORES:
+                self._settle(fresh)
+                fresh, held = {}, 0
+        self._settle(fresh)
+
+    def _settle(self, fresh: dict[int, list[tuple]]) -> None:
+        """Keep the k best of every query, which raise what it takes to be among them."""
         for query, found in fresh.items():
             best = self.best[query] = sorted([*self.best[query], *found], key=_order)[: self.k]
             if len(best) == self.k:
@@ -343,7 +372,17 @@ def search(
     item_text: str = "text",
 ) -> DataFrame:
     """``item_key``, ``rank``, ``key`` and ``score`` of the k best documents of every item."""
-    blocks = stage(index(docs, key, text), "signatures")
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        found = _found(docs, items, k, key, text, item_key, item_text)
+    if not found:
+        columns = f"item {items.schema[item_key].dataType.simpleString()}, k {docs.schema[key].dataType.simpleString()}, score long, rank int"
+        found = [docs.sparkSession.createDataFrame([], columns)]
+    return reduce(DataFrame.union, found).select(F.col("item").alias(item_key), "rank", F.col("k").alias(key), "score")
+
+
+def _found(docs: DataFrame, items: DataFrame, k: int, key: str, text: str, item_key: str, item_text: str) -> list[DataFrame]:
+    """Staged rows ``(item, k, score, rank)`` of every block of queries."""
+    blocks = stage(index(docs, key, text), "signatures", **_BLOCK_FILES)
     item_type = items.schema[item_key].dataType
     sums = blocks.agg(
         F.sum(F.size("n").cast("long")).alias("documents"),
@@ -363,13 +402,8 @@ def search(
         # One row per query of the block at most.
         kth = {row.item: row.score for row in tried.select("item", "score").collect()}
         least = np.array([kth.get(item, 0) for item in queries.keys], np.int64)
-        found.append(best_of(blocks, make(least), item_type, key))
-    if not found:
-        columns = f"item {item_type.simpleString()}, k {docs.schema[key].dataType.simpleString()}, score long"
-        found.append(docs.sparkSession.createDataFrame([], columns))
-    return _ranked(reduce(DataFrame.union, found), k).select(
-        F.col("item").alias(item_key), "rank", F.col("k").alias(key), "score"
-    )
+        found.append(stage(_ranked(best_of(blocks, make(least), item_type, key), k), "found"))
+    return found
 
 
 #: The fifty best documents of every benchmark item.

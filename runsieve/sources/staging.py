@@ -50,11 +50,14 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(frame: DataFrame, name: str) -> DataFrame:
-    """Write ``frame`` to the shared folder and return a scan of it."""
+def stage(frame: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``frame`` to the shared folder and return a scan of it.
+
+    ``options`` are the Parquet writer's.
+    """
     spark = frame.sparkSession
     path = staged_path(spark, name)
-    frame.write.parquet(path)
+    frame.write.options(**options).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -3,12 +3,17 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
+from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from runsieve.llm import signatures
+from runsieve.llm.common import arrow_batches
 
 from .samples import TEXTS, documents
 
@@ -135,3 +140,109 @@ def test_slices_are_the_documents_signatures():
             for slot in signatures.slots(own, block.bits):
                 wanted[slot] = True
             assert (bits[:, at].astype(bool) == wanted).all()
+
+
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def test_tiles_and_early_settling_change_no_result(spark, monkeypatch):
+    monkeypatch.setattr(signatures, "TILE_CELLS", 500)
+    monkeypatch.setattr(signatures, "FRESH_SCORES", 7)
+    rows, items = generated(300, seed=21)
+    rows += [(None, rows[7][1]), (7, rows[7][1])]
+    assert found(spark, rows, items, k=5) == plain(rows, items, 5)
+
+
+def test_a_tile_of_bounds_is_what_all_at_once_would_be(monkeypatch):
+    rows, items = generated(500, seed=4)
+    queries = signatures.Queries.of([(i, signatures.terms_of(t.encode())) for i, t in items])
+    weights = np.arange(1, len(queries.terms) + 1, dtype=np.int64)
+    search = signatures.Search(queries, weights, 500, 30_000, 10, np.zeros(len(items), np.int64))
+    for block in built(rows):
+        n, slices = np.array(block.sizes), block.slices()
+        monkeypatch.setattr(signatures, "TILE_CELLS", 1 << 40)
+        whole = search.bounds(block.bits, n, slices)
+        monkeypatch.setattr(signatures, "TILE_CELLS", 20 * len(queries.terms))
+        assert np.array_equal(search.bounds(block.bits, n, slices), whole)
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def searching(terms_of_queries, words, k=50):
+    """A search of the queries and a full block of short documents."""
+    rows = [(i, f"{words[i % len(words)]} common") for i in range(2047)]
+    queries = signatures.Queries.of(list(enumerate(terms_of_queries)))
+    weights = np.full(len(queries.terms), 1000, np.int64)
+    search = signatures.Search(queries, weights, 2047, 4094, k, np.zeros(len(terms_of_queries), np.int64))
+    (block,) = built(rows)
+    texts = pa.array(block.texts, pa.binary())
+    return search, lambda: search.block(block.bits, block.keys, np.array(block.sizes), block.slices(), texts)
+
+
+def test_memory_of_bounds_does_not_follow_terms_and_documents():
+    words = [b"word%d" % i for i in range(20_000)]
+    search, work = searching([words[i::20] for i in range(20)], [w.decode() for w in words])
+    # All at once, 20,000 terms and 2,047 documents take 160 MB for one of several arrays.
+    assert peak_mb(work) < 80
+    assert sum(map(len, search.best)) == 20 * 50
+
+
+def test_memory_of_scores_does_not_follow_queries_and_documents():
+    search, work = searching([[b"common"]] * 400, ["word"], k=3)
+    assert peak_mb(work) < 60
+    assert all([key for _, _, key in best] == [0, 1, 2] for best in search.best)
+
+
+def recorded(monkeypatch):
+    staged, stage = {}, signatures.stage
+
+    def keep(frame, name, **options):
+        staged[name] = stage(frame, name, **options), frame.sparkSession.conf.get(BATCH_SETTING)
+        return staged[name][0]
+
+    monkeypatch.setattr(signatures, "stage", keep)
+    return staged
+
+
+def test_blocks_lie_in_small_row_groups_and_pages(spark, monkeypatch):
+    staged, draw = recorded(monkeypatch), random.Random(9)
+    rows = [(i, " ".join(f"{draw.getrandbits(256):064x}" for _ in range(15_000))) for i in range(24)]
+    frame = signatures.search(documents(spark, rows).coalesce(1), benchmark(spark, [(1, rows[3][1][:400])]))
+    assert [(row.doc_id, row.rank) for row in frame.collect()] == [(3, 1)]
+    (file,) = staged["signatures"][0].inputFiles()
+    meta = pq.ParquetFile(unquote(urlparse(file).path)).metadata
+    groups = [meta.row_group(i) for i in range(meta.num_row_groups)]
+    assert sum(group.total_byte_size for group in groups) > 24e6
+    # A group ends with the block that reaches 8 MB.
+    assert max(group.total_byte_size for group in groups) < 16e6
+
+
+def test_arrow_batches_are_small_within_the_search_alone(spark, monkeypatch):
+    staged, before = recorded(monkeypatch), spark.conf.get(BATCH_SETTING)
+    rows, items = generated(40, seed=2)
+    frame = signatures.search(documents(spark, rows), benchmark(spark, items))
+    assert {setting for _, setting in staged.values()} == {f"{signatures.BATCH_BYTES}b"}
+    assert spark.conf.get(BATCH_SETTING) == before
+    # What runs after that, under any setting, reads the best rows and no blocks.
+    assert "MapInArrow" not in frame._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ZeroDivisionError), arrow_batches(spark, 1 << 20):
+        1 / 0
+    assert spark.conf.get(BATCH_SETTING) == before
+
+
+def test_batches_hold_the_bytes_asked_for(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    texts = spark.range(0, 2000, 1, 1).selectExpr("repeat(string(id % 10), 1000) AS text")
+    with arrow_batches(spark, 1 << 16):
+        found = [row.size for row in texts.mapInArrow(sizes, "size long").collect()]
+    assert sum(found) > 2e6 and max(found) < 2 << 16
